@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from farsight.llm.substring_dedup import op7_substring_dedup
 from farsight.llm.toxicity import op9_toxicity
 
 QUERIES = {
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_toxicity": op9_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}
