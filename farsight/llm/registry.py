@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from farsight.llm.minhash_dedup import op4_minhash_dedup
 from farsight.llm.packing import op5_packing
 from farsight.llm.substring_dedup import op7_substring_dedup
 from farsight.llm.toxicity import op9_toxicity
 
 QUERIES = {
+    "op4_minhash_dedup": op4_minhash_dedup,
     "op5_packing": op5_packing,
     "op7_substring_dedup": op7_substring_dedup,
     "op9_toxicity": op9_toxicity,

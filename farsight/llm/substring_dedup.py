@@ -181,7 +181,7 @@ def _with_row(docs: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, *, keep_text: bool = True) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) and, with keep_text, `kept`: the kept words joined by one space."""
-    docs = docs.select(F.coalesce("doc_id", F.expr(f"{_LOWEST + 1}L - 1L")).alias("key"), text_or_empty().alias("text"))
+    docs = docs.select(F.coalesce("doc_id", F.lit(_LOWEST)).alias("key"), text_or_empty().alias("text"))
     repeats = written(find_repeats(docs), "repeats")
     schema = "key long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text
 
@@ -203,7 +203,7 @@ def remove_repeats(docs: DataFrame, *, keep_text: bool = True) -> DataFrame:
             yield made
 
     made = _with_row(docs).join(repeats, ["key", "row"], "left").select("key", "text", "at").mapInPandas(cut, schema)
-    return made.select(F.expr(f"nullif(key, {_LOWEST + 1}L - 1L)").alias("doc_id"), *made.columns[1:])
+    return made.select(F.nullif("key", F.lit(_LOWEST)).alias("doc_id"), *made.columns[1:])
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
