@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from farsight.llm.decontamination import op8_decontamination
 from farsight.llm.minhash_dedup import op4_minhash_dedup
 from farsight.llm.packing import op5_packing
 from farsight.llm.substring_dedup import op7_substring_dedup
@@ -11,6 +12,7 @@ QUERIES = {
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_packing": op5_packing,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}

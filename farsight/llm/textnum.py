@@ -91,3 +91,12 @@ class Words:
         short = np.flatnonzero((self.count > 0) & (self.count < n))
         less = ranges(self.hash, self.first[short], self.first[short + 1], 1)
         return np.concatenate([full, less]), np.concatenate([self.text[at], short])
+
+
+def rolling(values: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n values, without the finaliser of `ranges`."""
+    if len(values) < n:
+        return np.empty(0, _U)
+    power, inverse = _powers(_BASES[0], len(values))
+    sums = np.concatenate([np.zeros(1, _U), np.cumsum(values * power[: len(values)])])
+    return (sums[n:] - sums[:-n]) * inverse[: len(values) - n + 1]
