@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from farsight.llm.decontamination import op8_decontamination
+from farsight.llm.line_dedup import op10_line_dedup
 from farsight.llm.minhash_dedup import op4_minhash_dedup
 from farsight.llm.packing import op5_packing
 from farsight.llm.substring_dedup import op7_substring_dedup
@@ -14,5 +15,6 @@ QUERIES = {
     "op7_substring_dedup": op7_substring_dedup,
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
+    "op10_line_dedup": op10_line_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
