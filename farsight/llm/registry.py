@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from farsight.llm.decontamination import op8_decontamination
+from farsight.llm.fingerprints import op6_simhash
 from farsight.llm.line_dedup import op10_line_dedup
 from farsight.llm.minhash_dedup import op4_minhash_dedup
 from farsight.llm.packing import op5_packing
@@ -12,6 +13,7 @@ from farsight.llm.toxicity import op9_toxicity
 QUERIES = {
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_packing": op5_packing,
+    "op6_simhash": op6_simhash,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
