@@ -157,12 +157,13 @@ class ToxicityModel:
         return scored.withColumn("score", score).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def fit(labelled: DataFrame, *, max_rows: int = 8000, trees: int = 20, depth: int = 4) -> ToxicityModel:
-    """Fit on at most `max_rows` rows (doc_id, text, label in {0, 1}), chosen by a hash of doc_id.
+def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 8000, trees: int = 20, depth: int = 4) -> ToxicityModel:
+    """Fit on docs (doc_id, text) with at most `max_rows` of labels (doc_id, label in {0, 1}), chosen by a hash of doc_id.
 
-    A quarter of these, by another hash, fits the calibration only.
+    A quarter of these, by another hash, fits the calibration only. The chosen labels are broadcast to the scan of docs.
     """
-    sample = written(labelled.where(F.col("label").isin(0, 1) & F.col("text").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows), "toxic-sample")
+    chosen = labels.where(F.col("label").isin(0, 1)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    sample = written(docs.where("text is not null").join(F.broadcast(chosen), "doc_id"), "toxic-sample")
     counts = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     positives, negatives = counts.get(1, 0), counts.get(0, 0)
     constant = positives / max(1, positives + negatives)
@@ -189,7 +190,7 @@ def held_out(doc_id: str = "doc_id"):
 def fit_from(spark, docs: DataFrame, sf_dir: str) -> ToxicityModel:
     """Fit on the labels of `sf_dir` that are not held out, with the texts of these documents in `docs`."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out() & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").alias("label"))
-    return fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return fit(docs.select("doc_id", "text"), labels)
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
