@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farsight.llm.shared import documents, shuffle_partitions, text_or_empty, written
+from farsight.llm.shared import documents, shuffle_partitions, sliced, text_or_empty, written
 from farsight.llm.textnum import Words, chunks
 
 WINDOW = 20
@@ -135,9 +135,9 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     groups = GROUPS * shuffle_partitions(docs.sparkSession)
 
     def anchors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in sliced(it):
             keys, texts = batch.column("key").to_numpy(), batch.column("text").to_pylist()
-            for a, b in chunks(texts, 1 << 21):
+            for a, b in chunks(texts, 1 << 19):
                 raw = [t.encode() for t in texts[a:b]]
                 words = Words(raw)
                 hashes, at = words.windows(ANCHOR)
@@ -148,9 +148,9 @@ def find_repeats(docs: DataFrame) -> DataFrame:
                 yield _batch(list(_found_rows(hashes, keys[a:b][words.text[at]], row[words.text[at]], place, groups, True)))
 
     def runs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in sliced(it):
             keys, rows, texts, places = batch.column("key").to_numpy(), batch.column("row").to_numpy(), batch.column("text").to_pylist(), batch.column("at").to_pylist()
-            for a, b in chunks(texts, 1 << 21):
+            for a, b in chunks(texts, 1 << 19):
                 words = Words([t.encode() for t in texts[a:b]])
                 hashes, at = words.windows(WINDOW)
                 near = np.zeros(len(words.hash) + 1, np.int32)  # how many repeated anchors a run may stand around
