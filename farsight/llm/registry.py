@@ -7,12 +7,14 @@ from farsight.llm.fingerprints import op6_simhash
 from farsight.llm.line_dedup import op10_line_dedup
 from farsight.llm.minhash_dedup import op4_minhash_dedup
 from farsight.llm.packing import op5_packing
+from farsight.llm.pii import op3_personal_data
 from farsight.llm.quality import op1_ordinal_quality
 from farsight.llm.substring_dedup import op7_substring_dedup
 from farsight.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op1_ordinal_quality": op1_ordinal_quality,
+    "op3_personal_data": op3_personal_data,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
