@@ -12,6 +12,7 @@ are packed once each; an empty table gives no rows; further input columns are ig
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,9 +28,12 @@ from farsight.llm.shared import documents, written
 CAPACITY = 4096
 END = 1
 TOKENIZER = "word_bpe_49k.json"
-_CACHED = 400_000
+#: Parts that a task's encoder remembers, and those among them that it never forgets.
+_CACHED, _COMMON = 700_000, 150_000
+#: Letters that lower() and the tokenizer treat alike.
+_PLAIN_LETTERS = re.compile("[A-Za-z\u00c0-\u012f\u0131-\u017f]+")
 #: Blank to Python but not to the tokenizer.
-_ODD_BLANKS = str.maketrans("", "", "\x1c\x1d\x1e\x1f")
+_ODD_BLANKS = "\x1c\x1d\x1e\x1f"
 
 
 def tokenizer_path() -> str:
@@ -48,18 +52,53 @@ class _Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.mark = "\x01"
+        (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
+        self.stops = {c: self._ids(c) for c in ".,"}
+        self.common: dict[str, bytes] = {}  # stays when the rest is forgotten
+
+    def _learn(self, parts: list[str]) -> None:
+        """Encode new parts. Most are a word with or without a last "." or ",", which is a token of its own."""
+        known, tails, whole = self.known, [], []
+        for part in parts:
+            core = part[:-1] if part[-1] in ".," else part
+            if core.isalpha() and _PLAIN_LETTERS.fullmatch(core):
+                core = core.lower()
+                tails.append((part, core, self.stops[part[-1]] if part[-1] in ".," else b""))
+                if core not in known:
+                    known[core] = b""
+                    whole.append(core)
+            else:
+                whole.append(part)
+        odd = [p for p in whole if self.mark in p or "<|" in p]  # these may hold the mark's token, so they go one by one
+        for part in odd:
+            known[part] = self._ids(part)
+        whole = [p for p in whole if self.mark not in p and "<|" not in p]
+        for i in range(0, len(whole), 5000):
+            # many parts as one text, with a mark between them whose one token stands nowhere else
+            some = whole[i : i + 5000]
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {self.mark} ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (4 * np.flatnonzero(ids == self.mark_id)).tolist()
+            raw = ids.tobytes()
+            for part, a, b in zip(some, [0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True):
+                known[part] = raw[a:b]
+        for part, core, tail in tails:
+            known[part] = known[core] + tail
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, with END."""
         end = np.array([END], "<u4").tobytes()
-        parts = [t.split() if t.translate(_ODD_BLANKS) == t else [t] for t in texts]
+        parts = [[t] if any(c in t for c in _ODD_BLANKS) else t.split() for t in texts]
         if len(self.known) > _CACHED:
-            self.known.clear()
-        new = list(set().union(*parts) - self.known.keys())
-        for i in range(0, len(new), 10_000):
-            some = new[i : i + 10_000]
-            for part, code in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[part] = np.array(code.ids, "<u4").tobytes()
+            self.known = dict(self.common)
+        new = set().union(*parts) - self.known.keys()
+        if new:
+            self._learn(list(new))
+            if len(self.common) < _COMMON:
+                self.common = dict(self.known)
         return [b"".join(map(self.known.__getitem__, p)) + end for p in parts]
 
 
