@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from farsight.llm.decontamination import op8_decontamination
 from farsight.llm.fingerprints import op6_simhash
+from farsight.llm import licenses
 from farsight.llm.line_dedup import op10_line_dedup
 from farsight.llm.minhash_dedup import op4_minhash_dedup
 from farsight.llm.packing import op5_packing
@@ -14,6 +15,7 @@ from farsight.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op1_ordinal_quality": op1_ordinal_quality,
+    "op2_license_scan": licenses.op2_license_scan,
     "op3_personal_data": op3_personal_data,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_packing": op5_packing,
@@ -23,4 +25,6 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_license_scan": licenses.ORACLE_SQL,
+}
