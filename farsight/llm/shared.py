@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a table in the shared folder, read back: its lineage ends there, and a lost executor costs no recomputation.
 
-    The files go when the session ends.
+    The files go when the session ends. Shuffle files that nothing refers to any more go at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -39,7 +40,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    del df
+    gc.collect()
+    jvm.System.gc()  # Spark removes shuffle files when the driver's garbage is collected
+    return spark.read.schema(schema).parquet(path)
 
 
 def text_or_empty(col: str = "text"):
