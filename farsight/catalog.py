@@ -1,10 +1,481 @@
-"""The registered queries over the driver's tables, with the DuckDB SQL that gives the same rows."""
+"""The registered queries over the driver's tables, with the DuckDB SQL that gives the same rows.
+
+The searches take the vectors with ids below 16 as their stated queries, and `label in (1, 2, 3)` as their filter.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from farsight.functions import filters, vectors
+from farsight.operators import local, metrics, search, statistics, sweeps, workload
+from farsight.plans import costs
+from farsight.sources import layouts
+from farsight.sources import vectors as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+K, EF, MAX_SCAN, PROBE = 10, 40, 160, 50
+_PASSES_SQL = "label IN (1, 2, 3)"
+
+
+def _query(sql: str | None = None):
+    """Register a query under its function's name."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _passes():
+    return F.col("label").isin(1, 2, 3)
+
+
+def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings")
+
+
+def _queries(base: DataFrame) -> DataFrame:
+    return base.where("vec_id < 16").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("qvec"))
+
+
+def _rounded(found: DataFrame) -> DataFrame:
+    return found.select("query_id", "rank", "vec_id", F.round("distance", 6).alias("distance"))
+
+
+_NEAR = """
+q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qvec FROM embeddings WHERE vec_id < 16),
+near AS (SELECT query_id, vec_id, label, {distance} AS distance FROM q, embeddings {where})"""
+_L2 = "list_distance(embedding::DOUBLE[], qvec)"
+
+
+def _ranked_sql(distance: str = _L2, where: str = "", k: int = K) -> str:
+    near = _NEAR.format(distance=distance, where=where)
+    return f"""WITH {near}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM near)
+SELECT query_id, rank::INT AS rank, vec_id, round(distance, 6) AS distance FROM r WHERE rank <= {k}"""
+
+
+def _frontier_sql(frontier: int) -> str:
+    near = _NEAR.format(distance=_L2, where="")
+    return f"""{near},
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS place FROM near) WHERE place <= {frontier} AND {_PASSES_SQL}),
+found AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY place) AS rank, vec_id, distance FROM f)"""
+
+
+@_query(_ranked_sql(where=f"WHERE {_PASSES_SQL}"))
+def str1_exact(spark, sf_dir):
+    """Filter first, then the k nearest by L2."""
+    base = _base(spark, sf_dir)
+    return _rounded(search.exact(base, _queries(base), K, _passes()))
+
+
+@_query(f"WITH {_frontier_sql(EF)} SELECT query_id, rank::INT AS rank, vec_id, round(distance, 6) AS distance FROM found WHERE rank <= {K}")
+def str2_postfilter(spark, sf_dir):
+    """The first k that pass among the 40 nearest."""
+    base = _base(spark, sf_dir)
+    return _rounded(search.postfilter(base, _queries(base), K, _passes(), ef=EF))
+
+
+@_query(f"WITH {_frontier_sql(MAX_SCAN)} SELECT query_id, rank::INT AS rank, vec_id, round(distance, 6) AS distance FROM found WHERE rank <= {K}")
+def str3_iterative(spark, sf_dir):
+    """A frontier that doubles up to 160 rows while a query is short of k."""
+    base = _base(spark, sf_dir)
+    return _rounded(search.iterative(base, _queries(base), K, _passes(), ef=EF, max_scan=MAX_SCAN))
+
+
+def _copy_path(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@_query(_ranked_sql(where=f"WHERE {_PASSES_SQL}"))
+def str4_partial(spark, sf_dir):
+    """The k nearest in a filtered copy of the table."""
+    base = _base(spark, sf_dir)
+    layout = layouts.write_filtered(base, _passes(), _copy_path(spark, "filtered"))
+    return _rounded(search.top_k(spark.read.parquet(layout.path), _queries(base), K))
+
+
+@_query(_ranked_sql(where=f"WHERE {_PASSES_SQL}"))
+def str5_partition(spark, sf_dir):
+    """The k nearest in a copy in folders by label, of which the filter prunes all but three."""
+    base = _base(spark, sf_dir)
+    layout = layouts.write_partitioned(base, "label", _copy_path(spark, "partitioned"))
+    return _rounded(search.exact(spark.read.parquet(layout.path), _queries(base), K, _passes()))
+
+
+@_query(_ranked_sql("-list_inner_product(embedding::DOUBLE[], qvec)"))
+def top1_inner_product(spark, sf_dir):
+    """The k nearest by inner product (its sign turned)."""
+    base = _base(spark, sf_dir)
+    return _rounded(search.top_k(base, _queries(base), K, metric="ip"))
+
+
+@_query(_ranked_sql("list_cosine_distance(embedding::DOUBLE[], qvec)"))
+def top1_cosine(spark, sf_dir):
+    """The k nearest by cosine distance."""
+    base = _base(spark, sf_dir)
+    return _rounded(search.top_k(base, _queries(base), K, metric="cosine"))
+
+
+@_query(
+    f"""WITH one AS (SELECT embedding::DOUBLE[] AS qvec FROM embeddings WHERE vec_id = 0)
+SELECT vec_id, round({_L2}, 6) AS distance FROM embeddings, one WHERE {_PASSES_SQL} ORDER BY {_L2}, vec_id LIMIT {K}"""
+)
+def src2_single_search(spark, sf_dir):
+    """One query vector, in expressions only."""
+    base = _base(spark, sf_dir)
+    (query,) = base.where("vec_id = 0").select("embedding").first()
+    return search.nearest_to(base, query, K, where=_passes()).withColumn("distance", F.round("distance", 6))
+
+
+@_query(
+    """SELECT a.vec_id, round(list_distance(a.e, b.e), 6) AS l2, round(list_sum(list_transform(list_zip(a.e, b.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) AS l2_squared,
+round(list_inner_product(a.e, b.e), 6) AS ip, round(list_cosine_distance(a.e, b.e), 6) AS cosine,
+round(list_sum(list_transform(list_zip(a.e, b.e), lambda p: abs(p[1] - p[2]))), 6) AS l1, round(sqrt(list_inner_product(a.e, a.e)), 6) AS norm,
+bit_count(xor(a.vec_id, 85)) AS hamming, round(CASE WHEN (a.vec_id | 85) = 0 THEN 0.0 ELSE 1 - bit_count(a.vec_id & 85)::DOUBLE / bit_count(a.vec_id | 85) END, 6) AS jaccard
+FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) a JOIN (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) b ON b.vec_id = a.vec_id + 1"""
+)
+def vec_functions(spark, sf_dir):
+    """Every vector function, between each vector and the one with the next id."""
+    a = _base(spark, sf_dir).select("vec_id", "embedding")
+    b = a.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    shown = {
+        "l2": vectors.l2("embedding", "other"), "l2_squared": vectors.l2_squared("embedding", "other"), "ip": vectors.inner_product("embedding", "other"),
+        "cosine": vectors.cosine("embedding", "other"), "l1": vectors.l1("embedding", "other"), "norm": vectors.norm("embedding"),
+        "jaccard": vectors.jaccard(F.col("vec_id"), F.lit(85).cast("long")),
+    }
+    hamming = vectors.hamming(F.col("vec_id"), F.lit(85).cast("long")).cast("tinyint")
+    return a.join(b, "vec_id").select("vec_id", *(F.round(c, 6).alias(n) for n, c in shown.items()), hamming.alias("hamming"))
+
+
+_TRUTH_SQL = f"""t AS (SELECT query_id, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM near WHERE {_PASSES_SQL}) WHERE rank <= {K})"""
+_METRICS_SQL = f"""WITH {_frontier_sql(EF)}, {_TRUTH_SQL},
+m AS (SELECT q.query_id, (SELECT count(*) FROM t WHERE t.query_id = q.query_id) AS n_truth, (SELECT count(*) FROM found f WHERE f.query_id = q.query_id AND rank <= {K}) AS n_found,
+(SELECT count(*) FROM found f JOIN t USING (query_id, vec_id) WHERE f.query_id = q.query_id AND rank <= {K}) AS hits FROM q)"""
+
+
+@_query(f"{_METRICS_SQL} SELECT *, CASE WHEN n_truth = 0 THEN 1.0::DOUBLE ELSE hits::DOUBLE / n_truth END AS recall, n_found >= least(n_truth, {K}) AS returns_k FROM m")
+def agg6_recall_by_query(spark, sf_dir):
+    """Recall and returned rows of the postfilter strategy, by query."""
+    base = _base(spark, sf_dir)
+    q = _queries(base)
+    return metrics.per_query(search.exact(base, q, K, _passes()), search.postfilter(base, q, K, _passes(), ef=EF), q, K)
+
+
+@_query(
+    f"""{_METRICS_SQL} SELECT round(avg(CASE WHEN n_truth = 0 THEN 1.0 ELSE hits::DOUBLE / n_truth END), 6) AS recall_at_k,
+round(avg((n_found >= least(n_truth, {K}))::INT), 6) AS returns_k_rate, round(avg(n_found), 6) AS mean_results FROM m"""
+)
+def agg7_quality(spark, sf_dir):
+    """Mean recall, rate of full answers and mean number of rows."""
+    found = metrics.summary(agg6_recall_by_query(spark, sf_dir))
+    return found.select(*(F.round(c, 6).alias(c) for c in found.columns))
+
+
+_PROBE_SQL = f"""p AS (SELECT query_id, count(*) AS sample_size, count(*) FILTER ({_PASSES_SQL}) AS passing FROM
+(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS place FROM near) WHERE place <= {PROBE} GROUP BY query_id),
+s AS (SELECT *, passing / sample_size AS s_local, 1 / sample_size AS floor, least(1.0::DOUBLE, sample_size / least({PROBE}, 200)) * least(1.0::DOUBLE, passing / 5) AS confidence FROM p)"""
+
+
+@_query(f"WITH {_NEAR.format(distance=_L2, where='')}, {_PROBE_SQL} SELECT query_id, sample_size, passing, round(s_local, 9) AS s_local, round(floor, 9) AS floor, round(confidence, 9) AS confidence FROM s")
+def loc1_probes(spark, sf_dir):
+    """The share of each query's 50 nearest neighbours that passes, all in one search."""
+    base = _base(spark, sf_dir)
+    found = local.probes(base, _queries(base), PROBE, _passes())
+    return found.select("query_id", "sample_size", "passing", *(F.round(c, 9).alias(c) for c in ("s_local", "floor", "confidence")))
+
+
+@_query(
+    f"""WITH {_NEAR.format(distance=_L2, where='')}, {_PROBE_SQL},
+g AS (SELECT avg(({_PASSES_SQL})::INT) AS s_global FROM embeddings),
+a AS (SELECT quantile_cont(s_local, 0.1) AS s_local_p10, quantile_cont(s_local, 0.5) AS s_local_median, least(1.0, count(*) / 16.0) * quantile_cont(confidence, 0.5) AS confidence,
+sum(sample_size)::BIGINT AS sample_size, sum(passing)::BIGINT AS passing_rows, max(floor) AS resolution_floor FROM s)
+SELECT round(s_local_p10, 9) AS s_local_p10, round(s_local_median, 9) AS s_local_median, round(confidence, 9) AS confidence, sample_size, passing_rows, round(resolution_floor, 9) AS resolution_floor,
+round(s_global, 9) AS s_global, round(greatest(-1.0, least(1.0, (s_local_p10 / greatest(s_global, 1e-12) - 1) / (s_local_p10 / greatest(s_global, 1e-12) + 1))), 9) AS rho FROM a, g"""
+)
+def loc4_local_selectivity(spark, sf_dir):
+    """The tenth percentile and median of local selectivity, and how it relates to the global one."""
+    base = _base(spark, sf_dir)
+    found = local.local_selectivity(base, _queries(base), PROBE, _passes())
+    return found.select(*(c if c in ("sample_size", "passing_rows") else F.round(c, 9).alias(c) for c in found.columns))
+
+
+_FILTERS = {
+    "equal": "l_returnflag = 'R'",
+    "turned": "30 < l_quantity",
+    "range_and": "l_quantity >= 10 AND l_quantity < 20 AND l_discount <= 0.05",
+    "between": "l_extendedprice BETWEEN 10000 AND 20000",
+    "in_list": "l_linenumber IN (1, 3, 5)",
+    "dates": "l_shipdate >= '1995-01-01' AND l_linestatus = 'O'",
+}
+
+
+
+@_query(" UNION ALL ".join(f"SELECT '{n}' AS name, count(*) FILTER ({f}) AS n, round(avg(({f})::INT), 9) AS share FROM lineitem" for n, f in _FILTERS.items()))
+def flt_filters(spark, sf_dir):
+    """Rows and shares of parsed filters of every kind, counted in one pass over lineitem."""
+    df = _table(spark, sf_dir, "lineitem")
+    conditions = {n: filters.to_column(filters.parse_filter(spark, f, df.columns)) for n, f in _FILTERS.items()}
+    one = df.agg(F.count("*").alias("all"), *(F.count_if(c).alias(n) for n, c in conditions.items()))
+    return one.select(F.inline(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("n"), F.round(F.col(n) / F.col("all"), 9).alias("share")) for n in conditions))))
+
+
+_PROFILED = ["o_orderstatus", "o_orderpriority", "o_custkey", "o_totalprice"]
+
+
+@_query(
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(*) AS n_rows, round(1 - count({c}) / count(*), 9) AS null_frac, count(DISTINCT {c}) AS n_distinct FROM orders" for c in _PROFILED
+    )
+)
+def sel_column_profile(spark, sf_dir):
+    """Null fraction and distinct values of several columns in one pass."""
+    return statistics.profile(_table(spark, sf_dir, "orders"), _PROFILED).select("column_name", "n_rows", F.round("null_frac", 9).alias("null_frac"), "n_distinct")
+
+
+@_query(
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS column_name, rank::INT AS rank, value, n, round(n / (SELECT count(*) FROM orders), 9) AS share FROM
+(SELECT {c}::VARCHAR AS value, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, {c}::VARCHAR) AS rank FROM orders WHERE {c} IS NOT NULL GROUP BY 1, {c} HAVING count(*) >= 2) WHERE rank <= 5"""
+        for c in ("o_orderstatus", "o_orderpriority", "o_custkey")
+    )
+)
+def sel_most_common(spark, sf_dir):
+    """The five most common values of three columns with their shares."""
+    found = statistics.most_common(_table(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority", "o_custkey"], 5)
+    return found.withColumn("share", F.round("share", 9))
+
+
+@_query("SELECT unnest(range(0, 11))::INT AS bound_no, round(unnest(quantile_cont(o_totalprice, [i / 10 for i in range(0, 11)])), 4) AS bound FROM orders")
+def sel_histogram(spark, sf_dir):
+    """Bounds of ten bins of equal counts."""
+    found = statistics.histogram_bounds(_table(spark, sf_dir, "orders"), "o_totalprice", 10)
+    return found.select("bound_no", F.round("bound", 4).alias("bound"))
+
+
+@_query(
+    """SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(count(*) / (SELECT count(*) FROM orders), 9) AS share FROM orders
+GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 8"""
+)
+def sel_joint_shares(spark, sf_dir):
+    """The most common pairs of two columns: statistics for filters that are not independent."""
+    return statistics.joint_shares(_table(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"], 8).withColumn("share", F.round("share", 9))
+
+
+@_query()
+def sel_estimates(spark, sf_dir):
+    """Estimated against measured selectivity of each filter, and how far they are apart."""
+    df = _table(spark, sf_dir, "lineitem")
+    parsed = {n: filters.parse_filter(spark, f, df.columns) for n, f in _FILTERS.items()}
+    stats = statistics.analyze(df, list(dict.fromkeys(c for p in parsed.values() for c in filters.filter_columns(p))))
+    counts = df.agg(F.count("*").alias("all"), *(F.count_if(filters.to_column(p)).alias(n) for n, p in parsed.items())).first()
+    rows = []
+    for n, p in parsed.items():
+        estimated, measured = statistics.conjunction_selectivity(stats, p), counts[n] / max(1, counts["all"])
+        rows.append((n, estimated, measured, statistics.severity(estimated, measured)))
+    return spark.createDataFrame(rows, "name string, estimated double, measured double, severity string")
+
+
+@_query(
+    """SELECT event_type, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95,
+round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type"""
+)
+def agg4_latency_percentiles(spark, sf_dir):
+    """Exact, interpolated percentiles by group, as for latencies."""
+    found = metrics.latency_summary(_table(spark, sf_dir, "events"), "value", "event_type")
+    return found.select("event_type", F.round("total", 4).alias("total"), *(F.round(c, 6).alias(c) for c in ("mean", "p50", "p95", "p99")))
+
+
+_CAL = costs.Calibration(0.15, 0.15, 4.4, 0.2, ((20, 0.6), (40, 0.9), (80, 0.97)))
+_POINTS = [(s / 1000, c / 10) for s in (5, 10, 20, 50, 100, 200, 400, 800) for c in (-6, 0, 6)]
+_POINTS_SQL = "points(selectivity, correlation) AS (VALUES " + ", ".join(f"({s}::DOUBLE, {c}::DOUBLE)" for s, c in _POINTS) + ")"
+_CASES_SQL = f"""{_POINTS_SQL},
+c AS (SELECT *, (SELECT count(*) FROM lineitem) AS n, selectivity AS s_global, greatest(1e-6, least(1.0, selectivity * exp(1.5 * correlation))) AS s_local FROM points),
+r AS (SELECT *, 0.9 AS at_ef FROM c),
+e AS (
+SELECT selectivity, correlation, 'exact' AS strategy, 0 AS priority, 0.3 * greatest(1.0, n * s_global) + 0.15 * greatest(1.0, n * s_global) * log2(10) AS latency_us, 1.0 AS recall, true AS returns_k FROM r UNION ALL
+SELECT selectivity, correlation, 'partial', 2, 0.15 * 4.4 * 40 * ln(greatest(2.0, greatest(1.0, n * s_global))), at_ef, true FROM r WHERE selectivity <= 0.01 UNION ALL
+SELECT selectivity, correlation, 'postfilter', 3, 0.15 * 4.4 * 40 * ln(n), at_ef * least(1.0, s_local * 40 / 10), s_local * 40 >= 10 FROM r UNION ALL
+SELECT selectivity, correlation, 'iterative_relaxed', 4, 0.15 * 4.4 * ln(n) * 10 / s_local, at_ef * CASE WHEN 10 / s_local > 800 THEN least(1.0, s_local * 800 / 10) ELSE 1.0 END, 10 / s_local <= 800 FROM r UNION ALL
+SELECT selectivity, correlation, 'iterative_strict', 5, 1.2 * 0.15 * 4.4 * ln(n) * 10 / s_local, at_ef * CASE WHEN 10 / s_local > 800 THEN least(1.0, s_local * 800 / 10) ELSE 1.0 END, 10 / s_local <= 800 FROM r),
+w AS (SELECT p.selectivity, p.correlation, coalesce((SELECT strategy FROM e WHERE e.selectivity = p.selectivity AND e.correlation = p.correlation AND returns_k AND recall >= 0.9 ORDER BY round(latency_us, 9), priority LIMIT 1), 'exact') AS winner FROM points p)"""
+
+
+def _cases(spark, sf_dir) -> DataFrame:
+    points = spark.createDataFrame(_POINTS, "selectivity double, correlation double")
+    near = F.greatest(F.lit(1e-6), F.least(F.lit(1.0), F.col("selectivity") * F.exp(F.lit(1.5) * F.col("correlation"))))
+    n = _table(spark, sf_dir, "lineitem").agg(F.count("*").alias("n_rows"))
+    return points.crossJoin(F.broadcast(n)).select(
+        "*", F.col("selectivity").alias("s_global"), near.alias("s_local"), F.when(F.col("selectivity") <= 0.01, F.col("selectivity")).alias("s_index"),
+        F.lit(None).cast("double").alias("s_partition"), F.lit(10).alias("k"), F.lit(40).alias("ef"), F.lit(800).alias("max_scan"),
+    )
+
+
+def _winners(spark, sf_dir) -> DataFrame:
+    return costs.best(costs.estimates(_cases(spark, sf_dir), _CAL), ["selectivity", "correlation"], 0.9)
+
+
+@_query(f"WITH {_CASES_SQL} SELECT selectivity, correlation, strategy, round(latency_us, 4) AS latency_us, round(recall, 6)::DOUBLE AS recall, returns_k FROM e")
+def cst_estimates(spark, sf_dir):
+    """Costs of all strategies over a grid of selectivity and correlation."""
+    found = costs.estimates(_cases(spark, sf_dir), _CAL)
+    return found.select("selectivity", "correlation", "strategy", F.round("latency_us", 4).alias("latency_us"), F.round("recall", 6).alias("recall"), "returns_k")
+
+
+@_query(f"WITH {_CASES_SQL} SELECT * FROM w")
+def cst6_choose_best(spark, sf_dir):
+    """The recommended strategy at each point of the grid."""
+    return _winners(spark, sf_dir)
+
+
+@_query(
+    f"""WITH {_CASES_SQL}, m AS (SELECT *, CASE WHEN lag(winner) OVER a IS NOT DISTINCT FROM winner AND row_number() OVER a > 1 THEN 0 ELSE 1 END AS changed FROM w WINDOW a AS (PARTITION BY correlation ORDER BY selectivity)),
+g AS (SELECT *, sum(changed) OVER (PARTITION BY correlation ORDER BY selectivity)::BIGINT AS region FROM m)
+SELECT correlation, region, min(winner) AS strategy, min(selectivity) AS low, max(selectivity) AS high, count(*) AS n_points FROM g GROUP BY correlation, region"""
+)
+def xov_winner_regions(spark, sf_dir):
+    """Runs of one winner along selectivity."""
+    return sweeps.winner_regions(_winners(spark, sf_dir))
+
+
+@_query(
+    f"""WITH {_CASES_SQL}, p AS (SELECT *, lead(selectivity) OVER a AS upper, lead(winner) OVER a AS to_strategy FROM w WINDOW a AS (PARTITION BY correlation ORDER BY selectivity))
+SELECT correlation, selectivity AS lower, upper, round(sqrt(selectivity * upper), 9) AS estimated, winner AS from_strategy, to_strategy FROM p WHERE winner <> to_strategy"""
+)
+def xov_crossovers(spark, sf_dir):
+    """Where the winner changes between neighbouring selectivities."""
+    return sweeps.crossovers(_winners(spark, sf_dir)).withColumn("estimated", F.round("estimated", 9))
+
+
+@_query(f"WITH {_CASES_SQL} SELECT winner, count(*) AS wins FROM w GROUP BY winner")
+def agg11_win_counts(spark, sf_dir):
+    """How often each strategy wins."""
+    return sweeps.win_counts(_winners(spark, sf_dir))
+
+
+@_query()
+def prf_checks(spark, sf_dir):
+    """The proof's checks on the grid, with the costs themselves as measurements."""
+    estimated = costs.estimates(_cases(spark, sf_dir), _CAL)
+    ok = F.max(F.when(F.col("strategy") == "postfilter", F.col("returns_k") & (F.col("recall") >= 0.9))).alias("postfilter_ok")
+    points = _winners(spark, sf_dir).join(estimated.groupBy("selectivity", "correlation").agg(ok), ["selectivity", "correlation"])
+    return sweeps.proof(points.withColumn("predicted", F.col("winner")))
+
+
+@_query(
+    f"""WITH {_NEAR.format(distance=_L2, where='')}, d AS (SELECT vec_id, min(distance) AS least FROM near GROUP BY vec_id)
+SELECT vec_id, round(least, 6) AS least FROM d ORDER BY least DESC, vec_id LIMIT 25"""
+)
+def dsg2_far_from_queries(spark, sf_dir):
+    """The rows farthest from all queries: an anti-correlated filter."""
+    return _nearest_query(spark, sf_dir).orderBy(F.desc("least"), "vec_id").limit(25).withColumn("least", F.round("least", 6))
+
+
+def _nearest_query(spark, sf_dir) -> DataFrame:
+    """(vec_id, least): the distance of each row to its nearest query; queries are a stated, broadcast block."""
+    base = _base(spark, sf_dir)
+    pairs = base.select("vec_id", "embedding").crossJoin(F.broadcast(_queries(base)))
+    return pairs.select("vec_id", vectors.l2("embedding", "qvec").alias("d")).groupBy("vec_id").agg(F.min("d").alias("least"))
+
+
+@_query(
+    f"""WITH {_NEAR.format(distance=_L2, where='')}, top AS (SELECT DISTINCT vec_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM near) WHERE rank <= {K}),
+d AS (SELECT vec_id, min(distance) AS least FROM near GROUP BY vec_id)
+SELECT vec_id, round(least, 6) AS least FROM d WHERE vec_id NOT IN (SELECT vec_id FROM top) ORDER BY least, vec_id LIMIT 25"""
+)
+def dsg3_band(spark, sf_dir):
+    """The nearest rows that are in no query's top k: a band just outside."""
+    base = _base(spark, sf_dir)
+    top = search.top_k(base, _queries(base), K).select("vec_id").distinct()
+    return _nearest_query(spark, sf_dir).join(top, "vec_id", "left_anti").orderBy("least", "vec_id").limit(25).withColumn("least", F.round("least", 6))
+
+
+@_query(
+    f"""WITH v AS (SELECT vec_id, list_inner_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 3)) AS score FROM embeddings)
+SELECT vec_id, round(score, 6) AS score FROM v ORDER BY score DESC, vec_id LIMIT 25"""
+)
+def dsg1_projection_tail(spark, sf_dir):
+    """The rows with the largest projection on a vector."""
+    base = _base(spark, sf_dir)
+    (direction,) = base.where("vec_id = 3").select("embedding").first()
+    scored = base.select("vec_id", vectors.inner_product("embedding", F.array(*(F.lit(float(x)) for x in direction))).alias("score"))
+    return scored.orderBy(F.desc("score"), "vec_id").limit(25).withColumn("score", F.round("score", 6))
+
+
+_LOG = [
+    ("1", "SELECT id FROM docs WHERE tenant_id = 7 AND score BETWEEN 1 AND 5 ORDER BY embedding <-> $1 LIMIT 10", 10, 100, 50.0),
+    ("2", "SELECT id FROM docs WHERE tenant_id = 9 AND score BETWEEN 2 AND 6 ORDER BY embedding <-> $1 LIMIT 10", 5, 50, 30.0),
+    ("3", "select * from app.items where region IN ('us', 'eu') and active order by vec <=> $1 limit $2", 7, 70, 90.0),
+    ("4", "SELECT count(*) FROM docs", 100, 100, 5.0),
+    ("5", "SELECT id FROM docs WHERE lower(body) = 'x' ORDER BY embedding <#> '[1,2]'", 1, 9, 1.0),
+]
+
+
+@_query()
+def wrk_shapes(spark, sf_dir):
+    """Shapes of the vector searches of a statement log, rolled up."""
+    log = spark.createDataFrame(_LOG, "queryid string, query string, calls long, rows long, total_exec_time_ms double")
+    return workload.roll_up(workload.shapes(workload.top_statements(log)))
+
+
+@_query(
+    "WITH c(ef, recall) AS (VALUES (10, 0.5::DOUBLE), (20, 0.8), (40, 0.75), (80, 0.9), (160, 0.9)) SELECT ef, max(recall) OVER (ORDER BY ef ROWS UNBOUNDED PRECEDING)::DOUBLE AS recall FROM c"
+)
+def win2_monotone_recall(spark, sf_dir):
+    """A measured recall curve made non-decreasing."""
+    return sweeps.monotone(spark.createDataFrame([(10, 0.5), (20, 0.8), (40, 0.75), (80, 0.9), (160, 0.9)], "ef int, recall double"))
+
+
+@_query(
+    """WITH p(strategy, recall, qps) AS (VALUES ('exact', 1.0::DOUBLE, 3.59::DOUBLE), ('postfilter', 0.175, 10.02), ('iterative', 0.9875, 3.52), ('partial', 0.8563, 33.84))
+SELECT * FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.recall >= a.recall AND b.qps >= a.qps AND (b.recall > a.recall OR b.qps > a.qps))"""
+)
+def win6_pareto(spark, sf_dir):
+    """The strategies that no other beats in both recall and throughput."""
+    rows = [("exact", 1.0, 3.59), ("postfilter", 0.175, 10.02), ("iterative", 0.9875, 3.52), ("partial", 0.8563, 33.84)]
+    return sweeps.pareto(spark.createDataFrame(rows, "strategy string, recall double, qps double"))
+
+
+@_query(
+    f"""WITH {_frontier_sql(EF)}, {_TRUTH_SQL} SELECT query_id, count(*) AS hits FROM (SELECT query_id, vec_id FROM t INTERSECT SELECT query_id, vec_id FROM found WHERE rank <= {K}) GROUP BY query_id"""
+)
+def set1_common_ids(spark, sf_dir):
+    """The ids that truth and postfilter share, by query, as a set operation."""
+    base = _base(spark, sf_dir)
+    q = _queries(base)
+    pairs = [x.select("query_id", "vec_id") for x in (search.exact(base, q, K, _passes()), search.postfilter(base, q, K, _passes(), ef=EF))]
+    return pairs[0].intersect(pairs[1]).groupBy("query_id").agg(F.count("*").alias("hits"))
+
+
+@_query()
+def src15_clustered(spark, sf_dir):
+    """Observed selectivity by cluster of a generated table with a filter that follows its clusters."""
+    made = sources.clustered(spark, 5000, 8, clusters=6, selectivity=0.2, correlation=0.7)
+    return made.groupBy("cluster_id").agg(F.count("*").alias("n"), F.avg(F.col("passes_filter").cast("double")).alias("share"))
+
+
+@_query()
+def ann_by_centre(spark, sf_dir):
+    """Recall of approximate search over lists by nearest centre, against the truth."""
+    base = _base(spark, sf_dir)
+    q = _queries(base)
+    centres = layouts.fit_centres(base, 8)
+    path = _copy_path(spark, "lists")
+    layouts.write_by_centre(base, centres, path)
+    found = layouts.search_by_centre(spark, path, centres, q, K, probes=4)
+    return metrics.summary(metrics.per_query(search.top_k(base, q, K), found, q, K))
