@@ -41,7 +41,7 @@ def parse_vectors(text: str, most: int = MOST_QUERIES, dim: int | None = None) -
 
 def queries_of(spark: SparkSession, vectors: list[list[float]]) -> DataFrame:
     """(query_id, qvec) from vectors on the driver."""
-    return spark.createDataFrame(list(enumerate(vectors)), "query_id long, qvec array<double>")
+    return spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "query_id long, qvec array<double>")
 
 
 def queries_from_file(spark: SparkSession, path: str, most: int = MOST_QUERIES, dim: int | None = None) -> DataFrame:
