@@ -1,7 +1,8 @@
 """Candidate links from buckets, without all pairs of a bucket.
 
 Members of a bucket are compared with its most central member. Only members that this leaves outside the
-component of the central one are compared further: with every member of a small bucket, else with each other.
+component of the central one are compared further: with every member of a small bucket, else with the heads of
+finer parts of the bucket.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ SMALL = 12
 def shared_buckets(members: DataFrame) -> DataFrame:
     """Rows (bucket, node) of buckets with at least two nodes, with `size`."""
     sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    return members.join(sizes, "bucket")
+    return members.join(sizes.hint("shuffle_hash"), "bucket")
 
 
 def central(buckets: DataFrame) -> DataFrame:
@@ -32,24 +33,29 @@ def first_pairs(centred: DataFrame) -> DataFrame:
     return centred.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
 
 
-def second_pairs(centred: DataFrame, component_of: DataFrame, signatures: DataFrame | None = None, alike: Column | None = None) -> DataFrame:
+def second_pairs(centred: DataFrame, component_of: DataFrame, signatures: DataFrame, alike: Column, finer: list[Column]) -> DataFrame:
     """(a, b): pairs that the first round may have missed, of different components.
 
-    component_of: (node, component) for linked nodes; others stand alone. With signatures (node, signature), only
-    pairs that meet the condition `alike` on signature_a and signature_b come out of the join.
+    component_of: (node, component) for linked nodes; others stand alone. signatures: (node, signature). Of a small
+    bucket, the pairs that meet `alike` on signature_a and signature_b. A large bucket is cut finer by each of the
+    columns `finer` of the signature, and each member that stands apart is paired with one member of its part: as
+    many pairs as members, however large the bucket.
     """
     known = centred.join(component_of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     homes = known.where("node = centre").select("bucket", F.col("component").alias("home"))
-    known = known.join(homes, "bucket")
+    known = known.join(homes, "bucket").where("node <> centre")
     away = F.col("component") != F.col("home")
-    # a bucket without members away has nothing to add
-    left = known.where(away).select("bucket").distinct()
-    known = known.where(away | (F.col("size") <= SMALL)).where("node <> centre").join(left, "bucket", "left_semi")
-    if signatures is not None:
-        known = known.join(signatures, "node")
-    a = known.where(away).select("bucket", *(F.col(c).alias(f"{c}_a") for c in known.columns if c != "bucket"))
-    b = known.select(F.col("bucket").alias("bucket_b"), *(F.col(c).alias(f"{c}_b") for c in known.columns if c != "bucket"))
-    once = (F.col("node_a") < F.col("node_b")) | (F.col("component_b") == F.col("home_b"))
-    on = (F.col("bucket") == F.col("bucket_b")) & (F.col("component_a") != F.col("component_b")) & once
-    pairs = a.join(b, on if alike is None else on & alike)
-    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    known = known.join(known.where(away).select("bucket").distinct(), "bucket", "left_semi")
+    small = F.col("size") <= SMALL
+    known = known.where(away | small).join(signatures, "node").select("bucket", "node", "component", "signature", "size", away.alias("away"))
+
+    a, b = (known.where(small).select(*(F.col(c).alias(f"{c}_{x}") for c in known.columns)) for x in "ab")
+    once = (F.col("node_a") < F.col("node_b")) | ~F.col("away_b")
+    on = (F.col("bucket_a") == F.col("bucket_b")) & F.col("away_a") & (F.col("component_a") != F.col("component_b")) & once & alike
+    near = a.join(b, on).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+    parts = F.array(*(F.xxhash64("bucket", F.lit(i), f) for i, f in enumerate(finer)))
+    large = known.where(~small).select("node", "component", F.explode(parts).alias("part"))
+    heads = large.groupBy("part").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    far = large.join(heads, "part").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    return near.unionAll(far).distinct()
