@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from farsight.llm import components, fingerprints, line_dedup, linking, minhash_dedup, substring_dedup
 from farsight.llm.textnum import Words
@@ -89,8 +90,11 @@ def test_minhash_awkward_rows(spark, corpus):
 def test_second_round_finds_what_the_centre_misses(spark):
     centred = spark.createDataFrame([(7, n, 4, 1) for n in (1, 2, 3, 4)], "bucket long, node long, size long, centre long")
     known = spark.createDataFrame([(1, 1), (2, 1)], "node long, component long")
-    pairs = {tuple(sorted(r)) for r in linking.second_pairs(centred, known).collect()}
+    signatures = spark.createDataFrame([(n, n % 2) for n in (1, 2, 3, 4)], "node long, signature long")
+    find = lambda df: {tuple(sorted(r)) for r in linking.second_pairs(df, known, signatures, F.lit(True), [F.col("signature")]).collect()}
+    pairs = find(centred)
     assert pairs == {(3, 4), (2, 3), (2, 4)}
+    assert find(centred.withColumn("size", F.lit(99).cast("long"))) == set()
 
 
 def _repeats(rows):
