@@ -16,6 +16,7 @@ equal rows get equal results; texts of under 20 words lose nothing. Further inpu
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,7 +61,7 @@ def _found_rows(hashes, docs, rows, at, groups: int, keep_first: bool) -> Iterat
         yield _packed(int(hashes[known][0] % np.uint64(groups)), hashes[:0], docs[known], rows[known], at[known], True)
     hashes, docs, rows, at = hashes[first], docs[first], rows[first], at[first]
     group = (hashes % np.uint64(groups)).astype(np.int64)
-    order = np.argsort(group, kind="stable")
+    order = np.lexsort((at, docs, group))  # by document, so that neighbours are alike and compress
     ends = np.flatnonzero(np.diff(group[order], append=-1)) + 1
     start = 0
     for end in ends:
@@ -70,7 +71,8 @@ def _found_rows(hashes, docs, rows, at, groups: int, keep_first: bool) -> Iterat
 
 
 def _packed(group: int, hashes, docs, rows, at, known: bool) -> dict:
-    return {"group": group, "hash": hashes.tobytes(), "doc": docs.tobytes(), "row": rows.tobytes(), "at": at.astype(np.uint32).tobytes(), "known": known}
+    """One row of _FOUND; doc_ids as differences."""
+    return {"group": group, "hash": hashes.tobytes(), "doc": np.diff(docs, prepend=0).tobytes(), "row": rows.tobytes(), "at": at.astype(np.uint32).tobytes(), "known": known}
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:
@@ -79,7 +81,10 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
 
 
 def _unpacked(table: pa.Table, what: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(what).to_pylist()), kind)
+    parts = table.column(what).to_pylist()
+    if what == "doc":
+        return np.concatenate([np.cumsum(np.frombuffer(p, kind), dtype=kind) for p in parts]) if parts else np.empty(0, kind)
+    return np.frombuffer(b"".join(parts), kind)
 
 
 def _places(docs: np.ndarray, rows: np.ndarray, at: np.ndarray) -> pa.Table:
@@ -89,7 +94,7 @@ def _places(docs: np.ndarray, rows: np.ndarray, at: np.ndarray) -> pa.Table:
     new = np.concatenate([[True], (docs[1:] != docs[:-1]) | (rows[1:] != rows[:-1])]) if len(docs) else np.zeros(0, bool)
     start = np.flatnonzero(new)
     lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(docs)).astype(np.int32)), pa.array(at.astype(np.int32)))
-    return pa.table({"key": pa.array(docs[start]), "row": pa.array(rows[start]), "at": lists})
+    return pa.table({"key": pa.array(docs[start]), "row": pa.array(rows[start].astype(np.int64)), "at": lists})
 
 
 _PLACES = "key long, row long, at array<int>"
@@ -101,7 +106,7 @@ def _repeated(found: DataFrame, keep_first: bool) -> DataFrame:
     def judged(table: pa.Table) -> pa.Table:
         sure = table.filter(table.column("known"))
         open_ = table.filter(pa.compute.invert(table.column("known")))
-        hashes, docs, rows, at = (_unpacked(open_, c, k) for c, k in (("hash", np.uint64), ("doc", np.int64), ("row", np.int64), ("at", np.uint32)))
+        hashes, docs, rows, at = (_unpacked(open_, c, k) for c, k in (("hash", np.uint64), ("doc", np.int64), ("row", np.uint32), ("at", np.uint32)))
         order = np.lexsort((at, docs, hashes))
         hashes, docs, rows, at = hashes[order], docs[order], rows[order], at[order]
         if len(hashes):
@@ -114,7 +119,7 @@ def _repeated(found: DataFrame, keep_first: bool) -> DataFrame:
                 head = np.repeat(start, size)
                 want = (docs > docs[head]) | ((docs == docs[head]) & (at > at[head]))
             docs, rows, at = docs[want], rows[want], at[want]
-        return _places(*(np.concatenate([x, _unpacked(sure, c, k)]) for x, c, k in ((docs, "doc", np.int64), (rows, "row", np.int64), (at, "at", np.uint32))))
+        return _places(*(np.concatenate([x, _unpacked(sure, c, k)]) for x, c, k in ((docs, "doc", np.int64), (rows, "row", np.uint32), (at, "at", np.uint32))))
 
     import pyarrow.compute  # noqa: F401  for pa.compute, in the task
 
@@ -123,7 +128,7 @@ def _repeated(found: DataFrame, keep_first: bool) -> DataFrame:
 
 def _row_hash(raw: bytes) -> int:
     """Tells rows with one doc_id apart."""
-    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
+    return zlib.crc32(raw)
 
 
 def _places_by_document(places: DataFrame) -> DataFrame:
@@ -144,12 +149,12 @@ def find_repeats(docs: DataFrame) -> DataFrame:
                 place = at - words.first[words.text[at]]
                 fits = np.isin(place % PERIOD, COVER) & (words.count[words.text[at]] >= WINDOW)
                 hashes, at, place = hashes[fits], at[fits], place[fits]
-                row = np.array([_row_hash(t) for t in raw], np.int64)
+                row = np.array([_row_hash(t) for t in raw], np.uint32)
                 yield _batch(list(_found_rows(hashes, keys[a:b][words.text[at]], row[words.text[at]], place, groups, True)))
 
     def runs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(it):
-            keys, rows, texts, places = batch.column("key").to_numpy(), batch.column("row").to_numpy(), batch.column("text").to_pylist(), batch.column("at").to_pylist()
+            keys, rows, texts, places = batch.column("key").to_numpy(), batch.column("row").to_numpy().astype(np.uint32), batch.column("text").to_pylist(), batch.column("at").to_pylist()
             for a, b in chunks(texts, 1 << 19):
                 words = Words([t.encode() for t in texts[a:b]])
                 hashes, at = words.windows(WINDOW)
@@ -163,8 +168,8 @@ def find_repeats(docs: DataFrame) -> DataFrame:
                 i = words.text[at]
                 yield _batch(list(_found_rows(hashes, keys[a:b][i], rows[a:b][i], at - words.first[i], groups, False)))
 
-    anchored = _repeated(docs.select("key", "text").mapInArrow(anchors, _FOUND), True)
-    around = written(_places_by_document(anchored).select("key", F.col("row").alias("row"), "at"), "anchors")
+    # nothing here keeps the plan of the anchors, so that their shuffle files can go
+    around = written(_places_by_document(_repeated(docs.select("key", "text").mapInArrow(anchors, _FOUND), True)), "anchors")
     texts = _with_row(docs).join(around, ["key", "row"])
     return _places_by_document(_repeated(texts.mapInArrow(runs, _FOUND), False))
 
