@@ -149,7 +149,7 @@ def matches(index: Index, texts: list[str], q: int = Q) -> list[tuple[int, int,
         item, band = item[enough], band[enough]
         new = np.concatenate([[True], (item[1:] != item[:-1]) | (band[1:] > band[:-1] + 1)]) if len(item) else np.empty(0, bool)
         start = np.flatnonzero(new)
-        for a, b in zip(start, np.append(start[1:], len(item)), strict=True):
+        for a, b in zip(start, np.append(start, len(item))[1:], strict=True):
             i = int(item[a])
             k, code = int(index.budget[i]), index.texts[i]
             low, high = int(band[a]) * (k + 1) - k, (int(band[b - 1]) + 2) * (k + 1) + k
