@@ -21,7 +21,6 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from farsight.llm.shared import documents, text_or_empty, written
 
@@ -87,18 +86,16 @@ def features_of(text: str, tier: _Tier) -> list[float]:
 
 def with_features(docs: DataFrame, lexicon: dict[str, int], text: str = "text") -> DataFrame:
     """`docs` without its text, with an array column `features`."""
-    rest = [f for f in docs.schema.fields if f.name not in (text, "features")]
     held = docs.sparkSession.sparkContext.broadcast(lexicon)
 
-    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("array<double>")
+    def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tier = _Tier(held.value)
-        for batch in it:
-            out = batch.drop(columns=text)
-            out["features"] = [features_of(t or "", tier) for t in batch[text]]
-            yield out
+        for texts in batches:
+            yield pd.Series([features_of(t or "", tier) for t in texts])
 
-    schema = T.StructType([*rest, T.StructField("features", T.ArrayType(T.DoubleType(), False))])
-    return docs.select(*(f.name for f in rest), text).mapInPandas(batches, schema)
+    rest = [c for c in docs.columns if c not in (text, "features")]
+    return docs.select(*rest, features(text_or_empty(text)).alias("features"))
 
 
 def learn_lexicon(sample: DataFrame, positives: int, negatives: int, *, ratio: float = 8.0, size: int = 4000) -> dict[str, int]:
@@ -113,10 +110,8 @@ def learn_lexicon(sample: DataFrame, positives: int, negatives: int, *, ratio: f
             for t, y in zip(batch["text"], batch["label"], strict=True):
                 words = {w.strip(_TRIM) for w in t.lower().split()}
                 seen[int(y)].update({x for w in words if w for x in terms(w)})
-            all_terms = list(seen[1])
-            yield pd.DataFrame({"term": all_terms, "pos": [seen[1][t] for t in all_terms], "neg": [seen[0][t] for t in all_terms]})
-            rest = [t for t in seen[0] if t not in seen[1]]
-            yield pd.DataFrame({"term": rest, "pos": 0, "neg": [seen[0][t] for t in rest]})
+            if every := list(seen[0].keys() | seen[1].keys()):
+                yield pd.DataFrame({"term": every, "pos": [seen[1][t] for t in every], "neg": [seen[0][t] for t in every]})
 
     least = 3 if positives >= 100 else 2
     lift = (F.col("pos") / F.lit(float(positives))) / ((F.col("neg") + F.lit(0.5)) / F.lit(float(negatives)))
