@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +44,15 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def _bytes_shown() -> dict[int, int]:
+    """How byte-level tokenizers write bytes: visible Latin-1 characters as they are, the others from 256 on."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in visible)}
+
+
+_BYTES_SHOWN = _bytes_shown()
+
+
 class _Encoder:
     """Token ids of texts. This tokenizer joins nothing across blanks, so blank-separated parts are encoded once and kept."""
 
@@ -54,6 +64,7 @@ class _Encoder:
         self.known: dict[str, bytes] = {}
         self.mark = "\x01"
         (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
+        self.merges = self.tokenizer.model
         self.stops = {c: self._ids(c) for c in ".,"}
         self.common: dict[str, bytes] = {}  # stays when the rest is forgotten
 
@@ -66,8 +77,7 @@ class _Encoder:
                 core = core.lower()
                 tails.append((part, core, self.stops[part[-1]] if part[-1] in ".," else b""))
                 if core not in known:
-                    known[core] = b""
-                    whole.append(core)
+                    known[core] = self._word(core)
             else:
                 whole.append(part)
         odd = [p for p in whole if self.mark in p or "<|" in p]  # these may hold the mark's token, so they go one by one
@@ -85,6 +95,11 @@ class _Encoder:
         for part, core, tail in tails:
             known[part] = known[core] + tail
 
+    def _word(self, core: str) -> bytes:
+        """Ids of one lower-case word, by the merges alone: it needs no normalising and no cutting."""
+        shown = core if core.isascii() else core.encode().decode("latin-1").translate(_BYTES_SHOWN)
+        return array("I", [t.id for t in self.merges.tokenize(shown)]).tobytes()
+
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
