@@ -53,7 +53,7 @@ def test_toxicity_awkward_rows(spark, corpus):
     found = model.score(df)
     assert set(found.columns) == set(df.columns) - {"text"} and found.count() == len(rows)
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in found.collect())
-    new = {r["doc_id"]: r["predicted"] for r in model.score(corpus.frame([(1, corpus.text(25) + " scum moron"), (2, corpus.text(25))])).collect()}
+    new = {r["doc_id"]: r["predicted"] for r in model.score(corpus.frame([(1, corpus.text(25) + " you scum moron"), (2, corpus.text(25))])).collect()}
     assert new == {1: 1, 2: 0}
     assert model.score(df.limit(0)).count() == 0
     only = toxicity.fit(corpus.frame(good), spark.createDataFrame([(i, 0) for i, _ in good], "doc_id long, label int"))
