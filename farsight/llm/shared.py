@@ -42,8 +42,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     schema = df.schema
     del df
-    gc.collect()
-    jvm.System.gc()  # Spark removes shuffle files when the driver's garbage is collected
+    # Spark removes shuffle files when the driver's garbage is collected; what the first round frees holds more
+    for _ in range(2):
+        gc.collect()
+        jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 
