@@ -96,11 +96,13 @@ def line_links(docs: DataFrame, places: DataFrame, nodes: DataFrame, similarity:
     joined = components(links, "line-components")
     marks = nodes.select("node", F.col("mark").alias("signature"))
     finer = [F.expr(f"(signature >> {14 * i}) & 16383L") for i in range(4)]
-    second = written(linking.second_pairs(centred, joined, marks, _alike(similarity), finer), "line-pairs")
-    if second.isEmpty():
-        return joined
-    more = written(verified(second), "line-links")
-    return joined if more.isEmpty() else components(links.unionAll(more), "line-components")
+    later = (lambda: linking.second_pairs(centred, joined, marks, _alike(similarity), finer), lambda: linking.rest_pairs(centred, joined, marks, _alike(similarity)))
+    for found in later:
+        pairs = written(found(), "line-pairs")
+        if not pairs.isEmpty() and not (more := written(verified(pairs), "line-links")).isEmpty():
+            links = links.unionAll(more)
+            joined = components(links, "line-components")
+    return joined
 
 
 def removed_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, similarity: float = SIMILARITY) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Members of a bucket are compared with its most central member. Only members that this leaves outside the
 component of the central one are compared further: with every member of a small bucket, else with the heads of
-finer parts of the bucket.
+finer parts of the bucket. What is still of different components in one bucket is then compared pair by pair, in
+blocks, so no pair of a bucket is left out whatever its size.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Buckets up to this size have all their cross-component pairs compared in the second round.
 SMALL = 12
+#: Members of a block of a large bucket; a task compares two blocks at a time.
+BLOCK = 256
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:
@@ -33,6 +36,25 @@ def first_pairs(centred: DataFrame) -> DataFrame:
     return centred.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
 
 
+def _split(centred: DataFrame, component_of: DataFrame) -> DataFrame:
+    """(bucket, node, component, size, away) of all members but the centre, of buckets where some are `away` from the centre's component."""
+    known = centred.join(component_of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    homes = known.where("node = centre").select("bucket", F.col("component").alias("home"))
+    known = known.join(homes, "bucket").where("node <> centre").withColumn("away", F.col("component") != F.col("home"))
+    some = known.where("away").select("bucket").distinct()
+    return known.join(some, "bucket", "left_semi").select("bucket", "node", "component", "size", "away")
+
+
+def _across(left: DataFrame, right: DataFrame, by: list[str], alike: Column) -> DataFrame:
+    """(a, b): members away on the left with those on the right of other components that meet `alike`; each pair once."""
+    a, b = (x.select(*(F.col(c).alias(f"{c}_{n}") for c in x.columns)) for x, n in ((left, "a"), (right, "b")))
+    once = (F.col("node_a") < F.col("node_b")) | ~F.col("away_b")
+    on = F.col("away_a") & (F.col("component_a") != F.col("component_b")) & once & alike
+    for c in by:
+        on = (F.col(f"{c}_a") == F.col(f"{c}_b")) & on
+    return a.join(b, on).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+
 def second_pairs(centred: DataFrame, component_of: DataFrame, signatures: DataFrame, alike: Column, finer: list[Column]) -> DataFrame:
     """(a, b): pairs that the first round may have missed, of different components.
 
@@ -41,21 +63,31 @@ def second_pairs(centred: DataFrame, component_of: DataFrame, signatures: DataFr
     columns `finer` of the signature, and each member that stands apart is paired with one member of its part: as
     many pairs as members, however large the bucket.
     """
-    known = centred.join(component_of, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    homes = known.where("node = centre").select("bucket", F.col("component").alias("home"))
-    known = known.join(homes, "bucket").where("node <> centre")
-    away = F.col("component") != F.col("home")
-    known = known.join(known.where(away).select("bucket").distinct(), "bucket", "left_semi")
     small = F.col("size") <= SMALL
-    known = known.where(away | small).join(signatures, "node").select("bucket", "node", "component", "signature", "size", away.alias("away"))
+    known = _split(centred, component_of).where(F.col("away") | small).join(signatures, "node")
 
-    a, b = (known.where(small).select(*(F.col(c).alias(f"{c}_{x}") for c in known.columns)) for x in "ab")
-    once = (F.col("node_a") < F.col("node_b")) | ~F.col("away_b")
-    on = (F.col("bucket_a") == F.col("bucket_b")) & F.col("away_a") & (F.col("component_a") != F.col("component_b")) & once & alike
-    near = a.join(b, on).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    near = _across(known.where(small), known.where(small), ["bucket"], alike)
 
     parts = F.array(*(F.xxhash64("bucket", F.lit(i), f) for i, f in enumerate(finer)))
     large = known.where(~small).select("node", "component", F.explode(parts).alias("part"))
     heads = large.groupBy("part").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
     far = large.join(heads, "part").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     return near.unionAll(far).distinct()
+
+
+def rest_pairs(centred: DataFrame, component_of: DataFrame, signatures: DataFrame, alike: Column) -> DataFrame:
+    """(a, b): all pairs of a large bucket that are of different components after the second round and meet `alike`.
+
+    Those of small buckets, and those with the centre, are compared before. Members are dealt to blocks by hash; each
+    block of members that stand apart meets each block of the bucket, so a hot bucket is spread over many tasks.
+    """
+    known = _split(centred.where(F.col("size") > SMALL), component_of)
+    apart = known.where("away").groupBy("bucket").agg(F.count("*").alias("n_away"))
+    known = known.join(apart, "bucket").join(signatures, "node")
+    blocks = {"x": F.ceil(F.col("n_away") / BLOCK), "y": F.ceil(F.col("size") / BLOCK)}
+    own = {c: F.pmod(F.xxhash64("node"), n) for c, n in blocks.items()}
+    each = {c: F.explode(F.sequence(F.lit(0).cast("long"), n - 1)) for c, n in blocks.items()}
+    columns = ["bucket", "node", "component", "signature", "away"]
+    left = known.where("away").select(*columns, own["x"].alias("x"), each["y"].alias("y"))
+    right = known.select(*columns, each["x"].alias("x"), own["y"].alias("y"))
+    return _across(left, right, ["bucket", "x", "y"], alike).distinct()

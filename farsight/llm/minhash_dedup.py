@@ -196,6 +196,10 @@ def duplicate_classes(docs: DataFrame, *, similarity: float = SIMILARITY, bands:
     if not second.isEmpty():
         links = written(links.unionAll(verified(second, shingles, similarity)), "links")
         joined = components(links)
+    rest = written(linking.rest_pairs(centred, joined, nodes.select("node", "signature"), _alike(bands * rows, similarity)), "pairs")
+    if not rest.isEmpty():
+        links = written(links.unionAll(verified(rest, shingles, similarity)), "links")
+        joined = components(links)
     classes = nodes.select("node", "key", "copies").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = classes.groupBy("component").agg(F.min("key").alias("head"), F.sum("copies").alias("class_size"))
     heads = classes.join(heads, "component").select("node", "head", "class_size")

@@ -97,6 +97,33 @@ def test_second_round_finds_what_the_centre_misses(spark):
     assert find(centred.withColumn("size", F.lit(99).cast("long"))) == set()
 
 
+def test_no_pair_of_a_large_bucket_is_left_out(spark, corpus):
+    rows, base = [], corpus.text(400).split(" ")
+    for i in range(15):
+        near = base[: 200 + 10 * i] + corpus.text(24).split(" ") + base[224 + 10 * i :]
+        far = near[:140] + corpus.text(24).split(" ") + near[164:]
+        rows += [(len(rows), " ".join(near)), (len(rows) + 1, " ".join(far))]
+    df = corpus.frame(rows)
+    sketched = {r["key"]: r["bands"][0] for r in minhash_dedup.sketch(df.selectExpr("doc_id AS key", "text"), 1, 1).collect()}
+    sets = [_shingles(t) for _, t in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if sketched[a] == sketched[b] and _weighted(sets[a], sets[b]) >= 0.8]
+    assert max(Counter(sketched.values()).values()) > linking.SMALL
+    found = {r["doc_id"]: r["class_id"] for r in minhash_dedup.duplicate_classes(df, bands=1, rows=1).collect()}
+    assert [found[i] for i in range(len(rows))] == _roots(len(rows), links)
+
+
+@pytest.mark.parametrize("block", [2, 256])
+def test_the_last_round_compares_every_pair_that_is_left(spark, monkeypatch, block):
+    monkeypatch.setattr(linking, "BLOCK", block)
+    centred = spark.createDataFrame([(7, n, 20, 1) for n in range(1, 21)], "bucket long, node long, size long, centre long")
+    component = {1: 1, 2: 1, 3: 1, 4: 4, 5: 4} | {n: n for n in range(6, 21)}
+    known = spark.createDataFrame(list(component.items()), "node long, component long")
+    signatures = spark.createDataFrame([(n, n) for n in range(1, 21)], "node long, signature long")
+    found = [tuple(sorted(r)) for r in linking.rest_pairs(centred, known, signatures, F.abs(F.col("signature_a") - F.col("signature_b")) <= 2).collect()]
+    expected = {(a, b) for a in range(2, 21) for b in range(a + 1, min(a + 3, 21)) if component[a] != component[b]}
+    assert len(found) == len(set(found)) and set(found) == expected
+
+
 def _repeats(rows):
     first, out = {}, {}
     for i, text in sorted(rows):
