@@ -67,7 +67,10 @@ def dart_minhash(hashes: np.ndarray, weights: np.ndarray, text: np.ndarray, n: i
         while len(live):
             block = _BLOCK if len(live) < 4096 else 1
             draw = mix(seed[live][:, None] + (dart[:, None] + np.arange(1, block + 1, dtype=_U)) * _U(0xD1342543DE82EF95))
-            times = time[:, None] + np.cumsum(-np.log(_uniform(draw)) / width[live][:, None], axis=1)
+            times = -np.log(_uniform(draw)) / width[live][:, None]
+            # summed dart by dart from the first one: a time never depends on the blocks, so not on the other texts
+            times[:, 0] += time
+            times = np.cumsum(times, axis=1)
             place = mix(draw ^ _U(0xA0761D6478BD642F))
             hit = times < until[text[of[live]]][:, None]
             partly = low[live] > 0

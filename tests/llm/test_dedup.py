@@ -75,6 +75,17 @@ def test_signatures_estimate_weighted_likeness():
     assert np.isfinite(s).all() and abs((s[0] == s[1]).mean() - true) < 4 * (true * (1 - true) / k) ** 0.5
 
 
+def test_signatures_do_not_depend_on_the_batch():
+    r = np.random.default_rng(6)
+    short = r.integers(1, 1 << 62, 5).astype(np.uint64)
+    alone = minhash_dedup.dart_minhash(short, np.ones(5), np.zeros(5, np.int64), 1, 120)
+    for others in (700, 2000, 4000, 9000):
+        hashes = np.concatenate([short, r.integers(1, 1 << 62, others).astype(np.uint64)])
+        text = np.concatenate([np.zeros(5, np.int64), 1 + np.arange(others) // 9])
+        batch = minhash_dedup.dart_minhash(hashes, np.ones(len(hashes)), text, int(text[-1]) + 1, 120)
+        assert (batch[0] == alone[0]).all()
+
+
 def test_minhash_awkward_rows(spark, corpus):
     rows = corpus.awkward()
     df = corpus.frame(rows, extra=True)
