@@ -209,6 +209,27 @@ def test_lines_match_brute_force(spark, corpus):
     assert found == expected and links
 
 
+def test_lines_match_brute_force_on_all_shingles(spark, corpus, monkeypatch):
+    monkeypatch.setitem(globals(), "_line_shingles", lambda line: {line[i : i + 8] for i in range(max(1, len(line) - 7))})
+    test_lines_match_brute_force(spark, corpus)
+
+
+def test_unlike_lines_that_begin_alike_stay(spark, corpus):
+    lines = [
+        "https://example.org/a/first", "https://other.net/zzz", "- https://a.org/x", "- https://b.net/y", "user_id=1001", "user_id=2002",
+        "internationalization responsibilities", "internationalism responsibleness", "\u4e2d\u6587\u7684\u4e00\u884c\u6587\u5b57\u5f00\u59cb\u7532\u4e59\u4e19", "\u4e2d\u6587\u7684\u4e00\u884c\u6587\u5b57\u5f00\u5b50\u4e11\u5bc5\u536f\u8fb0",
+    ]
+    copy = "a line of some length that stands twice but for its last charactes"
+    found = line_dedup.dedup_lines(corpus.frame([(1, "\n".join([*lines, copy, copy[:-1]]))])).first()
+    assert found["text"] == "\n".join([*lines, copy]) and found["n_removed"] == 1
+
+
+def test_line_shingles_stand_at_every_position(spark):
+    texts = ["abcdefghij", "short", "abcdefgh", "\U0001f600" * 3 + "abcdefg", "a\rb"]
+    rows = spark.createDataFrame([(t,) for t in texts], "line string").select("line", line_dedup._shingles(F.col("line")).alias("s")).collect()
+    assert all(r["s"] == [r["line"][i : i + 8] for i in range(max(1, len(r["line"]) - 7))] for r in rows)
+
+
 def test_lines_awkward_rows(spark, corpus):
     rows = corpus.awkward()
     found = line_dedup.dedup_lines(corpus.frame(rows, extra=True)).collect()
