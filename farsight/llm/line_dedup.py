@@ -15,6 +15,7 @@ Further columns of the input are carried along, whatever their names.
 from __future__ import annotations
 
 import math
+import random
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -29,6 +30,7 @@ SHINGLE = 8
 BANDS, ROWS = 9, 3
 SIMILARITY = 0.8
 _LOWEST = -(1 << 63)
+_LOW = 0xFFFFFFFF
 #: From each character on; the match itself takes one character, never half of a surrogate pair.
 _SHINGLES = rf"(?s)(?=(.{{{SHINGLE}}}|^.{{1,{SHINGLE - 1}}}\z))."
 
@@ -46,17 +48,19 @@ def _shingles(line):
 
 def _signed(lines: DataFrame) -> DataFrame:
     """(node, bands, mark): one row for each distinct line. mark holds two bits of each of the minima."""
-    words = lines.select("node", F.explode(_shingles(F.col("line"))).alias("shingle")).select("node", F.hash("shingle").alias("h"))
-    # numbers only, so that the minima of a task are kept in a hash table; hashes are permuted by fixed differences
-    found = words.groupBy("node").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(_apart(i)))).alias(f"m{i}") for i in range(BANDS * ROWS)))
+    words = lines.select("node", F.explode(_shingles(F.col("line"))).alias("shingle")).select("node", F.hash("shingle").cast("long").bitwiseAND(F.lit(_LOW)).alias("h"))
+    # numbers only, so that the minima of a task are kept in a hash table
+    found = words.groupBy("node").agg(*(F.min(_permuted("h", i)).alias(f"m{i}") for i in range(BANDS * ROWS)))
     bands = [F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)]
     two = [F.shiftleft(F.hash(f"m{i}").bitwiseAND(F.lit(3)).cast("long"), 2 * i) for i in range(BANDS * ROWS)]
     return found.select("node", F.array(*bands).alias("bands"), reduce(lambda x, y: x.bitwiseOR(y), two).alias("mark"))
 
 
-def _apart(i: int) -> int:
-    """32-bit numbers whose leading bits all differ: multiples of the golden ratio."""
-    return (((2 * i + 1) * 0x9E3779B9) & 0xFFFFFFFF) - (1 << 31)
+def _permuted(h: str, i: int):
+    """The i-th permutation of the 32-bit numbers in a column: times an odd random number, all within 63 bits."""
+    drawn = random.Random(i)
+    times, apart = drawn.getrandbits(31) | 1, drawn.getrandbits(32)
+    return (F.col(h) * F.lit(times).cast("long")).bitwiseAND(F.lit(_LOW)).bitwiseXOR(F.lit(apart).cast("long"))
 
 
 def _alike(similarity: float):

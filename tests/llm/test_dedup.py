@@ -230,6 +230,15 @@ def test_line_shingles_stand_at_every_position(spark):
     assert all(r["s"] == [r["line"][i : i + 8] for i in range(max(1, len(r["line"]) - 7))] for r in rows)
 
 
+def test_short_near_copies_of_lines_share_a_band(spark):
+    r = np.random.default_rng(3)
+    lines = ["".join(map(chr, 97 + r.integers(0, 26, 13))) for _ in range(3000)]  # of 6 shingles, their copies of 5
+    rows = [(2 * k, x) for k, x in enumerate(lines)] + [(2 * k + 1, x[:12]) for k, x in enumerate(lines)]
+    bands = {n: set(b) for n, b in line_dedup._signed(spark.createDataFrame(rows, "node long, line string")).select("node", "bands").collect()}
+    # with independent minima (1 - (5 / 6) ** 3) ** 9 of the pairs, which is 1.3 of 3,000, share none
+    assert sum(not bands[2 * k] & bands[2 * k + 1] for k in range(3000)) <= 8
+
+
 def test_lines_awkward_rows(spark, corpus):
     rows = corpus.awkward()
     found = line_dedup.dedup_lines(corpus.frame(rows, extra=True)).collect()
