@@ -13,7 +13,7 @@ def _stars(links: DataFrame, large: bool) -> DataFrame:
     if large:
         links = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = links.groupBy("a").agg(F.min("b").alias("m"))
-    # counts are summed in tasks first, and a node with very many links is split by the join itself
+    # no aggregate follows the join in its stage, so that AQE may split the links of a node with very many
     near = links.join(least.select(F.col("a").alias("a_"), F.least("a", "m").alias("m")), F.col("a") == F.col("a_"))
     if large:
         made = near.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))

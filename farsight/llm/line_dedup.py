@@ -1,10 +1,10 @@
 """Fuzzy line dedup by MinHash, with DataFrame operations only.
 
 A line counts in lower case without outer blanks. Its character shingles are the runs of eight characters at every
-position; a shorter line is one run. Equal lines, by a 64-bit hash, are one node. Signatures of 27 minima make nine bands of
-three, which miss about one pair in 600 at the least likeness; buckets give candidate links (see linking), each
-verified on the exact Jaccard likeness of the shingle sets. Of each component of the links one line stays: the one
-at the smallest place (doc_id, line number).
+position; a shorter line is one run. Equal lines, by a 64-bit hash, are one node and are signed once. Signatures of
+36 minima make nine bands of four; buckets give candidate links (see linking), each verified on the exact Jaccard
+likeness of the shingle sets. Of each component of the links one line stays: the one at the smallest place
+(doc_id, line number).
 
 Defined results: a null text is kept as it is and has no lines; blank lines and lines shorter than `min_chars`
 characters (trimmed) always stay; a null doc_id comes before all others; rows that repeat a doc_id share its
@@ -22,17 +22,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farsight.llm import linking
-from farsight.llm.components import components
 from farsight.llm.shared import documents, written
 
 MIN_CHARS = 8
 SHINGLE = 8
-BANDS, ROWS = 9, 3
+BANDS, ROWS = 9, 4
 SIMILARITY = 0.8
+#: Minima of which a mark keeps two bits each.
+MARKED = 32
 _LOWEST = -(1 << 63)
 _LOW = 0xFFFFFFFF
-#: From each character on; the match itself takes one character, never half of a surrogate pair.
-_SHINGLES = rf"(?s)(?=(.{{{SHINGLE}}}|^.{{1,{SHINGLE - 1}}}\z))."
+#: A segment holds the characters of so many shingles.
+_AT_ONCE = 8
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -42,18 +43,22 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return lines.withColumn("node", F.xxhash64("line"))
 
 
-def _shingles(line):
-    return F.regexp_extract_all(line, F.lit(_SHINGLES), 1)
+def _segments(line, at_once: int = _AT_ONCE):
+    """The pieces of a line, each of the characters of `at_once` shingles (the last: of those left). No character is sought from the line's start."""
+    pattern = rf"(?s)(?=(.{{{SHINGLE},{SHINGLE + at_once - 1}}})).{{1,{at_once}}}"
+    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(pattern), 1))
 
 
-def _signed(lines: DataFrame) -> DataFrame:
-    """(node, bands, mark): one row for each distinct line. mark holds two bits of each of the minima."""
-    words = lines.select("node", F.explode(_shingles(F.col("line"))).alias("shingle")).select("node", F.hash("shingle").cast("long").bitwiseAND(F.lit(_LOW)).alias("h"))
-    # numbers only, so that the minima of a task are kept in a hash table
-    found = words.groupBy("node").agg(*(F.min(_permuted("h", i)).alias(f"m{i}") for i in range(BANDS * ROWS)))
-    bands = [F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)]
-    two = [F.shiftleft(F.hash(f"m{i}").bitwiseAND(F.lit(3)).cast("long"), 2 * i) for i in range(BANDS * ROWS)]
-    return found.select("node", F.array(*bands).alias("bands"), reduce(lambda x, y: x.bitwiseOR(y), two).alias("mark"))
+def _shingle(segment, i: int):
+    """The i-th shingle of a segment, or its last one where there are fewer."""
+    last = F.greatest(F.length(segment) - (SHINGLE - 1), F.lit(1))
+    return F.substring(segment, F.least(F.lit(i + 1), last), F.lit(SHINGLE))
+
+
+def _shingle_set(line, at_once: int = 16):
+    """Hashes of the distinct shingles of a line."""
+    one = lambda s: F.array(*(F.xxhash64(_shingle(s, i)) for i in range(at_once)))
+    return F.array_distinct(F.flatten(F.transform(_segments(line, at_once), one)))
 
 
 def _permuted(h: str, i: int):
@@ -63,62 +68,56 @@ def _permuted(h: str, i: int):
     return (F.col(h) * F.lit(times).cast("long")).bitwiseAND(F.lit(_LOW)).bitwiseXOR(F.lit(apart).cast("long"))
 
 
-def _alike(similarity: float):
-    """Whether two marks differ in as few bits as those of a linked pair do, but for one linked pair in some thousands."""
-    k, apart = BANDS * ROWS, 1 - similarity
-    most = math.ceil(k * apart + 3.5 * math.sqrt(k * (1.5 * apart - apart**2)))
-    return F.bit_count(F.col("signature_a").bitwiseXOR(F.col("signature_b"))) <= most
+def _signed(lines: DataFrame) -> DataFrame:
+    """(node, bands, signature) of distinct lines (node, line). The signature holds two bits of each of the first minima."""
+    cut = lines.select("node", F.explode(_segments(F.col("line"))).alias("segment"))
+    hashed = cut.select("node", *(F.hash(_shingle(F.col("segment"), i)).cast("long").bitwiseAND(F.lit(_LOW)).alias(f"h{i}") for i in range(_AT_ONCE)))
+    # numbers only, so that the minima of a task are kept in a hash table
+    minima = [F.min(F.least(*(_permuted(f"h{j}", i) for j in range(_AT_ONCE)))).alias(f"m{i}") for i in range(BANDS * ROWS)]
+    found = hashed.groupBy("node").agg(*minima)
+    bands = [F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)]
+    two = [F.shiftleft(F.hash(f"m{i}").bitwiseAND(F.lit(3)).cast("long"), 2 * i) for i in range(MARKED)]
+    return found.select("node", F.array(*bands).alias("bands"), reduce(lambda x, y: x.bitwiseOR(y), two).alias("signature"))
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, line, n): the text of each wanted line (node, key, at) and its number of shingles, read from one of its places."""
-    by_key = wanted.groupBy("key").agg(F.collect_list(F.struct("at", "node")).alias("places"))
-    lines = docs.join(by_key, "key").select(F.split("text", "\n").alias("lines"), "places").select("lines", F.explode("places").alias("place"))
-    found = lines.select("place.node", F.lower(F.trim(F.get("lines", "place.at"))).alias("line"))
-    # another row with this doc_id has other lines there
-    found = found.where(F.xxhash64("line") == F.col("node")).dropDuplicates(["node"])
-    return found.withColumn("n", F.size(F.array_distinct(_shingles(F.col("line")))))
+def _alike(similarity: float):
+    """Whether two signatures differ in as few bits as those of a linked pair do, but for one linked pair in some thousands."""
+    apart = 1 - similarity
+    most = math.ceil(MARKED * apart + 3.5 * math.sqrt(MARKED * (1.5 * apart - apart**2)))
+    return F.bit_count(F.col("signature_a").bitwiseXOR(F.col("signature_b"))) <= most
 
 
-def line_links(docs: DataFrame, places: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """(node, component) of the nodes with a verified link. places: (node, key, at) of all lines."""
-    members = nodes.select(F.explode("bands").alias("bucket"), "node")
-    centred = written(linking.central(linking.shared_buckets(members)), "line-buckets")
-    wanted = places.join(centred.select("node").distinct().hint("shuffle_hash"), "node", "left_semi")
-    wanted = wanted.groupBy("node").agg(F.min(F.struct("key", "at")).alias("place")).select("node", "place.*")
-    texts = written(_texts(docs, wanted), "line-texts")
+def line_components(lines: DataFrame, similarity: float) -> DataFrame:
+    """(node, component) of the nodes with a verified link; lines: distinct lines (node, line)."""
+    signed = written(_signed(lines), "line-signatures")
+    members = signed.select(F.explode("bands").alias("bucket"), "node")
+    centred = written(linking.central(written(linking.shared_buckets(members), "line-buckets")), "line-centres")
+    signatures = signed.select("node", "signature")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        a, b = (texts.select(F.col("node").alias(x), F.col("line").alias(f"line_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
-        sized = F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b")
-        shared = F.size(F.array_intersect(_shingles(F.col("line_a")), _shingles(F.col("line_b"))))
-        # shared / (n_a + n_b - shared) >= similarity, with the intersection taken once
-        alike = shared * F.lit(1 + similarity) >= F.lit(similarity) * (F.col("n_a") + F.col("n_b")) - F.lit(1e-9)
-        return pairs.join(a, "a").join(b, "b").where(sized & alike).select("a", "b")
-
-    links = written(verified(linking.first_pairs(centred)), "line-links")
-    joined = components(links, "line-components")
-    marks = nodes.select("node", F.col("mark").alias("signature"))
-    finer = [F.expr(f"(signature >> {14 * i}) & 16383L") for i in range(4)]
-    later = (lambda: linking.second_pairs(centred, joined, marks, _alike(similarity), finer), lambda: linking.rest_pairs(centred, joined, marks, _alike(similarity)))
-    for found in later:
-        pairs = written(found(), "line-pairs")
-        if not pairs.isEmpty() and not (more := written(verified(pairs), "line-links")).isEmpty():
-            links = links.unionAll(more)
-            joined = components(links, "line-components")
-    return joined
+        for x in "ab":
+            pairs = pairs.join(lines.select(F.col("node").alias(x), F.col("line").alias(f"line_{x}")), x)
+        sets = pairs.select("a", "b", *(_shingle_set(F.col(f"line_{x}")).alias(x * 2) for x in "ab"))
+        counts = sets.select("a", "b", (F.size("aa") + F.size("bb")).alias("all"), F.size(F.array_intersect("aa", "bb")).alias("shared"))
+        # shared / (all - shared) >= similarity, without a division
+        return counts.where(F.col("shared") * F.lit(1 + similarity) >= F.lit(similarity) * F.col("all") - F.lit(1e-9)).select("a", "b")
+
+    first = written(linking.likely(linking.first_pairs(centred), signatures, _alike(similarity)), "line-pairs")
+    first = written(verified(first), "line-links")
+    finer = [F.expr(f"(signature >> {16 * i}) & 65535L") for i in range(4)]
+    return linking.linked_components(centred, signatures, first, verified, _alike(similarity), finer, "line")
 
 
 def removed_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, similarity: float = SIMILARITY) -> DataFrame:
     """(key, drop): for each key of docs (key, text) that loses lines, the numbers of these lines, from 0."""
-    lines = _lines(docs, min_chars)
-    places = written(lines.select("node", "key", "at"), "line-places")
-    nodes = written(_signed(lines), "line-nodes")
-    joined = line_links(docs, places, nodes, similarity)
+    found = _lines(docs, min_chars)
+    lines = written(found.select("node", "line").dropDuplicates(["node"]), "lines")
+    joined = line_components(lines, similarity)
     # a node with one place and no link loses nothing
+    places = written(found.select("node", "key", "at"), "line-places")
     again = places.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node", F.col("node").alias("component"))
     linked = joined.unionAll(again.join(joined, "node", "left_anti"))
-    linked = written(places.join(linked.hint("shuffle_hash"), "node").select("component", "key", "at"), "line-copies")
+    linked = written(places.join(linked, "node").select("component", "key", "at"), "line-copies")
     heads = linked.groupBy("component").agg(F.min(F.struct("key", "at")).alias("head"))
     gone = linked.join(heads, "component").where((F.col("key") != F.col("head.key")) | (F.col("at") != F.col("head.at")))
     return gone.groupBy("key").agg(F.collect_set("at").alias("drop"))

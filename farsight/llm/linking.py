@@ -1,26 +1,33 @@
-"""Candidate links from buckets, without all pairs of a bucket.
+"""Classes from buckets, without all pairs of a bucket, by one rule for buckets of every size.
 
-Members of a bucket are compared with its most central member. Only members that this leaves outside the
-component of the central one are compared further: with every member of a small bucket, else with the heads of
-finer parts of the bucket. What is still of different components in one bucket is then compared pair by pair, in
-blocks, so no pair of a bucket is left out whatever its size.
+1. Members of a bucket are compared with its most central member.
+2. Of buckets where some members are then outside the component of the central one, all members are cut finer by
+   parts of their signatures and compared with one member of each part.
+3. What is still of different components in one bucket is compared pair by pair, in blocks: members outside the
+   central component with all others whose signatures agree enough. No pair of a bucket is left out, whatever its
+   size, and a hot bucket is spread over many tasks.
+
+The first two rounds make as many pairs as members; what they join, the third need not look at.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Buckets up to this size have all their cross-component pairs compared in the second round.
-SMALL = 12
-#: Members of a block of a large bucket; a task compares two blocks at a time.
+from farsight.llm.components import components
+from farsight.llm.shared import written
+
+#: Members of a block of a bucket; a task compares two blocks at a time.
 BLOCK = 256
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:
     """Rows (bucket, node) of buckets with at least two nodes, with `size`."""
     sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    return members.join(sizes.hint("shuffle_hash"), "bucket")
+    return members.join(sizes, "bucket")
 
 
 def central(buckets: DataFrame) -> DataFrame:
@@ -28,7 +35,7 @@ def central(buckets: DataFrame) -> DataFrame:
     weight = buckets.groupBy("node").agg(F.sum("size").alias("weight"))
     weighed = buckets.join(weight, "node")
     best = weighed.groupBy("bucket").agg(F.min_by("node", F.struct(-F.col("weight"), "node")).alias("centre"))
-    return weighed.drop("weight").join(best, "bucket")
+    return buckets.join(best, "bucket")
 
 
 def first_pairs(centred: DataFrame) -> DataFrame:
@@ -36,58 +43,71 @@ def first_pairs(centred: DataFrame) -> DataFrame:
     return centred.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
 
 
-def _split(centred: DataFrame, component_of: DataFrame) -> DataFrame:
-    """(bucket, node, component, size, away) of all members but the centre, of buckets where some are `away` from the centre's component."""
-    known = centred.join(component_of, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    homes = known.where("node = centre").select("bucket", F.col("component").alias("home"))
-    known = known.join(homes, "bucket").where("node <> centre").withColumn("away", F.col("component") != F.col("home"))
-    some = known.where("away").select("bucket").distinct()
-    return known.join(some, "bucket", "left_semi").select("bucket", "node", "component", "size", "away")
-
-
-def _across(left: DataFrame, right: DataFrame, by: list[str], alike: Column) -> DataFrame:
-    """(a, b): members away on the left with those on the right of other components that meet `alike`; each pair once."""
-    a, b = (x.select(*(F.col(c).alias(f"{c}_{n}") for c in x.columns)) for x, n in ((left, "a"), (right, "b")))
-    once = (F.col("node_a") < F.col("node_b")) | ~F.col("away_b")
-    on = F.col("away_a") & (F.col("component_a") != F.col("component_b")) & once & alike
-    for c in by:
-        on = (F.col(f"{c}_a") == F.col(f"{c}_b")) & on
-    return a.join(b, on).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+def likely(pairs: DataFrame, signatures: DataFrame, alike: Column) -> DataFrame:
+    """The pairs (a, b) that meet `alike` on signature_a and signature_b."""
+    for x in "ab":
+        pairs = pairs.join(signatures.select(F.col("node").alias(x), F.col("signature").alias(f"signature_{x}")), x)
+    return pairs.where(alike).select("a", "b")
 
 
-def second_pairs(centred: DataFrame, component_of: DataFrame, signatures: DataFrame, alike: Column, finer: list[Column]) -> DataFrame:
-    """(a, b): pairs that the first round may have missed, of different components.
+def split_buckets(centred: DataFrame, component_of: DataFrame) -> DataFrame:
+    """(bucket, node, component, away) without centres, of buckets where some are `away` from the centre's component.
 
-    component_of: (node, component) for linked nodes; others stand alone. signatures: (node, signature). Of a small
-    bucket, the pairs that meet `alike` on signature_a and signature_b. A large bucket is cut finer by each of the
-    columns `finer` of the signature, and each member that stands apart is paired with one member of its part: as
-    many pairs as members, however large the bucket.
+    component_of: (node, component) for linked nodes; others stand alone.
     """
-    small = F.col("size") <= SMALL
-    known = _split(centred, component_of).where(F.col("away") | small).join(signatures, "node")
+    homes = component_of.select(F.col("node").alias("centre"), F.col("component").alias("home"))
+    known = centred.where("node <> centre and size > 2").join(component_of, "node", "left").join(homes, "centre", "left")
+    known = known.withColumn("component", F.coalesce("component", "node"))
+    known = known.withColumn("away", F.col("component") != F.coalesce("home", "centre")).select("bucket", "node", "centre", "size", "component", "away")
+    some = known.where("away").select("bucket").distinct()
+    return known.join(some, "bucket", "left_semi")
 
-    near = _across(known.where(small), known.where(small), ["bucket"], alike)
 
+def finer_pairs(split: DataFrame, signatures: DataFrame, finer: list[Column]) -> DataFrame:
+    """(a, b): members of split buckets with the first of their part of the bucket, for each of the columns `finer` of the signature."""
     parts = F.array(*(F.xxhash64("bucket", F.lit(i), f) for i, f in enumerate(finer)))
-    large = known.where(~small).select("node", "component", F.explode(parts).alias("part"))
-    heads = large.groupBy("part").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    far = large.join(heads, "part").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    return near.unionAll(far).distinct()
+    cut = split.join(signatures, "node").select("node", "component", F.explode(parts).alias("part"))
+    heads = cut.groupBy("part").agg(F.min("node").alias("head"), F.min_by("component", "node").alias("of"), F.count("*").alias("n")).where("n > 1")
+    return cut.join(heads, "part").where("component <> of").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
 
 
-def rest_pairs(centred: DataFrame, component_of: DataFrame, signatures: DataFrame, alike: Column) -> DataFrame:
-    """(a, b): all pairs of a large bucket that are of different components after the second round and meet `alike`.
+def rest_pairs(split: DataFrame, signatures: DataFrame, alike: Column) -> DataFrame:
+    """(a, b): all pairs of split buckets that are of different components and meet `alike` on signature_a and signature_b.
 
-    Those of small buckets, and those with the centre, are compared before. Members are dealt to blocks by hash; each
-    block of members that stand apart meets each block of the bucket, so a hot bucket is spread over many tasks.
+    Members are dealt to blocks by hash; each block of members that are away meets each block of the bucket.
     """
-    known = _split(centred.where(F.col("size") > SMALL), component_of)
-    apart = known.where("away").groupBy("bucket").agg(F.count("*").alias("n_away"))
-    known = known.join(apart, "bucket").join(signatures, "node")
-    blocks = {"x": F.ceil(F.col("n_away") / BLOCK), "y": F.ceil(F.col("size") / BLOCK)}
+    sizes = split.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("away").alias("n_away"))
+    known = split.select("bucket", "node", "component", "away").join(sizes, "bucket").join(signatures, "node")
+    blocks = {"x": F.ceil(F.col("n_away") / BLOCK), "y": F.ceil(F.col("n") / BLOCK)}
     own = {c: F.pmod(F.xxhash64("node"), n) for c, n in blocks.items()}
     each = {c: F.explode(F.sequence(F.lit(0).cast("long"), n - 1)) for c, n in blocks.items()}
     columns = ["bucket", "node", "component", "signature", "away"]
     left = known.where("away").select(*columns, own["x"].alias("x"), each["y"].alias("y"))
     right = known.select(*columns, each["x"].alias("x"), own["y"].alias("y"))
-    return _across(left, right, ["bucket", "x", "y"], alike).distinct()
+    a, b = (x.select(*(F.col(c).alias(f"{c}_{n}") for c in x.columns)) for x, n in ((left, "a"), (right, "b")))
+    once = (F.col("node_a") < F.col("node_b")) | ~F.col("away_b")
+    on = (F.col("component_a") != F.col("component_b")) & once & alike
+    for c in ("bucket", "x", "y"):
+        on = (F.col(f"{c}_a") == F.col(f"{c}_b")) & on
+    return a.join(b, on).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
+def linked_components(
+    centred: DataFrame, signatures: DataFrame, first: DataFrame, verified: Callable[[DataFrame], DataFrame], alike: Column, finer: list[Column], name: str
+) -> DataFrame:
+    """(node, component) of all nodes with a verified link, by the three rounds above.
+
+    first: the verified links of the first round; verified: the links among pairs (a, b).
+    """
+    joined = components(first, f"{name}-components")
+    split = written(split_buckets(centred, joined), f"{name}-split")
+    for pairs in (lambda: likely(finer_pairs(split, signatures, finer), signatures, alike), lambda: rest_pairs(split, signatures, alike)):
+        if split.isEmpty():
+            break
+        found = written(verified(written(pairs(), f"{name}-pairs")), f"{name}-links")
+        if not found.isEmpty():
+            # the stars of before stand for the links that made them
+            stars = joined.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+            joined = components(stars.unionAll(found), f"{name}-components")
+            split = written(split_buckets(split.select("bucket", "node", "centre", "size"), joined), f"{name}-split")
+    return joined

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farsight.llm import linking
-from farsight.llm.components import components
 from farsight.llm.shared import documents, sliced, text_or_empty, written
 from farsight.llm.textnum import SPACES_AND_MARKS, Words, chunks, mix, ranges
 
@@ -37,6 +37,8 @@ _LOWEST = -(1 << 63)
 #: What SPACES_AND_MARKS leaves in a word.
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7F]"
 _BLOCK = 32
+#: Coordinates of which a long of the signature holds two bits each.
+PER_LONG = 30
 
 
 def _uniform(h: np.ndarray) -> np.ndarray:
@@ -109,7 +111,11 @@ def _node(words: Words) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, k: int = BANDS * ROWS, rows: int = ROWS) -> DataFrame:
-    """(key, node, words, bands, signature) of docs (key, text); bands hold hashes of `rows` coordinates, signature a byte for each."""
+    """(key, node, words, bands, signature) of docs (key, text).
+
+    bands hold hashes of `rows` coordinates; the signature is longs of two bits of each of PER_LONG coordinates.
+    """
+    longs = -(-k // PER_LONG)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(it):
@@ -123,12 +129,14 @@ def sketch(docs: DataFrame, k: int = BANDS * ROWS, rows: int = ROWS) -> DataFram
                     folded = mix(folded ^ times[:, r::rows][:, : k // rows])
                 at = pa.array(np.arange(0, (b - a) * (k // rows) + 1, k // rows, dtype=np.int32))
                 bands = pa.ListArray.from_arrays(at, pa.array(folded.ravel().view(np.int64)))
-                byte = (mix(times) >> _U(56)).astype(np.uint8).view(np.int8)
-                signature = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a) * k + 1, k, dtype=np.int32)), pa.array(byte.ravel()))
+                two = np.zeros((b - a, longs * PER_LONG), _U)
+                two[:, :k] = mix(times) >> _U(62)
+                packed = (two.reshape(b - a, longs, PER_LONG) << (2 * np.arange(PER_LONG, dtype=_U))).sum(axis=2, dtype=_U)
+                signature = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a) * longs + 1, longs, dtype=np.int32)), pa.array(packed.ravel().view(np.int64)))
                 columns = [keys.slice(a, b - a), pa.array(_node(words)), pa.array(words.count.astype(np.int64)), bands, signature]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "words", "bands", "signature"])
 
-    return docs.select("key", "text").mapInArrow(batches, "key long, node long, words long, bands array<long>, signature array<tinyint>")
+    return docs.select("key", "text").mapInArrow(batches, "key long, node long, words long, bands array<long>, signature array<long>")
 
 
 def shingle_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -175,9 +183,11 @@ def verified(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFr
 
 
 def _alike(k: int, similarity: float):
-    """Whether two signatures agree as often as those of a linked pair do, but for one linked pair in some thousands."""
-    least = math.floor(k * similarity - 3.7 * math.sqrt(k * similarity * (1 - similarity)))
-    return F.size(F.filter(F.zip_with("signature_a", "signature_b", lambda x, y: x == y), lambda same: same)) >= least
+    """Whether two signatures differ in as few bits as those of a linked pair do, but for one linked pair in some thousands."""
+    apart = 1 - similarity
+    most = math.ceil(k * apart + 3.7 * math.sqrt(k * (1.5 * apart - apart**2)))
+    bits = (F.bit_count(F.get("signature_a", F.lit(i)).bitwiseXOR(F.get("signature_b", F.lit(i)))) for i in range(-(-k // PER_LONG)))
+    return reduce(lambda x, y: x + y, bits) <= most
 
 
 def duplicate_classes(docs: DataFrame, *, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -187,22 +197,15 @@ def duplicate_classes(docs: DataFrame, *, similarity: float = SIMILARITY, bands:
     some = sketched.where("words > 0")
     nodes = written(some.groupBy("node").agg(F.min("key").alias("key"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "nodes")
     members = nodes.select(F.explode("bands").alias("bucket"), "node")
-    centred = written(linking.central(linking.shared_buckets(members)), "buckets")
+    centred = written(linking.central(written(linking.shared_buckets(members), "shared")), "buckets")
+    signatures = nodes.select("node", "signature")
 
-    first = written(linking.first_pairs(centred), "pairs")
     wanted = centred.select("node").distinct().join(nodes.select("node", "key"), "node")
     shingles = written(shingle_table(keyed, wanted), "shingles")
-    links = written(verified(first, shingles, similarity), "links")
-    joined = components(links)
-    finer = [F.xxhash64(F.slice("signature", 1 + 5 * i, 5)) for i in range(8)]
-    second = written(linking.second_pairs(centred, joined, nodes.select("node", "signature"), _alike(bands * rows, similarity), finer), "pairs")
-    if not second.isEmpty():
-        links = written(links.unionAll(verified(second, shingles, similarity)), "links")
-        joined = components(links)
-    rest = written(linking.rest_pairs(centred, joined, nodes.select("node", "signature"), _alike(bands * rows, similarity)), "pairs")
-    if not rest.isEmpty():
-        links = written(links.unionAll(verified(rest, shingles, similarity)), "links")
-        joined = components(links)
+    links = written(verified(written(linking.first_pairs(centred), "pairs"), shingles, similarity), "links")
+    # ten coordinates of the signature make a part
+    finer = [F.expr(f"(signature[{i}] >> {20 * j}) & 1048575L") for i in range(bands * rows // PER_LONG) for j in range(2)]
+    joined = linking.linked_components(centred, signatures, links, lambda pairs: verified(pairs, shingles, similarity), _alike(bands * rows, similarity), finer, "near")
     classes = nodes.select("node", "key", "copies").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = classes.groupBy("component").agg(F.min("key").alias("head"), F.sum("copies").alias("class_size"))
     heads = classes.join(heads, "component").select("node", "head", "class_size")

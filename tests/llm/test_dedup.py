@@ -98,17 +98,28 @@ def test_minhash_awkward_rows(spark, corpus):
     assert minhash_dedup.duplicate_classes(df.limit(0)).count() == 0 and minhash_dedup.deduplicate(df.limit(0)).count() == 0
 
 
-def test_second_round_finds_what_the_centre_misses(spark):
-    centred = spark.createDataFrame([(7, n, 4, 1) for n in (1, 2, 3, 4)], "bucket long, node long, size long, centre long")
-    known = spark.createDataFrame([(1, 1), (2, 1)], "node long, component long")
-    signatures = spark.createDataFrame([(n, n % 2) for n in (1, 2, 3, 4)], "node long, signature long")
-    find = lambda df: {tuple(sorted(r)) for r in linking.second_pairs(df, known, signatures, F.lit(True), [F.col("signature")]).collect()}
-    pairs = find(centred)
-    assert pairs == {(3, 4), (2, 3), (2, 4)}
-    assert find(centred.withColumn("size", F.lit(99).cast("long"))) == set()
+@pytest.mark.parametrize("size", [13, 100, 1000])
+def test_families_with_several_centres_stay_whole(spark, corpus, size):
+    # chains: each text is alike to its neighbours but not to those far off, and all share one bucket
+    base = corpus.text(300).split(" ")
+    rows = []
+    for i in range(size):
+        words = list(base)
+        words[: i % 13 * 4] = [f"n{k}" for k in range(i % 13 * 4)]
+        words.append(f"end{i}")
+        rows.append((i, " ".join(words)))
+    df = corpus.frame(rows)
+    sketched = {r["key"]: r["bands"][0] for r in minhash_dedup.sketch(df.selectExpr("doc_id AS key", "text"), 1, 1).collect()}
+    sets = [_shingles(t) for _, t in rows]
+    by_bucket = {}
+    for i in range(size):
+        by_bucket.setdefault(sketched[i], []).append(i)
+    links = [(a, b) for m in by_bucket.values() for k, a in enumerate(m) for b in m[:k] if _weighted(sets[a], sets[b]) >= 0.8]
+    found = {r["doc_id"]: r["class_id"] for r in minhash_dedup.duplicate_classes(df, bands=1, rows=1).collect()}
+    assert [found[i] for i in range(size)] == _roots(size, links)
 
 
-def test_no_pair_of_a_large_bucket_is_left_out(spark, corpus):
+def test_no_pair_of_a_bucket_is_left_out(spark, corpus):
     rows, base = [], corpus.text(400).split(" ")
     for i in range(15):
         near = base[: 200 + 10 * i] + corpus.text(24).split(" ") + base[224 + 10 * i :]
@@ -118,21 +129,24 @@ def test_no_pair_of_a_large_bucket_is_left_out(spark, corpus):
     sketched = {r["key"]: r["bands"][0] for r in minhash_dedup.sketch(df.selectExpr("doc_id AS key", "text"), 1, 1).collect()}
     sets = [_shingles(t) for _, t in rows]
     links = [(a, b) for a in range(len(rows)) for b in range(a) if sketched[a] == sketched[b] and _weighted(sets[a], sets[b]) >= 0.8]
-    assert max(Counter(sketched.values()).values()) > linking.SMALL
     found = {r["doc_id"]: r["class_id"] for r in minhash_dedup.duplicate_classes(df, bands=1, rows=1).collect()}
     assert [found[i] for i in range(len(rows))] == _roots(len(rows), links)
 
 
 @pytest.mark.parametrize("block", [2, 256])
-def test_the_last_round_compares_every_pair_that_is_left(spark, monkeypatch, block):
+@pytest.mark.parametrize("size", [4, 20])
+def test_the_last_round_compares_every_pair_that_is_left(spark, monkeypatch, block, size):
     monkeypatch.setattr(linking, "BLOCK", block)
-    centred = spark.createDataFrame([(7, n, 20, 1) for n in range(1, 21)], "bucket long, node long, size long, centre long")
-    component = {1: 1, 2: 1, 3: 1, 4: 4, 5: 4} | {n: n for n in range(6, 21)}
+    centred = spark.createDataFrame([(7, n, size, 1) for n in range(1, size + 1)], "bucket long, node long, size long, centre long")
+    component = {1: 1, 2: 1, 3: 1, 4: 4, 5: 4} | {n: n for n in range(6, size + 1)}
     known = spark.createDataFrame(list(component.items()), "node long, component long")
-    signatures = spark.createDataFrame([(n, n) for n in range(1, 21)], "node long, signature long")
-    found = [tuple(sorted(r)) for r in linking.rest_pairs(centred, known, signatures, F.abs(F.col("signature_a") - F.col("signature_b")) <= 2).collect()]
-    expected = {(a, b) for a in range(2, 21) for b in range(a + 1, min(a + 3, 21)) if component[a] != component[b]}
+    signatures = spark.createDataFrame([(n, n) for n in range(1, size + 1)], "node long, signature long")
+    split = linking.split_buckets(centred, known)
+    found = [tuple(sorted(r)) for r in linking.rest_pairs(split, signatures, F.abs(F.col("signature_a") - F.col("signature_b")) <= 2).collect()]
+    expected = {(a, b) for a in range(2, size + 1) for b in range(a + 1, min(a + 3, size + 1)) if component[a] != component[b]}
     assert len(found) == len(set(found)) and set(found) == expected
+    finer = {tuple(r) for r in linking.finer_pairs(split, signatures, [F.col("signature") % 2]).collect()}
+    assert finer and all(component[a] != component[b] and a % 2 == b % 2 for a, b in finer)
 
 
 def _repeats(rows):
@@ -181,7 +195,7 @@ def test_words_split_at_ascii_blanks_only():
 
 
 def _line_shingles(line):
-    return {m.group(1) for m in re.finditer(r"(?<!\S)(?=(\S.{0,7}))", line)}
+    return {line[i : i + 8] for i in range(max(1, len(line) - 7))}
 
 
 def test_lines_match_brute_force(spark, corpus):
@@ -209,11 +223,6 @@ def test_lines_match_brute_force(spark, corpus):
     assert found == expected and links
 
 
-def test_lines_match_brute_force_on_all_shingles(spark, corpus, monkeypatch):
-    monkeypatch.setitem(globals(), "_line_shingles", lambda line: {line[i : i + 8] for i in range(max(1, len(line) - 7))})
-    test_lines_match_brute_force(spark, corpus)
-
-
 def test_unlike_lines_that_begin_alike_stay(spark, corpus):
     lines = [
         "https://example.org/a/first", "https://other.net/zzz", "- https://a.org/x", "- https://b.net/y", "user_id=1001", "user_id=2002",
@@ -225,18 +234,30 @@ def test_unlike_lines_that_begin_alike_stay(spark, corpus):
 
 
 def test_line_shingles_stand_at_every_position(spark):
-    texts = ["abcdefghij", "short", "abcdefgh", "\U0001f600" * 3 + "abcdefg", "a\rb"]
-    rows = spark.createDataFrame([(t,) for t in texts], "line string").select("line", line_dedup._shingles(F.col("line")).alias("s")).collect()
-    assert all(r["s"] == [r["line"][i : i + 8] for i in range(max(1, len(r["line"]) - 7))] for r in rows)
-
-
-def test_short_near_copies_of_lines_share_a_band(spark):
-    r = np.random.default_rng(3)
-    lines = ["".join(map(chr, 97 + r.integers(0, 26, 13))) for _ in range(3000)]  # of 6 shingles, their copies of 5
-    rows = [(2 * k, x) for k, x in enumerate(lines)] + [(2 * k + 1, x[:12]) for k, x in enumerate(lines)]
-    bands = {n: set(b) for n, b in line_dedup._signed(spark.createDataFrame(rows, "node long, line string")).select("node", "bands").collect()}
-    # with independent minima (1 - (5 / 6) ** 3) ** 9 of the pairs, which is 1.3 of 3,000, share none
-    assert sum(not bands[2 * k] & bands[2 * k + 1] for k in range(3000)) <= 8
+    texts = ["abcdefghij", "short", "abcdefgh", "\U0001f600" * 3 + "abcdefg", "a\rb", *("".join(chr(97 + (i * i + n) % 26) for i in range(n)) for n in (15, 16, 23, 24, 31, 32, 39, 200))]
+    rows = spark.createDataFrame([(t,) for t in texts], "line string")
+    for at_once in (8, 16):
+        cut = rows.select("line", F.explode(line_dedup._segments(F.col("line"), at_once)).alias("s"))
+        cut = cut.select("line", F.explode(F.array(*(line_dedup._shingle(F.col("s"), i) for i in range(at_once)))).alias("shingle"))
+        found = {r["line"]: set(r["s"]) for r in cut.groupBy("line").agg(F.collect_set("shingle").alias("s")).collect()}
+        assert found == {t: _line_shingles(t) for t in texts}
+    sizes = {r[0]: r[1] for r in rows.select("line", F.size(line_dedup._shingle_set(F.col("line")))).collect()}
+    assert sizes == {t: len(_line_shingles(t)) for t in texts}
+
+
+@pytest.mark.parametrize(("shared", "least"), [(4, 0.97), (8, 0.97), (16, 0.97), (64, 0.97)])
+def test_lines_at_the_least_likeness_share_a_band(spark, shared, least):
+    # pairs of lines with `shared` shingles in common of shared / 0.8
+    r = np.random.default_rng(shared)
+    draw = lambda n: "".join(map(chr, 97 + r.integers(0, 26, n)))
+    rows, n = [], 2000
+    for k in range(n):
+        x = draw(shared + 7)
+        rows += [(2 * k, x), (2 * k + 1, x + draw(shared // 4))]
+    bands = {i: set(b) for i, b in line_dedup._signed(spark.createDataFrame(rows, "node long, line string")).select("node", "bands").collect()}
+    recall = sum(bool(bands[2 * k] & bands[2 * k + 1]) for k in range(n)) / n
+    print(f"pair recall at likeness 0.8, {shared} shared shingles: {recall:.4f}")
+    assert recall >= least
 
 
 def test_lines_awkward_rows(spark, corpus):
