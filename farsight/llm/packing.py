@@ -15,7 +15,10 @@ import os
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -24,13 +27,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from farsight.llm.shared import documents, written
+from farsight.llm.shared import documents, sliced, written
+from farsight.llm.textnum import chunks
 
 CAPACITY = 4096
 END = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Parts that a task's encoder remembers, and those among them that it never forgets.
-_CACHED, _COMMON = 700_000, 150_000
+#: Parts that a task's encoder remembers, and the longest of them: some 30 MB in all, at most 70.
+_CACHED, _LONGEST = 150_000, 40
+#: Characters of text that are words in Python at one time (a single longer text goes alone).
+_AT_ONCE = 1 << 20
 #: Letters that lower() and the tokenizer treat alike.
 _PLAIN_LETTERS = re.compile("[A-Za-z\u00c0-\u012f\u0131-\u017f]+")
 #: Blank to Python but not to the tokenizer.
@@ -54,7 +60,7 @@ _BYTES_SHOWN = _bytes_shown()
 
 
 class _Encoder:
-    """Token ids of texts. This tokenizer joins nothing across blanks, so blank-separated parts are encoded once and kept."""
+    """Token ids of texts. This tokenizer joins nothing across blanks, so blank-separated parts are encoded once per batch, frequent ones once per task."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,23 +72,25 @@ class _Encoder:
         (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
         self.merges = self.tokenizer.model
         self.stops = {c: self._ids(c) for c in ".,"}
-        self.common: dict[str, bytes] = {}  # stays when the rest is forgotten
 
-    def _learn(self, parts: list[str]) -> None:
-        """Encode new parts. Most are a word with or without a last "." or ",", which is a token of its own."""
-        known, tails, whole = self.known, [], []
+    def _learn(self, parts: Iterable[str]) -> dict[str, bytes]:
+        """The ids of parts. Most are a word with or without a last "." or ",", which is a token of its own."""
+        out, words, whole, known = {"": b""}, {}, [], self.known
         for part in parts:
-            core = part[:-1] if part[-1] in ".," else part
-            if core.isalpha() and _PLAIN_LETTERS.fullmatch(core):
+            core, tail = part, b""
+            if part[-1:] in self.stops:
+                core, tail = part[:-1], self.stops[part[-1]]
+            if core.isalpha() and (core.isascii() or _PLAIN_LETTERS.fullmatch(core)):
                 core = core.lower()
-                tails.append((part, core, self.stops[part[-1]] if part[-1] in ".," else b""))
-                if core not in known:
-                    known[core] = self._word(core)
-            else:
+                code = known.get(core) or words.get(core)
+                if code is None:
+                    code = words[core] = self._word(core)
+                out[part] = code + tail
+            elif part:
                 whole.append(part)
         odd = [p for p in whole if self.mark in p or "<|" in p]  # these may hold the mark's token, so they go one by one
         for part in odd:
-            known[part] = self._ids(part)
+            out[part] = self._ids(part)
         whole = [p for p in whole if self.mark not in p and "<|" not in p]
         for i in range(0, len(whole), 5000):
             # many parts as one text, with a mark between them whose one token stands nowhere else
@@ -91,9 +99,8 @@ class _Encoder:
             cuts = (4 * np.flatnonzero(ids == self.mark_id)).tolist()
             raw = ids.tobytes()
             for part, a, b in zip(some, [0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True):
-                known[part] = raw[a:b]
-        for part, core, tail in tails:
-            known[part] = known[core] + tail
+                out[part] = raw[a:b]
+        return out
 
     def _word(self, core: str) -> bytes:
         """Ids of one lower-case word, by the merges alone: it needs no normalising and no cutting."""
@@ -103,43 +110,79 @@ class _Encoder:
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text, with END."""
         end = np.array([END], "<u4").tobytes()
-        parts = [[t] if any(c in t for c in _ODD_BLANKS) else t.split() for t in texts]
-        if len(self.known) > _CACHED:
-            self.known = dict(self.common)
-        new = set().union(*parts) - self.known.keys()
-        if new:
-            self._learn(list(new))
-            if len(self.common) < _COMMON:
-                self.common = dict(self.known)
-        return [b"".join(map(self.known.__getitem__, p)) + end for p in parts]
-
-
-def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, *, keep_ids: bool = False) -> DataFrame:
-    """Pieces of at most `capacity` tokens: (doc_id, piece, start, length, ids_crc32), with keep_ids also `ids`."""
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
+        for a, b in chunks(texts, _AT_ONCE):
+            parts = [[t] if any(c in t for c in _ODD_BLANKS) else t.split() for t in texts[a:b]]
+            flat = list(chain.from_iterable(parts))
+            codes = list(map(self.known.get, flat))
+            missing = [i for i, code in enumerate(codes) if code is None]
+            if missing:
+                times = Counter([flat[i] for i in missing])
+                new = self._learn(times.keys())
+                for i in missing:
+                    codes[i] = new[flat[i]]
+                room = _CACHED - len(self.known)
+                if room > 0:  # for what is frequent
+                    self.known.update(islice(((p, new[p]) for p, n in times.items() if n > 1 and len(p) <= _LONGEST), room))
+            at = 0
+            for p in parts:
+                yield b"".join(codes[at : at + len(p)]) + end
+                at += len(p)
+
+
+@lru_cache(1)
+def _encoder(path: str) -> _Encoder:
+    """One for each Python worker, whose tasks share what it remembers."""
+    return _Encoder(path)
+
+
+class _Counter:
+    """Numbers the pieces of each length in the order in which a task sees them."""
+
+    def __init__(self, capacity: int):
+        self.seen = np.zeros(capacity + 1, np.int64)
+
+    def __call__(self, lengths: np.ndarray) -> np.ndarray:
+        order = np.argsort(lengths, kind="stable")
+        ordered = lengths[order]
+        _, first, n = np.unique(ordered, return_index=True, return_counts=True)
+        within = np.empty(len(lengths), np.int64)
+        within[order] = np.arange(len(lengths)) - np.repeat(first, n) + self.seen[ordered]
+        self.seen[ordered[first]] += n
+        return within
+
+
+_NUMBERED = "task_ int, within_ long"
+
+
+def _tokenized(docs: DataFrame, path: str, capacity: int, keep_ids: bool) -> DataFrame:
+    """The pieces of tokenize(), with the task that made them and their number there among those of their length."""
+    kinds = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), *[("ids", pa.list_(pa.int32()))] * keep_ids]
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, " + "ids array<int>, " * keep_ids + _NUMBERED
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _Encoder(path)
-        for batch in it:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                rows = []
-                ids, texts = some.column("doc_id").to_pylist(), some.column("text").to_pylist()
-                for doc_id, code in zip(ids, encoder.encode([t or "" for t in texts]), strict=True):
-                    for k, start in enumerate(range(0, len(code), 4 * capacity)):
-                        part = code[start : start + 4 * capacity]
-                        rows.append((doc_id, k, start // 4, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, "<u4").tolist()] * keep_ids)))
-                kinds = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int32()))]
-                names = kinds[: 5 + keep_ids]
-                columns = list(zip(*rows, strict=True)) or [()] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, names, strict=True)], names=[n for n, _ in names])
+        encoder, number, task = _encoder(path), _Counter(capacity), TaskContext.get().partitionId()
+        for some in sliced(it):
+            rows = []
+            ids, texts = some.column("doc_id").to_pylist(), [t or "" for t in some.column("text").to_pylist()]
+            for doc_id, code in zip(ids, encoder.encode(texts), strict=True):
+                for k, start in enumerate(range(0, len(code), 4 * capacity)):
+                    part = code[start : start + 4 * capacity]
+                    rows.append((doc_id, k, start // 4, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, "<u4").tolist()] * keep_ids)))
+            columns = [pa.array(c, kind) for c, (_, kind) in zip(list(zip(*rows, strict=True)) or [()] * len(kinds), kinds, strict=True)]
+            within = number(columns[3].to_numpy())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(rows), task, np.int32)), pa.array(within)], names=[*(n for n, _ in kinds), "task_", "within_"])
 
     return docs.select("doc_id", "text").mapInArrow(batches, schema)
 
 
+def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, *, keep_ids: bool = False) -> DataFrame:
+    """Pieces of at most `capacity` tokens: (doc_id, piece, start, length, ids_crc32), with keep_ids also `ids`."""
+    return _tokenized(docs, path, capacity, keep_ids).drop("task_", "within_")
+
+
 def plan(counts: dict[int, int], capacity: int) -> pd.DataFrame:
     """Where the pieces of each length go: rows (length, rank, n, each, sequence, offset).
 
@@ -209,20 +252,20 @@ def plan(counts: dict[int, int], capacity: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "rank", "n", "each", "sequence", "offset"]).astype("int64")
 
 
-def numbered(pieces: DataFrame, name: str) -> DataFrame:
-    """`pieces` as a written table with `rank`, counted from 0 within each length."""
+def numbered(pieces: DataFrame, capacity: int) -> DataFrame:
+    """`pieces` with the task that reads them and their number there among those of their length."""
 
     def counted(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[int, int] = {}
-        task = TaskContext.get().partitionId()
+        number, task = _Counter(capacity), TaskContext.get().partitionId()
         for batch in it:
-            within = batch.groupby("length").cumcount() + batch["length"].map(lambda x: seen.get(x, 0))
-            for length, n in batch["length"].value_counts().items():
-                seen[length] = seen.get(length, 0) + n
-            yield batch.assign(task_=task, within_=within.astype("int64"))
+            yield batch.assign(task_=task, within_=number(batch["length"].to_numpy()))
 
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    table = written(pieces.mapInPandas(counted, f"{columns}, task_ int, within_ long"), name)
+    return pieces.mapInPandas(counted, f"{columns}, {_NUMBERED}")
+
+
+def _ranked(table: DataFrame) -> DataFrame:
+    """A written table of numbered pieces with `rank`, counted from 0 within each length."""
     counts = table.groupBy("length", "task_").count()
     before = Window.partitionBy("length").orderBy("task_").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("length", "task_", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before_"))
@@ -231,10 +274,15 @@ def numbered(pieces: DataFrame, name: str) -> DataFrame:
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """`pieces` (with a column `length` of 1 to `capacity`) with sequence_id and offset."""
-    ranked = numbered(pieces, "pieces")
+    return _placed(written(numbered(pieces, capacity), "pieces"), capacity)
+
+
+def _placed(table: DataFrame, capacity: int) -> DataFrame:
+    """A written table of numbered pieces with sequence_id and offset. Only counts by length reach the driver."""
+    ranked = _ranked(table)
     counts = {r["length"]: r["n"] for r in ranked.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = plan(counts, capacity).sort_values(["length", "rank"], kind="stable")
-    held = pieces.sparkSession.sparkContext.broadcast({c: slots[c].to_numpy() for c in slots})
+    held = table.sparkSession.sparkContext.broadcast({c: slots[c].to_numpy() for c in slots})
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
@@ -244,12 +292,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         beyond = rank.to_numpy() - s["rank"][at]
         return pd.DataFrame({"sequence_id": s["sequence"][at] + beyond // s["each"][at], "offset": s["offset"][at] + beyond % s["each"][at] * length.to_numpy()})
 
-    return ranked.withColumn("place", place("length", "rank")).select(*pieces.columns, "place.*")
+    return ranked.withColumn("place", place("length", "rank")).drop("rank").select("*", "place.*").drop("place")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, *, keep_ids: bool = False) -> DataFrame:
     """Tokenize `docs` (doc_id, text), cut what is longer than `capacity`, and pack the pieces."""
-    return pack(tokenize(docs, path or tokenizer_path(), capacity, keep_ids=keep_ids), capacity)
+    return _placed(written(_tokenized(docs, path or tokenizer_path(), capacity, keep_ids), "pieces"), capacity)
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:

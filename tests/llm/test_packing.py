@@ -65,6 +65,30 @@ def test_documents_round_trip(spark, corpus):
     _check([(r["sequence_id"], r["offset"], r["length"]) for r in found], 256)
 
 
+def test_encoder_agrees_with_the_tokenizer(monkeypatch):
+    monkeypatch.setattr(packing, "_CACHED", 60)
+    monkeypatch.setattr(packing, "_AT_ONCE", 2000)
+    encoder = packing._Encoder(packing.tokenizer_path())
+    r = random.Random(7)
+    odd = ["", " ", "\n\t", "\x01", "\x1c", "\x85", "\u00a0", "\u3000", "<|endoftext|>", "don't", "I'LL", "'s", "ab.", "ab,", ".", ",,", "\u0130", "\u0131", "\ufb01", "e\u0301", "\u00e9", "\u00df", "\u03a3\u03a3", "\u4e2d\u6587", "\U0001f600", "12.5", "a1b2", "x_y", "\u200d", "\ufeff", "\x00", "NA\u00cfVE"]
+    texts = odd + [c * n for c in map(chr, r.sample(range(1, 0x3000), 600)) for n in (1, 3)]
+    for _ in range(1500):
+        parts = [r.choice(odd) if r.random() < 0.3 else "".join(r.choice("abcdeTHEin.,!\u00e9\u00f1\u00d6 ") for _ in range(r.randrange(1, 9))) for _ in range(r.randrange(1, 12))]
+        texts.append(r.choice(["", " ", "\n"]).join(parts))
+    for _ in range(2):  # the second time from the cache
+        for text, code in zip(texts, encoder.encode(texts), strict=True):
+            assert np.frombuffer(code, "<u4").tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 1], repr(text)
+    assert 0 < len(encoder.known) <= 60
+
+
+def test_pieces_of_any_table_are_placed(spark):
+    lengths = [3, 3, 5, 12, 7, 7, 1, 1, 1, 4] * 9
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "name long, length long").repartition(3)
+    found = packing.pack(df, 12).collect()
+    assert sorted(r["name"] for r in found) == list(range(90))
+    assert _check([(r["sequence_id"], r["offset"], r["length"]) for r in found], 12) <= -(-sum(lengths) // 12) + 2
+
+
 def test_packing_awkward_rows(spark, corpus):
     rows = corpus.awkward()
     found = packing.pack_documents(corpus.frame(rows, extra=True)).collect()
