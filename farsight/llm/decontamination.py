@@ -3,7 +3,7 @@
 An item of m characters leaks into a document where some passage is within its edit budget of k, 6 % of m (less
 for short items, so that the lemma still tells something). Such a passage shares at least m + 1 - q (k + 1) of
 the item's q-grams, with diagonals that span at most k. Shared q-grams are counted in bands of 2 (k + 1)
-diagonals, each overlapping the next by half; bands with enough of them are aligned, within the band only.
+diagonals, each overlapping the next by half; bands with enough of them are aligned, within the band and the text only.
 Texts are compared in lower case with each run of other characters than letters and digits as one blank.
 
 The benchmark is a stated query set. It is read in blocks of bounded size, each broadcast and compared with every
@@ -97,8 +97,8 @@ def build_index(ids: list, texts: list[str], q: int = Q, share: float = BUDGET)
     return Index(ids, codes, budget, size + 1 - q * (budget + 1), unique, np.append(first, len(grams)), item[order], at[order], short)
 
 
-def _aligned(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int]:
-    """Least edits of the item against a passage of text whose alignment stays on diagonals low to high, and its end.
+def _aligned(item: np.ndarray, text: np.ndarray, low: int, high: int) -> np.ndarray:
+    """Least edits of the item against passages of text on diagonals low to high, by where they end: entry i at low + len(item) + i.
 
     Diagonal: place in the text less place in the item. A passage may start on any of them for nothing.
     """
@@ -113,12 +113,52 @@ def _aligned(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[i
         down = np.append(cost[1:], len(item)) + 1
         cost = np.minimum(cost + (padded[i : i + width] != c), down)
         cost = np.minimum.accumulate(cost - offsets) + offsets
-    best = int(np.argmin(cost))
-    return int(cost[best]), low + len(item) + best
+    return cost
 
 
-def matches(index: Index, texts: list[str], q: int = Q) -> list[tuple[int, int, int, int, int]]:
-    """(text, item, start, end, edits) of leaks; starts and ends are code points of the text."""
+def _best_apart(cost: np.ndarray, most: int, apart: int) -> list[int]:
+    """Entries of at most `most`, the best first (ties: the first), each at least `apart` from those before it."""
+    out: list[int] = []
+    for i in np.argsort(cost, kind="stable"):
+        if cost[i] > most:
+            break
+        if all(abs(int(i) - j) >= apart for j in out):
+            out.append(int(i))
+    return out
+
+
+def _dense_bands(index: Index, hits: np.ndarray, gram: np.ndarray, text: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, item, band), in order, of the bands with enough q-grams of an item for its budget.
+
+    hits: places of q-grams number `gram` in texts `text`. At most about `limit` pairs of a hit and an item's place
+    are expanded at a time, so a q-gram that very many items share fills no memory.
+    """
+    n = index.first[gram + 1] - index.first[gram]
+    piece = (np.cumsum(n) - 1) // limit
+    span = np.int64(len(index.texts))
+    keys, counts = [], []
+    for p in np.unique(piece):
+        some = np.flatnonzero(piece == p)
+        m = n[some]
+        entry = np.repeat(index.first[gram[some]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        item, diagonal = index.item[entry], np.repeat(hits[some], m) - index.at[entry]
+        band = np.floor_divide(diagonal, index.budget[item] + 1)
+        who = np.repeat(text[some], m) * span + item
+        both = np.stack([np.concatenate([who, who]), np.concatenate([band, band - 1])])
+        key, count = np.unique(both, axis=1, return_counts=True)
+        keys.append(key)
+        counts.append(count)
+    key, of = np.unique(np.concatenate(keys, axis=1), axis=1, return_inverse=True)
+    enough = np.bincount(of.ravel(), np.concatenate(counts)) >= index.least[key[0] % span]
+    who, band = key[0][enough], key[1][enough]
+    return who // span, who % span, band
+
+
+def matches(index: Index, texts: list[str], q: int = Q, limit: int = 1 << 21) -> list[tuple[int, int, int, int, int]]:
+    """(text, item, start, end, edits) of leaks; starts and ends are code points of the text.
+
+    A text holds an item as often as passages apart from each other meet its budget. Each text is judged by itself.
+    """
     codes, origin = normalised(texts)
     values = codes.astype(_U)
     hits = np.empty(0, np.int64)
@@ -138,28 +178,23 @@ def matches(index: Index, texts: list[str], q: int = Q) -> list[tuple[int, int,
         true = index.grams[gram] == hashes[hits]
         hits, gram = hits[true], gram[true]
     if len(hits):
-        n = index.first[gram + 1] - index.first[gram]
-        entry = np.repeat(index.first[gram] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        item, diagonal = index.item[entry], np.repeat(hits, n) - index.at[entry]
-        half = index.budget[item] + 1
-        band = np.floor_divide(diagonal, half)
-        both = np.stack([np.concatenate([item, item]), np.concatenate([band, band - 1])])
-        (item, band), count = np.unique(both, axis=1, return_counts=True)
-        enough = count >= index.least[item]
-        item, band = item[enough], band[enough]
-        new = np.concatenate([[True], (item[1:] != item[:-1]) | (band[1:] > band[:-1] + 1)]) if len(item) else np.empty(0, bool)
+        breaks = np.flatnonzero(codes == 0)
+        text, item, band = _dense_bands(index, hits, gram, np.searchsorted(breaks, hits), limit)
+        # neighbouring bands of one item in one text are aligned together
+        new = np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (band[1:] > band[:-1] + 1)]) if len(item) else np.empty(0, bool)
         start = np.flatnonzero(new)
         for a, b in zip(start, np.append(start, len(item))[1:], strict=True):
-            i = int(item[a])
-            k, code = int(index.budget[i]), index.texts[i]
-            low, high = int(band[a]) * (k + 1) - k, (int(band[b - 1]) + 2) * (k + 1) + k
-            edits, end = _aligned(code, codes, low, high)
-            if edits <= k:
+            i, left = int(item[a]), int(breaks[text[a] - 1]) + 1 if text[a] else 0
+            k, code, own = int(index.budget[i]), index.texts[i], codes[left : int(breaks[text[a]])]
+            low, high = int(band[a]) * (k + 1) - k - left, (int(band[b - 1]) + 2) * (k + 1) + k - left
+            cost = _aligned(code, own, low, high)
+            for best in _best_apart(cost, k, max(1, len(code) - k)):
+                end = min(low + len(code) + best, len(own))
                 # the same from the end backwards gives the start
                 least = max(0, end - len(code) - k)
-                back, length = _aligned(code[::-1], codes[least:end][::-1], 0, k)
-                length = min(length if back == edits else len(code), end - least)
-                found(i, end - length, end, edits)
+                back = _aligned(code[::-1], own[least:end][::-1], 0, k)
+                length = len(code) + int(np.argmin(back)) if back.min() == cost[best] else len(code)
+                found(i, left + end - min(length, end - least), left + end, int(cost[best]))
     for length, by_hash in index.short.items():
         hashes = rolling(values, length)
         for at in np.flatnonzero(np.isin(hashes, np.array(list(by_hash), _U))):

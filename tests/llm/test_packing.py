@@ -147,6 +147,26 @@ def test_leaks_match_brute_force(spark, corpus):
     assert {x["doc_id"] for x in clean.collect()} == {d for d, _ in docs} - {d for d, _ in expected}
 
 
+def test_leaks_of_repeated_words_and_of_many_texts_at_once(corpus):
+    # as one batch, in any order: every text is judged by itself
+    items = ["ab cd " * 12, "echo " * 20, corpus.text(12), "the long and winding road leads on and on"] + [f"common phrase of all items here {corpus.text(6)}" for _ in range(40)]
+    index = decontamination.build_index(list(range(len(items))), items)
+    texts = []
+    for t in items:
+        texts += [t, "x " + t, corpus.text(5) + " " + t + " " + corpus.text(3), t[: len(t) // 2]] * 2
+    texts += ["common phrase of all items here " * 30, "", "ab cd " * 6, "echo " * 45, "echo " * 19, corpus.text(30)]
+    expected = {(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if _distance(_normal(x), _normal(t)) <= index.budget[i]}
+    for order in (range(len(texts)), range(len(texts) - 1, -1, -1)):
+        for limit in (64, 1 << 21):
+            found = decontamination.matches(index, [texts[d] for d in order], limit=limit)
+            assert {(order[r[0]], r[1]) for r in found} == expected
+    assert len(expected) >= 6 * len(items)
+    for d, i, start, end, edits in decontamination.matches(index, texts):
+        assert 0 <= start < end <= len(texts[d]) and _distance(_normal(items[i]), _normal(texts[d][start:end])) <= edits + 2
+    twice = [r for r in decontamination.matches(index, [f"{items[2]} and then {corpus.text(9)} {items[2]}"]) if r[1] == 2]
+    assert len(twice) == 2 and sum(r[1] == 1 for r in decontamination.matches(index, ["echo " * 45])) == 2
+
+
 def test_leaks_awkward_rows(spark, corpus):
     rows = corpus.awkward()
     df = corpus.frame(rows, extra=True)
