@@ -14,7 +14,9 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farsight.llm.shared import documents, text_or_empty, written
+from farsight.llm.textnum import chunks
 
 FEATURES = (
     "strong_hits", "strong_density", "strong_terms", "weak_hits", "weak_density", "addressed",
@@ -41,7 +44,7 @@ _MIXED = re.compile(r"[^\W\d_]+[\d@$*!|._-]+[^\W\d_]")
 _MARKS = re.compile(r"[!?.,*#&%$]{2,}")
 _UPPER = bytes(range(65, 91))
 _NO_PUNCTUATION = b"!?*#&%$@"
-_CACHED = 300_000
+_CACHED, _LONGEST = 200_000, 40
 
 
 def terms(word: str) -> list[str]:
@@ -49,39 +52,57 @@ def terms(word: str) -> list[str]:
     return [word, *(f"{word[:n]}-" for n in STARTS if len(word) > n)]
 
 
-class _Tier(dict):
-    """Word to 2 (strong), 1 (weak) or 0, filled as words turn up."""
+class _Marks(dict):
+    """What each word of a text says, as bits: tier (2 bits), hidden, shouted, second person, then runs of marks and mixed parts (24 bits each).
+
+    Filled as words turn up; bounded in entries and in their length.
+    """
 
     def __init__(self, lexicon: dict[str, int]):
         super().__init__()
         self.lexicon = lexicon
 
+    def tier(self, lower: str) -> int:
+        """2 for a strong word, 1 for a weak one."""
+        plain = lower.strip(_TRIM)
+        return max((self.lexicon.get(t, 0) for t in terms(plain)), default=0) if plain else 0
+
     def __missing__(self, word: str) -> int:
-        if len(self) > _CACHED:
-            self.clear()
-        plain = word.strip(_TRIM)
-        tier = self[word] = max((self.lexicon.get(t, 0) for t in terms(plain)), default=0) if plain else 0
-        return tier
-
-
-def features_of(text: str, tier: _Tier) -> list[float]:
-    """The dense features of one text, in the order of FEATURES."""
-    words = text.lower().split()
-    n = len(words) or 1
-    found = [tier[w] for w in words]
-    strong = [i for i, t in enumerate(found) if t == 2] if 2 in found else []
-    weak = found.count(1)
-    addressed = sum(any(w.strip(_TRIM) in SECOND_PERSON for w in words[max(0, i - NEAR) : i + NEAR + 1]) for i in strong)
-    raw = text.encode()
-    size = len(raw) or 1
-    mixed = _MIXED.findall(text) if len(raw.translate(None, b"0123456789@$*!|._-")) != len(raw) else []
-    hidden = sum(tier[w.translate(_PLAIN)] == 2 and not tier[w] for w in words if not w.isalpha()) if mixed else 0
-    return [
-        float(len(strong)), 100.0 * len(strong) / n, float(len({words[i] for i in strong})), float(weak), 100.0 * weak / n,
-        addressed / (len(strong) or 1), (size - len(raw.translate(None, _UPPER))) / size,
-        sum(map(str.isupper, text.split())) / n, (size - len(raw.translate(None, _NO_PUNCTUATION))) / size,
-        len(_MARKS.findall(text)) / n, len(mixed) / n, float(hidden), float(n if words else 0),
-    ]
+        lower = word.lower()
+        tier = self.tier(lower)
+        code = tier | word.isupper() << 3 | (lower.strip(_TRIM) in SECOND_PERSON) << 4
+        if not word.isalpha():
+            code |= (not tier and self.tier(lower.translate(_PLAIN)) == 2) << 2 | len(_MARKS.findall(word)) << 8 | len(_MIXED.findall(word)) << 32
+        if len(word) <= _LONGEST:
+            if len(self) >= _CACHED:
+                self.clear()
+            self[word] = code
+        return code
+
+
+def features_of(texts: list[str], marks: _Marks) -> np.ndarray:
+    """The dense features of texts, in the order of FEATURES."""
+    words = [t.split() for t in texts]
+    n = np.array([len(w) for w in words], np.int64)
+    first = np.concatenate([[0], np.cumsum(n)])
+    codes = np.fromiter(map(marks.__getitem__, chain.from_iterable(words)), np.int64, first[-1])
+    total = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[first]).astype(float)
+    strong = np.flatnonzero(codes & 3 == 2)
+    text = np.searchsorted(first, strong, "right") - 1
+    you = np.concatenate([[0], np.cumsum(codes >> 4 & 1)])
+    near = you[np.minimum(strong + NEAR + 1, first[text + 1])] > you[np.maximum(strong - NEAR, first[text])]
+    different: list[set[str]] = [set() for _ in texts]
+    for i, t in zip(strong.tolist(), text.tolist(), strict=True):
+        different[t].add(words[t][i - int(first[t])].lower())
+    raw = [t.encode() for t in texts]
+    size = np.maximum([len(r) for r in raw], 1)
+    capitals, punctuation = (np.array([len(r) - len(r.translate(None, c)) for r in raw]) / size for c in (_UPPER, _NO_PUNCTUATION))
+    hits, weak, some = total(codes & 3 == 2), total(codes & 3 == 1), np.maximum(n, 1)
+    return np.stack([
+        hits, 100 * hits / some, np.array([len(d) for d in different], float), weak, 100 * weak / some,
+        np.bincount(text, near, len(texts)) / np.maximum(hits, 1), capitals, total(codes >> 3 & 1) / some, punctuation,
+        total(codes >> 8 & 0xFFFFFF) / some, total(codes >> 32) / some, total(codes >> 2 & 1), n.astype(float),
+    ], axis=1)
 
 
 def with_features(docs: DataFrame, lexicon: dict[str, int], text: str = "text") -> DataFrame:
@@ -90,9 +111,10 @@ def with_features(docs: DataFrame, lexicon: dict[str, int], text: str = "text")
 
     @F.pandas_udf("array<double>")
     def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tier = _Tier(held.value)
+        marks = _Marks(held.value)
         for texts in batches:
-            yield pd.Series([features_of(t or "", tier) for t in texts])
+            values = [t or "" for t in texts]
+            yield pd.Series([row for a, b in chunks(values) for row in features_of(values[a:b], marks)])
 
     rest = [c for c in docs.columns if c not in (text, "features")]
     return docs.select(*rest, features(text_or_empty(text)).alias("features"))
@@ -155,22 +177,25 @@ class ToxicityModel:
 def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 8000, trees: int = 20, depth: int = 4) -> ToxicityModel:
     """Fit on docs (doc_id, text) with at most `max_rows` of labels (doc_id, label in {0, 1}), chosen by a hash of doc_id.
 
-    A quarter of these, by another hash, fits the calibration only. The chosen labels are broadcast to the scan of docs.
+    A quarter of these, by another hash, fits the calibration only: neither lexicon nor trees see it, unless it or the
+    rest lacks texts of one kind. The chosen labels are broadcast to the scan of docs.
     """
-    chosen = labels.where(F.col("label").isin(0, 1)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    sample = written(docs.where("text is not null").join(F.broadcast(chosen), "doc_id"), "toxic-sample")
-    counts = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-    positives, negatives = counts.get(1, 0), counts.get(0, 0)
+    chosen = labels.where(F.col("label").isin(0, 1)).select("doc_id", F.col("label").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
+    apart = F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(4)) == 0, F.lit(False))
+    known = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
+    sample = written(known.withColumn("apart", apart), "toxic-sample")
+    counts = {(r["apart"], r["label"]): r["count"] for r in sample.groupBy("apart", "label").count().collect()}
+    positives, negatives = (sum(n for (_, y), n in counts.items() if y == label) for label in (1, 0))
     constant = positives / max(1, positives + negatives)
     if positives < 2 or negatives < 2:
         return ToxicityModel({}, None, None, constant)
-    lexicon = learn_lexicon(sample, positives, negatives)
-    apart = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(4)) == 0
-    data = written(with_features(sample.select("doc_id", "label", "text"), lexicon).withColumn("apart", F.coalesce(apart, F.lit(False))), "toxic-features")
+    split = len(counts) == 4
+    if split:
+        positives, negatives = counts[False, 1], counts[False, 0]
+    lexicon = learn_lexicon(sample.where(~F.col("apart")) if split else sample, positives, negatives)
+    data = written(with_features(sample, lexicon), "toxic-features")
     data = data.withColumn("features", array_to_vector("features")).withColumn("label", F.col("label").cast("double"))
-    own, calibrating = data.where(~F.col("apart")), data.where("apart")
-    if own.where("label = 1").isEmpty() or own.where("label = 0").isEmpty() or calibrating.where("label = 1").isEmpty() or calibrating.where("label = 0").isEmpty():
-        own = calibrating = data
+    own, calibrating = (data.where(~F.col("apart")), data.where("apart")) if split else (data, data)
     model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, seed=7, minInstancesPerNode=1).fit(own)
     margins = model.transform(calibrating).select("label", vector_to_array("rawPrediction")[1].alias("margin"))
     calibration = IsotonicRegression(featuresCol="margin", labelCol="label").fit(margins)
