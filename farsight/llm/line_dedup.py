@@ -28,8 +28,8 @@ MIN_CHARS = 8
 SHINGLE = 8
 BANDS, ROWS = 9, 4
 SIMILARITY = 0.8
-#: Minima of which a mark keeps two bits each.
-MARKED = 32
+#: Minima of which the signature keeps four bits each, in longs of 16.
+MARKED, PER_LONG = 32, 16
 _LOWEST = -(1 << 63)
 _LOW = 0xFFFFFFFF
 #: A segment holds the characters of so many shingles.
@@ -69,22 +69,25 @@ def _permuted(h: str, i: int):
 
 
 def _signed(lines: DataFrame) -> DataFrame:
-    """(node, bands, signature) of distinct lines (node, line). The signature holds two bits of each of the first minima."""
+    """(node, bands, signature) of distinct lines (node, line). The signature holds four bits of each of the first minima."""
     cut = lines.select("node", F.explode(_segments(F.col("line"))).alias("segment"))
     hashed = cut.select("node", *(F.hash(_shingle(F.col("segment"), i)).cast("long").bitwiseAND(F.lit(_LOW)).alias(f"h{i}") for i in range(_AT_ONCE)))
     # numbers only, so that the minima of a task are kept in a hash table
     minima = [F.min(F.least(*(_permuted(f"h{j}", i) for j in range(_AT_ONCE)))).alias(f"m{i}") for i in range(BANDS * ROWS)]
     found = hashed.groupBy("node").agg(*minima)
     bands = [F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)]
-    two = [F.shiftleft(F.hash(f"m{i}").bitwiseAND(F.lit(3)).cast("long"), 2 * i) for i in range(MARKED)]
-    return found.select("node", F.array(*bands).alias("bands"), reduce(lambda x, y: x.bitwiseOR(y), two).alias("signature"))
+    four = [F.shiftleft(F.hash(f"m{i}").bitwiseAND(F.lit(15)).cast("long"), 4 * (i % PER_LONG)) for i in range(MARKED)]
+    longs = [reduce(lambda x, y: x.bitwiseOR(y), four[at : at + PER_LONG]) for at in range(0, MARKED, PER_LONG)]
+    return found.select("node", F.array(*bands).alias("bands"), F.array(*longs).alias("signature"))
 
 
 def _alike(similarity: float):
     """Whether two signatures differ in as few bits as those of a linked pair do, but for one linked pair in some thousands."""
     apart = 1 - similarity
-    most = math.ceil(MARKED * apart + 3.5 * math.sqrt(MARKED * (1.5 * apart - apart**2)))
-    return F.bit_count(F.col("signature_a").bitwiseXOR(F.col("signature_b"))) <= most
+    # two of the four bits of minima that differ, with a variance of one
+    most = math.ceil(2 * MARKED * apart + 3.5 * math.sqrt(MARKED * (5 * apart - (2 * apart) ** 2)))
+    bits = (F.bit_count(F.get("signature_a", F.lit(i)).bitwiseXOR(F.get("signature_b", F.lit(i)))) for i in range(MARKED // PER_LONG))
+    return reduce(lambda x, y: x + y, bits) <= most
 
 
 def line_components(lines: DataFrame, similarity: float) -> DataFrame:
@@ -104,8 +107,9 @@ def line_components(lines: DataFrame, similarity: float) -> DataFrame:
 
     first = written(linking.likely(linking.first_pairs(centred), signatures, _alike(similarity)), "line-pairs")
     first = written(verified(first), "line-links")
-    finer = [F.expr(f"(signature >> {16 * i}) & 65535L") for i in range(4)]
-    return linking.linked_components(centred, signatures, first, verified, _alike(similarity), finer, "line")
+    finer = [F.expr(f"signature[{i}] >> {32 * j} & 4294967295L") for i in range(MARKED // PER_LONG) for j in range(2)]
+    shingles = lambda nodes: lines.join(nodes, "node", "left_semi").select("node", F.explode(_shingle_set(F.col("line"))).alias("shingle"), F.lit(1).alias("weight"))
+    return linking.linked_components(centred, signatures, first, verified, _alike(similarity), finer, shingles, similarity, "line")
 
 
 def removed_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, similarity: float = SIMILARITY) -> DataFrame:
@@ -118,7 +122,7 @@ def removed_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, similarity: fl
     again = places.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node", F.col("node").alias("component"))
     linked = joined.unionAll(again.join(joined, "node", "left_anti"))
     linked = written(places.join(linked, "node").select("component", "key", "at"), "line-copies")
-    heads = linked.groupBy("component").agg(F.min(F.struct("key", "at")).alias("head"))
+    heads = written(linked.groupBy("component").agg(F.min(F.struct("key", "at")).alias("head")), "line-heads")
     gone = linked.join(heads, "component").where((F.col("key") != F.col("head.key")) | (F.col("at") != F.col("head.at")))
     return gone.groupBy("key").agg(F.collect_set("at").alias("drop"))
 

@@ -3,9 +3,10 @@
 1. Members of a bucket are compared with its most central member.
 2. Of buckets where some members are then outside the component of the central one, all members are cut finer by
    parts of their signatures and compared with one member of each part.
-3. What is still of different components in one bucket is compared pair by pair, in blocks: members outside the
-   central component with all others whose signatures agree enough. No pair of a bucket is left out, whatever its
-   size, and a hot bucket is spread over many tasks.
+3. What is still of different components in one bucket is compared by signature, in blocks: members outside the
+   central component with all others. No pair of a bucket is left out, whatever its size, and a hot bucket is spread
+   over many tasks. Pairs are made only where the two texts can be as alike as is asked: what they share is at most
+   what either shares with any other of the texts that are left, which is counted exactly.
 
 The first two rounds make as many pairs as members; what they join, the third need not look at.
 """
@@ -21,7 +22,7 @@ from farsight.llm.components import components
 from farsight.llm.shared import written
 
 #: Members of a block of a bucket; a task compares two blocks at a time.
-BLOCK = 256
+BLOCK = 2048
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:
@@ -71,37 +72,72 @@ def finer_pairs(split: DataFrame, signatures: DataFrame, finer: list[Column]) ->
     return cut.join(heads, "part").where("component <> of").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
 
 
-def rest_pairs(split: DataFrame, signatures: DataFrame, alike: Column) -> DataFrame:
-    """(a, b): all pairs of split buckets that are of different components and meet `alike` on signature_a and signature_b.
+def _across(split: DataFrame, facts: DataFrame, alike: Column) -> tuple[DataFrame, DataFrame, Column]:
+    """Left and right rows of split buckets with their `facts` (node, signature, ...), and the condition of a pair.
 
     Members are dealt to blocks by hash; each block of members that are away meets each block of the bucket.
     """
-    sizes = split.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("away").alias("n_away"))
-    known = split.select("bucket", "node", "component", "away").join(sizes, "bucket").join(signatures, "node")
-    blocks = {"x": F.ceil(F.col("n_away") / BLOCK), "y": F.ceil(F.col("n") / BLOCK)}
+    sizes = split.groupBy("bucket").agg(F.count("*").alias("n_all"), F.count_if("away").alias("n_away"))
+    known = split.select("bucket", "node", "component", "away").join(sizes, "bucket").join(facts, "node")
+    blocks = {"x": F.ceil(F.col("n_away") / BLOCK), "y": F.ceil(F.col("n_all") / BLOCK)}
     own = {c: F.pmod(F.xxhash64("node"), n) for c, n in blocks.items()}
     each = {c: F.explode(F.sequence(F.lit(0).cast("long"), n - 1)) for c, n in blocks.items()}
-    columns = ["bucket", "node", "component", "signature", "away"]
+    columns = [c for c in known.columns if c not in ("n_all", "n_away")]
     left = known.where("away").select(*columns, own["x"].alias("x"), each["y"].alias("y"))
-    right = known.select(*columns, each["x"].alias("x"), own["y"].alias("y"))
+    right = known.where("n_away > 0").select(*columns, each["x"].alias("x"), own["y"].alias("y"))
     a, b = (x.select(*(F.col(c).alias(f"{c}_{n}") for c in x.columns)) for x, n in ((left, "a"), (right, "b")))
     once = (F.col("node_a") < F.col("node_b")) | ~F.col("away_b")
     on = (F.col("component_a") != F.col("component_b")) & once & alike
     for c in ("bucket", "x", "y"):
         on = (F.col(f"{c}_a") == F.col(f"{c}_b")) & on
+    return a, b, on
+
+
+def hopeful(split: DataFrame, signatures: DataFrame, alike: Column) -> DataFrame:
+    """(node): members of split buckets with any partner of another component that meets `alike`; as many rows as members at most."""
+    a, b, on = _across(split, signatures, alike)
+    return a.join(b, on, "left_semi").select(F.col("node_a").alias("node")).unionAll(b.join(a, on, "left_semi").select("node_b")).distinct()
+
+
+def common_weights(shingles: DataFrame) -> DataFrame:
+    """(node, weight, common): the weight of all shingles of a node, and of those that another node has too. shingles: (node, shingle, weight), distinct."""
+    alone = shingles.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("weight").alias("weight")).where("n = 1")
+    alone = alone.groupBy("node").agg(F.sum("weight").alias("alone"))
+    return shingles.groupBy("node").agg(F.sum("weight").alias("weight")).join(alone, "node", "left").select("node", "weight", (F.col("weight") - F.coalesce("alone", F.lit(0))).alias("common"))
+
+
+def rest_pairs(split: DataFrame, signatures: DataFrame, alike: Column, weights: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of split buckets, of different components, that meet `alike` and whose common weights allow the similarity.
+
+    weights: common_weights() of the nodes to be paired.
+    """
+    # shared >= similarity / (1 + similarity) x (both weights) is what the similarity asks for
+    can = F.least("common_a", "common_b") * F.lit(1 + similarity) >= F.lit(similarity) * (F.col("weight_a") + F.col("weight_b")) - F.lit(1e-9)
+    a, b, on = _across(split.join(weights.select("node"), "node", "left_semi"), signatures.join(weights, "node"), can & alike)
     return a.join(b, on).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def linked_components(
-    centred: DataFrame, signatures: DataFrame, first: DataFrame, verified: Callable[[DataFrame], DataFrame], alike: Column, finer: list[Column], name: str
-) -> DataFrame:
+    centred: DataFrame, signatures: DataFrame, first: DataFrame, verified: Callable[[DataFrame], DataFrame], alike: Column, finer: list[Column],
+    shingles_of: Callable[[DataFrame], DataFrame], similarity: float, name: str,
+) -> DataFrame:
     """(node, component) of all nodes with a verified link, by the three rounds above.
 
-    first: the verified links of the first round; verified: the links among pairs (a, b).
+    first: the verified links of the first round; verified: the links among pairs (a, b); shingles_of: (node, shingle,
+    weight) of given nodes.
     """
     joined = components(first, f"{name}-components")
     split = written(split_buckets(centred, joined), f"{name}-split")
-    for pairs in (lambda: likely(finer_pairs(split, signatures, finer), signatures, alike), lambda: rest_pairs(split, signatures, alike)):
+
+    def heads() -> DataFrame:
+        return likely(finer_pairs(split, signatures, finer), signatures, alike)
+
+    def rest() -> DataFrame:
+        left = written(hopeful(split, signatures, alike), f"{name}-hopeful")
+        weights = written(common_weights(shingles_of(left)), f"{name}-weights")
+        return rest_pairs(split, signatures, alike, weights, similarity)
+
+    for pairs in (heads, rest):
         if split.isEmpty():
             break
         found = written(verified(written(pairs(), f"{name}-pairs")), f"{name}-links")
@@ -109,5 +145,6 @@ def linked_components(
             # the stars of before stand for the links that made them
             stars = joined.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
             joined = components(stars.unionAll(found), f"{name}-components")
-            split = written(split_buckets(split.select("bucket", "node", "centre", "size"), joined), f"{name}-split")
+            if pairs is heads:
+                split = written(split_buckets(split.select("bucket", "node", "centre", "size"), joined), f"{name}-split")
     return joined

@@ -158,6 +158,19 @@ def shingle_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return made.dropDuplicates(["node"])
 
 
+def weighted_shingles(shingles: DataFrame) -> DataFrame:
+    """(node, shingle, weight) from a table of packed ones."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(it, 100):
+            hashes, counts = ([np.frombuffer(x, kind) for x in batch.column(c).to_pylist()] for c, kind in (("hashes", np.int64), ("counts", np.uint32)))
+            if hashes:
+                node = np.repeat(batch.column("node").to_numpy(), [len(h) for h in hashes])
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(hashes)), pa.array(np.concatenate(counts).astype(np.int64))], names=["node", "shingle", "weight"])
+
+    return shingles.select("node", "hashes", "counts").mapInArrow(batches, "node long, shingle long, weight long")
+
+
 def likeness(ha: np.ndarray, ca: np.ndarray, hb: np.ndarray, cb: np.ndarray) -> float:
     """Weighted Jaccard likeness of two multisets given as sorted hashes and counts."""
     at = np.searchsorted(hb, ha)
@@ -205,7 +218,10 @@ def duplicate_classes(docs: DataFrame, *, similarity: float = SIMILARITY, bands:
     links = written(verified(written(linking.first_pairs(centred), "pairs"), shingles, similarity), "links")
     # ten coordinates of the signature make a part
     finer = [F.expr(f"(signature[{i}] >> {20 * j}) & 1048575L") for i in range(bands * rows // PER_LONG) for j in range(2)]
-    joined = linking.linked_components(centred, signatures, links, lambda pairs: verified(pairs, shingles, similarity), _alike(bands * rows, similarity), finer, "near")
+    joined = linking.linked_components(
+        centred, signatures, links, lambda pairs: verified(pairs, shingles, similarity), _alike(bands * rows, similarity), finer,
+        lambda nodes: weighted_shingles(shingles.join(nodes, "node", "left_semi")), similarity, "near",
+    )
     classes = nodes.select("node", "key", "copies").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = classes.groupBy("component").agg(F.min("key").alias("head"), F.sum("copies").alias("class_size"))
     heads = classes.join(heads, "component").select("node", "head", "class_size")

@@ -142,13 +142,23 @@ def test_the_last_round_compares_every_pair_that_is_left(spark, monkeypatch, blo
     known = spark.createDataFrame(list(component.items()), "node long, component long")
     signatures = spark.createDataFrame([(n, n) for n in range(1, size + 1)], "node long, signature long")
     split = linking.split_buckets(centred, known)
-    found = [tuple(sorted(r)) for r in linking.rest_pairs(split, signatures, F.abs(F.col("signature_a") - F.col("signature_b")) <= 2).collect()]
+    alike = F.abs(F.col("signature_a") - F.col("signature_b")) <= 2
+    weights = spark.createDataFrame([(n, 10, 9) for n in range(1, size + 1)], "node long, weight long, common long")
+    found = [tuple(sorted(r)) for r in linking.rest_pairs(split, signatures, alike, weights, 0.8).collect()]
+    assert linking.rest_pairs(split, signatures, alike, weights.withColumn("common", F.lit(8)), 0.8).count() == 0
     expected = {(a, b) for a in range(2, size + 1) for b in range(a + 1, min(a + 3, size + 1)) if component[a] != component[b]}
     assert len(found) == len(set(found)) and set(found) == expected
+    assert {r[0] for r in linking.hopeful(split, signatures, alike).collect()} == {n for p in expected for n in p}
     finer = {tuple(r) for r in linking.finer_pairs(split, signatures, [F.col("signature") % 2]).collect()}
     assert finer and all(component[a] != component[b] and a % 2 == b % 2 for a, b in finer)
 
 
+def test_common_weights(spark):
+    rows = [(1, 10, 2), (1, 11, 1), (2, 10, 5), (2, 12, 7), (3, 13, 1), (4, 10, 1)]
+    found = {r["node"]: (r["weight"], r["common"]) for r in linking.common_weights(spark.createDataFrame(rows, "node long, shingle long, weight long")).collect()}
+    assert found == {1: (3, 2), 2: (12, 5), 3: (1, 0), 4: (1, 1)}
+
+
 def _repeats(rows):
     first, out = {}, {}
     for i, text in sorted(rows):
