@@ -4,9 +4,10 @@
 2. Of buckets where some members are then outside the component of the central one, all members are cut finer by
    parts of their signatures and compared with one member of each part.
 3. What is still of different components in one bucket is compared by signature, in blocks: members outside the
-   central component with all others. No pair of a bucket is left out, whatever its size, and a hot bucket is spread
-   over many tasks. Pairs are made only where the two texts can be as alike as is asked: what they share is at most
-   what either shares with any other of the texts that are left, which is counted exactly.
+   central component with all others. No member of a bucket is left out, whatever its size, and a hot bucket is spread
+   over many tasks. Members with a partner then meet on their rarest shingles: with shingles in order of how many of
+   them hold each, two sets that are alike enough share one early in both. This bound is exact, and a family whose
+   members share no more than their common original makes few pairs.
 
 The first two rounds make as many pairs as members; what they join, the third need not look at.
 """
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from farsight.llm.components import components
@@ -72,49 +73,49 @@ def finer_pairs(split: DataFrame, signatures: DataFrame, finer: list[Column]) ->
     return cut.join(heads, "part").where("component <> of").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
 
 
-def _across(split: DataFrame, facts: DataFrame, alike: Column) -> tuple[DataFrame, DataFrame, Column]:
-    """Left and right rows of split buckets with their `facts` (node, signature, ...), and the condition of a pair.
+def hopeful(split: DataFrame, signatures: DataFrame, alike: Column) -> DataFrame:
+    """(node): members of split buckets with any partner of another component that meets `alike`; as many rows as members at most.
 
     Members are dealt to blocks by hash; each block of members that are away meets each block of the bucket.
     """
     sizes = split.groupBy("bucket").agg(F.count("*").alias("n_all"), F.count_if("away").alias("n_away"))
-    known = split.select("bucket", "node", "component", "away").join(sizes, "bucket").join(facts, "node")
+    known = split.select("bucket", "node", "component", "away").join(sizes, "bucket").join(signatures, "node")
     blocks = {"x": F.ceil(F.col("n_away") / BLOCK), "y": F.ceil(F.col("n_all") / BLOCK)}
     own = {c: F.pmod(F.xxhash64("node"), n) for c, n in blocks.items()}
     each = {c: F.explode(F.sequence(F.lit(0).cast("long"), n - 1)) for c, n in blocks.items()}
-    columns = [c for c in known.columns if c not in ("n_all", "n_away")]
+    columns = ["bucket", "node", "component", "signature"]
     left = known.where("away").select(*columns, own["x"].alias("x"), each["y"].alias("y"))
     right = known.where("n_away > 0").select(*columns, each["x"].alias("x"), own["y"].alias("y"))
     a, b = (x.select(*(F.col(c).alias(f"{c}_{n}") for c in x.columns)) for x, n in ((left, "a"), (right, "b")))
-    once = (F.col("node_a") < F.col("node_b")) | ~F.col("away_b")
-    on = (F.col("component_a") != F.col("component_b")) & once & alike
+    on = (F.col("component_a") != F.col("component_b")) & alike
     for c in ("bucket", "x", "y"):
         on = (F.col(f"{c}_a") == F.col(f"{c}_b")) & on
-    return a, b, on
-
-
-def hopeful(split: DataFrame, signatures: DataFrame, alike: Column) -> DataFrame:
-    """(node): members of split buckets with any partner of another component that meets `alike`; as many rows as members at most."""
-    a, b, on = _across(split, signatures, alike)
     return a.join(b, on, "left_semi").select(F.col("node_a").alias("node")).unionAll(b.join(a, on, "left_semi").select("node_b")).distinct()
 
 
-def common_weights(shingles: DataFrame) -> DataFrame:
-    """(node, weight, common): the weight of all shingles of a node, and of those that another node has too. shingles: (node, shingle, weight), distinct."""
-    alone = shingles.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("weight").alias("weight")).where("n = 1")
-    alone = alone.groupBy("node").agg(F.sum("weight").alias("alone"))
-    return shingles.groupBy("node").agg(F.sum("weight").alias("weight")).join(alone, "node", "left").select("node", "weight", (F.col("weight") - F.coalesce("alone", F.lit(0))).alias("common"))
-
+def early_shingles(shingles: DataFrame, similarity: float) -> DataFrame:
+    """(node, shingle, all, rest): the shingles that an alike set must share one of. shingles: (node, shingle, weight), distinct.
 
-def rest_pairs(split: DataFrame, signatures: DataFrame, alike: Column, weights: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): pairs of split buckets, of different components, that meet `alike` and whose common weights allow the similarity.
-
-    weights: common_weights() of the nodes to be paired.
+    Shingles of a node stand in the order of how many nodes hold each; `all` is the weight of a node, `rest` that from
+    this shingle on. What two sets share is at most the lesser rest at the first shingle that they share.
     """
+    holders = shingles.groupBy("shingle").agg(F.count("*").alias("n"))
+    own = Window.partitionBy("node")
+    ordered = own.orderBy("n", "shingle").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    ranked = shingles.join(holders, "shingle").select("node", "shingle", "n", F.sum("weight").over(own).alias("all"), F.sum("weight").over(ordered).alias("rest"))
+    return ranked.where((F.col("n") > 1) & (F.col("rest") >= F.lit(similarity) * F.col("all") - F.lit(1e-9))).drop("n")
+
+
+def rest_pairs(split: DataFrame, early: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of members of split buckets, of different components and one of them away, whose early_shingles() allow the similarity."""
+    facts = split.groupBy("node").agg(F.max("component").alias("component"), F.max("away").alias("away"))
+    known = early.join(facts, "node")
+    a, b = (known.select(*(F.col(c).alias(f"{c}_{n}") for c in known.columns)) for n in "ab")
     # shared >= similarity / (1 + similarity) x (both weights) is what the similarity asks for
-    can = F.least("common_a", "common_b") * F.lit(1 + similarity) >= F.lit(similarity) * (F.col("weight_a") + F.col("weight_b")) - F.lit(1e-9)
-    a, b, on = _across(split.join(weights.select("node"), "node", "left_semi"), signatures.join(weights, "node"), can & alike)
-    return a.join(b, on).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    can = F.least("rest_a", "rest_b") * F.lit(1 + similarity) >= F.lit(similarity) * (F.col("all_a") + F.col("all_b")) - F.lit(1e-9)
+    once = (F.col("node_a") < F.col("node_b")) | ~F.col("away_b")
+    pairs = a.where("away_a").join(b, (F.col("shingle_a") == F.col("shingle_b")) & (F.col("component_a") != F.col("component_b")) & once & can)
+    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def linked_components(
@@ -134,8 +135,8 @@ def linked_components(
 
     def rest() -> DataFrame:
         left = written(hopeful(split, signatures, alike), f"{name}-hopeful")
-        weights = written(common_weights(shingles_of(left)), f"{name}-weights")
-        return rest_pairs(split, signatures, alike, weights, similarity)
+        early = written(early_shingles(shingles_of(left), similarity), f"{name}-early")
+        return likely(rest_pairs(split, early, similarity), signatures, alike)
 
     for pairs in (heads, rest):
         if split.isEmpty():

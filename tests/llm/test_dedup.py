@@ -143,20 +143,26 @@ def test_the_last_round_compares_every_pair_that_is_left(spark, monkeypatch, blo
     signatures = spark.createDataFrame([(n, n) for n in range(1, size + 1)], "node long, signature long")
     split = linking.split_buckets(centred, known)
     alike = F.abs(F.col("signature_a") - F.col("signature_b")) <= 2
-    weights = spark.createDataFrame([(n, 10, 9) for n in range(1, size + 1)], "node long, weight long, common long")
-    found = [tuple(sorted(r)) for r in linking.rest_pairs(split, signatures, alike, weights, 0.8).collect()]
-    assert linking.rest_pairs(split, signatures, alike, weights.withColumn("common", F.lit(8)), 0.8).count() == 0
     expected = {(a, b) for a in range(2, size + 1) for b in range(a + 1, min(a + 3, size + 1)) if component[a] != component[b]}
-    assert len(found) == len(set(found)) and set(found) == expected
     assert {r[0] for r in linking.hopeful(split, signatures, alike).collect()} == {n for p in expected for n in p}
     finer = {tuple(r) for r in linking.finer_pairs(split, signatures, [F.col("signature") % 2]).collect()}
     assert finer and all(component[a] != component[b] and a % 2 == b % 2 for a, b in finer)
 
 
-def test_common_weights(spark):
-    rows = [(1, 10, 2), (1, 11, 1), (2, 10, 5), (2, 12, 7), (3, 13, 1), (4, 10, 1)]
-    found = {r["node"]: (r["weight"], r["common"]) for r in linking.common_weights(spark.createDataFrame(rows, "node long, shingle long, weight long")).collect()}
-    assert found == {1: (3, 2), 2: (12, 5), 3: (1, 0), 4: (1, 1)}
+def test_early_shingles_meet_in_every_alike_pair(spark):
+    r = np.random.default_rng(11)
+    base, sets = list(range(60)), {}
+    for n in range(1, 90):  # around one original, some around its copies
+        own = dict.fromkeys(r.choice(base, int(r.integers(40, 60)), replace=False).tolist(), 1) if n % 3 else dict(sets[n - 1])
+        own |= {int(x): int(r.integers(1, 3)) for x in r.integers(100, 900, int(r.integers(0, 9)))}
+        sets[n] = own
+    rows = [(n, s, w) for n, own in sets.items() for s, w in own.items()]
+    early = linking.early_shingles(spark.createDataFrame(rows, "node long, shingle long, weight long"), 0.8)
+    split = spark.createDataFrame([(7, n, n, n > 40) for n in sets], "bucket long, node long, component long, away boolean")
+    found = [tuple(sorted(x)) for x in linking.rest_pairs(split, early, 0.8).collect()]
+    like = lambda a, b: sum(min(a[k], b[k]) for k in a.keys() & b.keys()) / sum(max(a.get(k, 0), b.get(k, 0)) for k in a.keys() | b.keys())
+    alike = {(a, b) for a in sets for b in sets if a < b and b > 40 and like(sets[a], sets[b]) >= 0.8}
+    assert len(found) == len(set(found)) and alike <= set(found) and 10 < len(alike) < len(found) < 89 * 88 / 4
 
 
 def _repeats(rows):
