@@ -21,7 +21,7 @@ from farsight.functions.vectors import batch_distances, distance
 BLOCK = 256
 
 
-def _blocks(queries: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def query_blocks(queries: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids, vectors) of blocks of queries (query_id, qvec), by rank of their hash, each collected on its own."""
     n = queries.count()
     parts = -(-n // size)
@@ -37,6 +37,29 @@ def _blocks(queries: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndar
             yield ids, vectors
 
 
+def batch_top_k(x: np.ndarray, own: np.ndarray, ok: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, metric: str) -> pd.DataFrame:
+    """The k nearest rows of one batch (vectors x, ids own, flags ok) for each query."""
+    out = [pd.DataFrame({"query_id": ids[:0], "vec_id": own[:0], "distance": np.empty(0), "passes": ok[:0]})]
+    for q, v in zip(ids, vectors, strict=True):
+        d = batch_distances(x, v, metric)
+        some = np.arange(len(d))
+        if len(d) > k:
+            edge = np.partition(d, k - 1)[k - 1]
+            some = np.flatnonzero(d <= edge)
+        some = some[np.lexsort((own[some], d[some]))][:k]
+        out.append(pd.DataFrame({"query_id": q, "vec_id": own[some], "distance": d[some], "passes": ok[some]}))
+    return pd.concat(out[1:] or out)
+
+
+def ranked_top_k(spark, found: list[DataFrame], k: int) -> DataFrame:
+    """The k nearest for each query among the results of blocks and batches, in one form for no blocks too."""
+    if not found:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, distance double, passes boolean")
+    best = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("distance"), "vec_id")
+    ranked = reduce(DataFrame.unionAll, found).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "distance", "passes")
+
+
 def top_k(base: DataFrame, queries: DataFrame, k: int, *, metric: str = "l2", id_col: str = "vec_id", vec_col: str = "embedding", passes: Column | None = None, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, distance, passes): the k nearest rows of `base` for each query; rank counts from 1.
 
@@ -56,27 +79,36 @@ def top_k(base: DataFrame, queries: DataFrame, k: int, *, metric: str = "l2", id
                 x = np.stack(batch["v"].to_numpy()).astype(np.float64)
                 if x.shape[1] != vectors.shape[1]:
                     raise ValueError(f"vectors of {x.shape[1]} and of {vectors.shape[1]} elements")
-                own, ok = batch["vec_id"].to_numpy(), batch["passes"].to_numpy()
-                out = []
-                for q, v in zip(ids, vectors, strict=True):
-                    d = batch_distances(x, v, metric)
-                    some = np.arange(len(d))
-                    if len(d) > k:
-                        edge = np.partition(d, k - 1)[k - 1]
-                        some = np.flatnonzero(d <= edge)
-                    some = some[np.lexsort((own[some], d[some]))][:k]
-                    out.append(pd.DataFrame({"query_id": q, "vec_id": own[some], "distance": d[some], "passes": ok[some]}))
-                yield pd.concat(out)
+                yield batch_top_k(x, batch["vec_id"].to_numpy(), batch["passes"].to_numpy(), ids, vectors, k, metric)
 
         return batches
 
     schema = "query_id long, vec_id long, distance double, passes boolean"
-    found = [rows.mapInPandas(nearest(spark.sparkContext.broadcast(b)), schema) for b in _blocks(queries, block)]
-    if not found:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, distance double, passes boolean")
-    best = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("distance"), "vec_id")
-    ranked = reduce(DataFrame.unionAll, found).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "distance", "passes")
+    found = [rows.mapInPandas(nearest(spark.sparkContext.broadcast(b)), schema) for b in query_blocks(queries, block)]
+    return ranked_top_k(spark, found, k)
+
+
+def nearest_query(base: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """(vec_id, least): the L2 distance of each row to its nearest query, inside the scan: no join, and no shuffle for one block of queries."""
+    rows = base.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v"))
+
+    def nearest(held):
+        def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            _, vectors = held.value
+            for batch in it:
+                x = np.stack(batch["v"].to_numpy()).astype(np.float64) if len(batch) else np.empty((0, vectors.shape[1]))
+                least = np.full(len(batch), np.inf)
+                for v in vectors:
+                    least = np.minimum(least, batch_distances(x, v, "l2"))
+                yield pd.DataFrame({"vec_id": batch["vec_id"], "least": least})
+
+        return batches
+
+    found = [rows.mapInPandas(nearest(base.sparkSession.sparkContext.broadcast(b)), "vec_id long, least double") for b in query_blocks(queries, block)]
+    if len(found) == 1:
+        return found[0]
+    every = reduce(DataFrame.unionAll, found) if found else base.sparkSession.createDataFrame([], "vec_id long, least double")
+    return every.groupBy("vec_id").agg(F.min("least").alias("least"))
 
 
 def nearest_to(base: DataFrame, query: list[float], k: int, *, metric: str = "l2", id_col: str = "vec_id", vec_col: str = "embedding", where: Column | None = None) -> DataFrame:
@@ -106,13 +138,14 @@ def iterative(base: DataFrame, queries: DataFrame, k: int, passes: Column, *, ef
     """As postfilter, on a frontier that doubles for the queries still short of k, up to `max_scan` rows."""
     size, done, open_ = min(ef, max_scan), None, queries
     while True:
-        found = _ranked(top_k(base, open_, size, passes=passes, **options).where("passes"), k)
+        # kept, as it is counted and then given out: at most k rows for each query
+        found = _ranked(top_k(base, open_, size, passes=passes, **options).where("passes"), k).persist()
         if size >= max_scan:
             return found if done is None else done.unionAll(found)
-        full = [r["query_id"] for r in found.groupBy("query_id").count().where(F.col("count") >= k).select("query_id").collect()]
-        kept = found.where(F.col("query_id").isin(full))
+        full = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("query_id")
+        kept = found.join(full, "query_id", "left_semi").select(found.columns)
         done = kept if done is None else done.unionAll(kept)
-        open_ = open_.where(~F.col("query_id").isin(full))
+        open_ = open_.join(full, "query_id", "left_anti")
         if open_.isEmpty():
             return done
         size = min(2 * size, max_scan)

@@ -28,16 +28,20 @@ def win_counts(points: DataFrame) -> DataFrame:
     return points.where("winner is not null").groupBy("winner").agg(F.count("*").alias("wins"))
 
 
-def proof(points: DataFrame, *, min_bins: int = 3, min_correlations: int = 3, min_match: float = 0.8, min_failures: int = 1) -> DataFrame:
-    """(name, passed, actual, required): the checks of a sweep with predictions (predicted, winner, postfilter_ok, post_p95, predicted_p95)."""
+def proof(points: DataFrame, *, min_bins: int = 3, min_correlations: int = 3, min_match: float = 0.8, min_failures: int = 1, min_points: int = 3) -> DataFrame:
+    """(name, passed, actual, required): the checks of a sweep with predictions (predicted, predicted_ok, winner, postfilter_ok).
+
+    A prediction is safe where postfilter fails if it is another strategy and that one was viable (predicted_ok).
+    """
     match = F.avg((F.col("predicted") == F.col("winner")).cast("double"))
     failed = ~F.col("postfilter_ok")
     one = points.agg(
         F.count_distinct("selectivity").cast("double").alias("bins"), F.count_distinct("correlation").cast("double").alias("correlations"), F.count("*").cast("double").alias("points"),
         F.count("predicted").cast("double").alias("predictions"), match.alias("match"), F.count_if(failed).cast("double").alias("failures"),
-        F.count_if(failed & (F.col("predicted") != "postfilter")).cast("double").alias("safe"),
+        F.count_if(failed & (F.col("predicted") != "postfilter") & F.col("predicted_ok")).cast("double").alias("safe"),
     )
     rows = [
+        ("minimum_points", F.col("points") >= min_points, F.col("points"), F.lit(float(min_points))),
         ("selectivity_bins", F.col("bins") >= min_bins, F.col("bins"), F.lit(float(min_bins))),
         ("correlation_bins", F.col("correlations") >= min_correlations, F.col("correlations"), F.lit(float(min_correlations))),
         ("predictions_present", F.col("predictions") == F.col("points"), F.col("predictions"), F.col("points")),

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farsight.operators.search import top_k
+from farsight.operators.search import BLOCK, batch_top_k, query_blocks, ranked_top_k
 from farsight.plans.recommend import Layout
 
 
@@ -57,16 +59,31 @@ def write_by_centre(base: DataFrame, centres: np.ndarray, path: str, *, vec_col:
     rows.repartition("list", F.pmod(F.xxhash64(vec_col), F.lit(4))).write.mode("overwrite").partitionBy("list").parquet(path)
 
 
-def search_by_centre(spark, path: str, centres: np.ndarray, queries: DataFrame, k: int, *, probes: int, passes: Column | None = None, **options) -> DataFrame:
-    """The k nearest within the `probes` lists nearest to each query: approximate; other lists are pruned from the scan."""
+def search_by_centre(spark, path: str, centres: np.ndarray, queries: DataFrame, k: int, *, probes: int, passes: Column | None = None, metric: str = "l2", block: int = BLOCK) -> DataFrame:
+    """The k nearest within the `probes` lists nearest to each query: approximate.
+
+    One scan for each block of queries; lists that none of them probes are pruned from it, and a batch is compared only
+    with the queries that probe its list. Without queries there are no rows.
+    """
     base = spark.read.parquet(path)
-    out = None
-    by_lists: dict[tuple, list[int]] = {}
-    for r in queries.collect():
-        d = ((centres - np.array(r["qvec"])) ** 2).sum(1)
-        by_lists.setdefault(tuple(sorted(np.argsort(d, kind="stable")[:probes].tolist())), []).append(r["query_id"])
-    for lists, ids in by_lists.items():
-        rows = base.where(F.col("list").isin(*lists)) if passes is None else base.where(F.col("list").isin(*lists) & passes)
-        found = top_k(rows, queries.where(F.col("query_id").isin(ids)), k, **options)
-        out = found if out is None else out.unionAll(found)
-    return out
+    ok = F.coalesce(F.lit(True) if passes is None else passes, F.lit(False))
+
+    def nearest(held):
+        def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, vectors, probed = held.value
+            for batch in it:
+                for number, part in batch.groupby("list"):
+                    x, some = np.stack(part["v"].to_numpy()).astype(np.float64), probed[:, number]
+                    yield batch_top_k(x, part["vec_id"].to_numpy(), part["passes"].to_numpy(), ids[some], vectors[some], k, metric)
+
+        return batches
+
+    found = []
+    for ids, vectors in query_blocks(queries, block):
+        far = ((vectors[:, None, :] - centres[None]) ** 2).sum(axis=2)
+        probed = np.zeros(far.shape, bool)
+        np.put_along_axis(probed, np.argsort(far, axis=1, kind="stable")[:, :probes], True, axis=1)
+        rows = base.where(F.col("list").isin(*np.flatnonzero(probed.any(axis=0)).tolist()) & ok)
+        rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"), F.col("list"), F.lit(True).alias("passes"))
+        found.append(rows.mapInPandas(nearest(spark.sparkContext.broadcast((ids, vectors, probed))), "query_id long, vec_id long, distance double, passes boolean"))
+    return ranked_top_k(spark, found, k)

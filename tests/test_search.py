@@ -104,6 +104,28 @@ def test_lists_by_centre_find_all_with_all_probes(spark, tmp_path):
     assert sorted((r["query_id"], r["vec_id"]) for r in found.collect()) == sorted((r["query_id"], r["vec_id"]) for r in search.top_k(base, q, 5).collect())
 
 
+def test_lists_by_centre_reach_the_recall_asked_for(spark, sf_dir):
+    from farsight import catalog
+
+    found = catalog.QUERIES["ann_by_centre"](spark, sf_dir).first()
+    assert found["recall_at_k"] >= 0.9 and found["returns_k_rate"] == 1.0
+
+
+def test_lists_by_centre_without_queries_or_in_small_blocks(spark, tmp_path):
+    base = sources.clustered(spark, 300, 4, clusters=4)
+    q = sources.clustered_queries(spark, 5, 4, clusters=4)
+    centres = layouts.fit_centres(base, 4)
+    layouts.write_by_centre(base, centres, str(tmp_path / "lists"))
+    found = [sorted((r["query_id"], r["rank"], r["vec_id"]) for r in layouts.search_by_centre(spark, str(tmp_path / "lists"), centres, q, 3, probes=2, block=b).collect()) for b in (2, 256)]
+    assert found[0] == found[1] and len(found[0]) == 15
+    assert layouts.search_by_centre(spark, str(tmp_path / "lists"), centres, q.limit(0), 3, probes=2).count() == 0
+    nearest = {r["vec_id"]: r["least"] for r in search.nearest_query(base, q, block=2).collect()}
+    plain = {r["vec_id"]: r["least"] for r in search.nearest_query(base, q).collect()}
+    assert nearest == plain and len(plain) == 300
+    first = search.top_k(base, q, 1).agg(F.min("distance")).first()[0]
+    assert abs(min(plain.values()) - first) < 1e-9
+
+
 def test_reading_vectors(spark, tmp_path):
     assert sources.parse_vector("1, 2 3") == [1.0, 2.0, 3.0]
     assert sources.parse_vectors('{"vectors": [[1, 2], [3, 4]]}') == [[1.0, 2.0], [3.0, 4.0]]
