@@ -22,6 +22,13 @@ def _stars(links: DataFrame, large: bool) -> DataFrame:
     return made.where("a <> b").distinct()
 
 
+def _are_stars(links: DataFrame) -> bool:
+    """Whether each node has one smaller neighbour only, which has none itself. links: (a, b) with a > b, distinct."""
+    ends = links.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("leaf")), F.struct(F.col("b").alias("node"), F.lit(0).alias("leaf")))))
+    by = ends.groupBy("node").agg(F.sum("leaf").alias("leaves"), F.count("*").alias("n"))
+    return by.where("leaves > 1 or (leaves = 1 and n > 1)").isEmpty()
+
+
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) for every node with a link; a component is named by its smallest node.
 
@@ -32,13 +39,8 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     kind = links.schema[a].dataType
     now = links.select(F.greatest(a, b).cast(kind).alias("a"), F.least(a, b).cast(kind).alias("b")).where("a <> b").distinct()
     now = written(now, name)
-    seen = None
-    while True:
+    while not _are_stars(now):
         now = written(_stars(_stars(now, True), False), name)
-        state = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        if state == seen:
-            break
-        seen = state
     leaves = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return leaves.unionAll(roots)
