@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farsight.llm.shared import documents, sliced, text_or_empty, written
-from farsight.llm.textnum import Words, chunks, mix, ranges
+from farsight.llm.textnum import Words, chunks, gathered, mix, ranges
 
 _U = np.uint64
 KINDS = ("email", "ip", "card", "phone")
@@ -105,16 +105,27 @@ class Candidates:
 
 def _within(flags: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """How many of the flags are set in each range."""
-    sums = np.concatenate([[0], np.cumsum(flags)])
+    sums = np.concatenate([[0], np.cumsum(flags, dtype=np.int32)])
     return sums[end] - sums[start]
 
 
-def candidates(texts: list[str], base: list[list[tuple[int, int, str]]]) -> Candidates:
-    """All candidates of texts with the base entities `base`."""
+def _counted(table: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """How many bytes of each of a few ranges are in a table."""
+    some, at = gathered(data, start, end)
+    return _within(table[some], at[:-1], at[1:])
+
+
+def _hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = 0) -> np.ndarray:
+    """Hashes of the bytes of a few ranges."""
+    some, at = gathered(data, start, end)
+    return ranges(some.astype(_U), at[:-1], at[1:], base)
+
+
+def candidates(texts: list[str], base: list[list[tuple[int, int, str]]], every: bool = True) -> Candidates:
+    """The candidates of texts with the base entities `base`: every one, or only those that are seeds or stand in a pattern."""
     raw = [t.encode() for t in texts]
     words = Words(raw)
     data = words.data
-    lowered = _LOWERED[data]
     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points before each byte
     n = len(words.start)
     # the inner part of each token: after a glued label, without outer marks
@@ -129,7 +140,9 @@ def candidates(texts: list[str], base: list[list[tuple[int, int, str]]]) -> Cand
     start = inner(label_end, end)
     # numbers in groups: neighbouring tokens of few digits are one candidate
     digits = _within(_DIGIT[data], words.start, words.end)
-    numeric = (_within(_NUMERIC[data], start, end) == end - start) & (digits > 0) & (digits <= 6)
+    numeric = (digits > 0) & (digits <= 6)
+    few = np.flatnonzero(numeric)
+    numeric[few] = _counted(_NUMERIC, data, start[few], end[few]) == end[few] - start[few]
     joined = np.concatenate([[False], numeric[1:] & numeric[:-1] & (words.text[1:] == words.text[:-1]) & ~glued[1:]]) if n else np.zeros(0, bool)
     first = np.flatnonzero(~joined)
     last = np.append(first[1:], n)[: len(first)] - 1
@@ -138,10 +151,12 @@ def candidates(texts: list[str], base: list[list[tuple[int, int, str]]]) -> Cand
     # tokens that a base entity covers make room for it
     spans = [(i, words.text_at[i] + len(t[:a].encode()), words.text_at[i] + len(t[:b].encode()), 1 + KINDS.index(k)) for i, (t, own) in enumerate(zip(texts, base, strict=True)) for a, b, k in own]
     s_text, s_start, s_end, s_kind = (np.array(x, np.int64) for x in (zip(*spans, strict=True) if spans else ([],) * 4))
-    covered = np.zeros(len(data) + 1, np.int64)
-    np.add.at(covered, s_start, 1)
-    np.add.at(covered, s_end, -1)
-    stays = (c_end > c_start) & (_within(np.cumsum(covered)[:-1] > 0, c_start, c_end) == 0)
+    stays = c_end > c_start
+    if spans:
+        covered = np.zeros(len(data) + 1, np.int64)
+        np.add.at(covered, s_start, 1)
+        np.add.at(covered, s_end, -1)
+        stays &= _within(np.cumsum(covered)[:-1] > 0, c_start, c_end) == 0
     s_first = np.maximum(np.searchsorted(words.start, s_start, "right") - 1, 0)
     s_last = np.maximum(np.searchsorted(words.start, s_end, "left") - 1, 0)
     c_start, c_end = np.concatenate([c_start[stays], s_start]), np.concatenate([c_end[stays], s_end])
@@ -149,28 +164,49 @@ def candidates(texts: list[str], base: list[list[tuple[int, int, str]]]) -> Cand
     s_glued = (s_start > words.start[s_first]) & _SEPARATOR[data[np.maximum(s_start - 1, 0)]] if len(s_first) else np.zeros(0, bool)
     label, has_label = np.concatenate([label[stays], s_start]), np.concatenate([has_label[stays], s_glued])
     text, kind = np.concatenate([text[stays], s_text]), np.concatenate([np.zeros(int(stays.sum()), np.int64), s_kind])
-    size = c_end - c_start
-    n_digits = _within(_DIGIT[data], c_start, c_end)
-    secret = (kind == 0) & (size >= 32) & (_within(_HEX[data], c_start, c_end) == size) & (n_digits > 0) & (n_digits < size)
-    kind[secret] = len(KINDS) + 1
-    # patterns
-    word = ranges(lowered.astype(_U), words.start, words.end) if n else np.empty(0, _U)
     ends_in_separator = _SEPARATOR[data[words.end - 1]] if n else np.zeros(0, bool)
-    bare = _within(_SEPARATOR[data], words.start, words.end) == words.end - words.start
     token = lambda at, own: np.where((at >= 0) & (at < n) & (words.text[np.clip(at, 0, max(n - 1, 0))] == own), at, n)
-    at = lambda values, i, none: np.append(values, none)[i]
-    before, second, after = token(first - 1, text), token(first - 2, text), token(last + 1, text)
+    before = token(first - 1, text)
+    labelled = np.append(ends_in_separator, False)[before]
+    n_digits = np.where(kind > 0, 1, np.concatenate([[0], np.cumsum(digits)])[last + 1] - np.concatenate([[0], np.cumsum(digits)])[first]) if n else np.zeros(0, np.int64)
+    active = np.flatnonzero(labelled | has_label | (n_digits > 0) | (kind > 0))
+    value = None if not every else ranges(data.astype(_U), c_start, c_end, 1)
+    out = c_start, c_end, text, kind
+    # from here on, those in patterns and seeds only
+    c_start, c_end, first, last, text, kind, label, has_label, before, labelled = (x[active] for x in (c_start, c_end, first, last, text, kind, label, has_label, before, labelled))
+    size = c_end - c_start
+    n_digits = _counted(_DIGIT, data, c_start, c_end)
+    secret = np.flatnonzero((kind == 0) & (size >= 32) & (n_digits > 0) & (n_digits < size))
+    kind[secret[_counted(_HEX, data, c_start[secret], c_end[secret]) == size[secret]]] = len(KINDS) + 1
+    # patterns
+    bounds = [np.append(x, 0) for x in (words.start, words.end)]
+
+    def word(at: np.ndarray, none: int = 0) -> np.ndarray:
+        """Hashes of lower-case tokens; `none` where there is no token."""
+        lower, cut = gathered(data, bounds[0][at], bounds[1][at])
+        return np.where(at < n, ranges(_LOWERED[lower].astype(_U), cut[:-1], cut[1:]), _U(none))
+
+    bare = labelled & (_counted(_SEPARATOR, data, bounds[0][before], bounds[1][before]) == bounds[1][before] - bounds[0][before])
+    second, after = token(first - 2, text), token(last + 1, text)
     form = mix(
-        (_within(_LOWER[data] | (data >= 128), c_start, c_end) > 0).astype(_U) | ((_within(_UPPER[data], c_start, c_end) > 0).astype(_U) << _U(1))
+        (_counted(_LOWER | (np.arange(256) >= 128), data, c_start, c_end) > 0).astype(_U) | ((_counted(_UPPER, data, c_start, c_end) > 0).astype(_U) << _U(1))
         | ((n_digits == size).astype(_U) << _U(2)) | (np.minimum(size, 63).astype(_U) << _U(3)) | (np.minimum(n_digits, 63).astype(_U) << _U(9))
     )
-    labelled = at(ends_in_separator, before, False)
-    left = mix(at(word, before, _U(0)) + np.where(at(bare, before, False), mix(at(word, second, _U(0))), _U(0)))
-    own_label = ranges(lowered.astype(_U), words.start[first], np.maximum(label, words.start[first])) if len(first) else np.empty(0, _U)
+    left = mix(word(before) + np.where(bare, mix(word(second)), _U(0)))
+    begin = words.start[first] if len(first) else first
+    lower, cut = gathered(data, begin, np.maximum(label, begin))
+    own_label = ranges(_LOWERED[lower].astype(_U), cut[:-1], cut[1:])
     has_digit = n_digits > 0
-    some = [(labelled, left), (has_label, own_label), (has_digit, form + at(word, before, _U(1))), (has_digit, form - at(word, after, _U(1))), (has_digit, form)]
+    some = [(labelled, left), (has_label, own_label), (has_digit, form + word(before, 1)), (has_digit, form - word(after, 1)), (has_digit, form)]
     patterns = np.stack([np.where(there, mix(h + _U(i + 1)) | _U(1), _U(0)) for i, (there, h) in enumerate(some)], axis=1)
-    return Candidates(text, points[c_start] - points[words.text_at[text]], points[c_end] - points[words.text_at[text]], kind, ranges(data.astype(_U), c_start, c_end, 1), patterns)
+    if every:
+        all_patterns = np.zeros((len(value), len(some)), _U)
+        all_patterns[active] = patterns
+        out[3][active] = kind
+        (c_start, c_end, text, kind), patterns = out, all_patterns
+    else:
+        value = _hashed(data, c_start, c_end, 1)
+    return Candidates(text, points[c_start] - points[words.text_at[text]], points[c_end] - points[words.text_at[text]], kind, value, patterns)
 
 
 _PLACES = "key long, tie long, start int, end int, value long, pattern long, kind int"
@@ -192,7 +228,7 @@ def scan_base(keyed: DataFrame) -> DataFrame:
             texts = batch.column("text").to_pylist()
             for a, b in chunks(texts, 1 << 19):
                 base = [base_spans(t) for t in texts[a:b]]
-                found = candidates(texts[a:b], base)
+                found = candidates(texts[a:b], base, False)
                 seeds: list[list[dict]] = [[] for _ in base]
                 for i in np.flatnonzero(found.kind):
                     own = dict(start=int(found.start[i]), end=int(found.end[i]), value=int(found.value[i].view(np.int64)), kind=int(found.kind[i]))
@@ -228,7 +264,7 @@ def places(keyed: DataFrame, wanted: DataFrame, what: str) -> DataFrame:
         for batch in sliced(it):
             texts, keys, ties = batch.column("text").to_pylist(), batch.column("key").to_numpy(), batch.column("tie").to_numpy()
             for a, b in chunks(texts, 1 << 19):
-                found = candidates(texts[a:b], [base_spans(t) for t in texts[a:b]])
+                found = candidates(texts[a:b], [base_spans(t) for t in texts[a:b]], what == "value")
                 mask = _U((1 << _BITS) - 1)
                 fits = found.patterns != 0
                 fits &= held.value[(found.patterns & mask).astype(np.int64)] if what == "pattern" else held.value[(found.value & mask).astype(np.int64)][:, None]

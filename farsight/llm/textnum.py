@@ -7,6 +7,7 @@ give the hash of any word or window by two look-ups, so that no Python code runs
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 
@@ -50,6 +51,12 @@ def ranges(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = 0
     return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(_U))
 
 
+def gathered(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a few ranges, one after the other, and where each begins (and the last ends)."""
+    at = np.concatenate([[0], np.cumsum(end - start)])
+    return values[np.repeat(start - at[:-1], end - start) + np.arange(at[-1])], at
+
+
 def chunks(texts: list[str], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Index ranges of texts with about `limit` characters each (more only where a single text has more)."""
     start, size = 0, 0
@@ -75,7 +82,10 @@ class Words:
         self.first = np.searchsorted(self.start, self.text_at)
         self.count = np.diff(self.first)
         self.text = np.repeat(np.arange(len(texts)), self.count)
-        self.hash = ranges(_BYTE[data], self.start, self.end)
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return ranges(_BYTE[self.data], self.start, self.end)
 
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of n words within one text, and the index of the first word of each."""
