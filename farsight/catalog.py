@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farsight.functions import filters, vectors
-from farsight.operators import local, metrics, search, statistics, sweeps, workload
+from farsight.operators import local, measured, metrics, search, statistics, sweeps, workload
 from farsight.plans import costs
+from farsight.plans import recommend as advice
 from farsight.sources import layouts
 from farsight.sources import vectors as sources
 
@@ -524,3 +525,120 @@ def ann_by_centre(spark, sf_dir):
     layouts.write_by_centre(base, centres, path)
     found = layouts.search_by_centre(spark, path, centres, q, K, probes=6)
     return metrics.summary(metrics.per_query(search.top_k(base, q, K), found, q, K))
+
+
+#: Filters of growing share and the frontiers that the measured sweep tries for each.
+_SWEPT = {"one": "label = 3", "three": _PASSES_SQL, "half": "label < 5", "most": "label < 9"}
+_EFS, _TARGET = [10, 20, 40, 80, 160], 0.9
+_SWEEP_SQL = f"""{_NEAR.format(distance=_L2, where='')}, placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS place FROM near),
+flagged AS ({" UNION ALL ".join(f"SELECT '{n}' AS filter, query_id, place FROM placed WHERE {c}" for n, c in _SWEPT.items())}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY filter, query_id ORDER BY place) AS r FROM flagged),
+share AS ({" UNION ALL ".join(f"SELECT '{n}' AS filter, avg(({c})::INT) AS selectivity FROM embeddings" for n, c in _SWEPT.items())}),
+cells AS (SELECT filter, selectivity, unnest({_EFS})::INT AS ef, query_id FROM share, q),
+by_query AS (SELECT c.filter, c.selectivity, c.ef, c.query_id, count(*) FILTER (r <= {K}) AS n_truth, count(*) FILTER (place <= ef) AS passing, count(*) FILTER (place <= ef AND r <= {K}) AS hits
+FROM cells c LEFT JOIN ranked USING (filter, query_id) GROUP BY ALL),
+swept AS (SELECT filter, ef, selectivity, avg(CASE WHEN n_truth = 0 THEN 1.0 ELSE hits::DOUBLE / n_truth END) AS recall, bool_and(hits >= least(n_truth, {K})) AS returns_k, avg(hits) AS mean_results, avg(passing / ef) AS s_local FROM by_query GROUP BY ALL),
+cheapest AS (SELECT filter, selectivity, selectivity * (SELECT count(*) FROM embeddings) AS exact, min(ef) FILTER (returns_k AND recall >= {_TARGET}) AS ef FROM swept GROUP BY ALL),
+won AS (SELECT filter, selectivity, CASE WHEN ef < exact THEN 'postfilter' ELSE 'exact' END AS winner, CASE WHEN ef < exact THEN ef END AS ef, CASE WHEN ef < exact THEN ef ELSE exact END AS cost FROM cheapest)"""
+
+
+def _sweep(spark, sf_dir) -> DataFrame:
+    base = _base(spark, sf_dir)
+    return measured.sweep(base, _queries(base), {n: F.expr(c) for n, c in _SWEPT.items()}, _EFS, K)
+
+
+def _measured_best(spark, sf_dir) -> DataFrame:
+    return measured.best(_sweep(spark, sf_dir), F.lit(_base(spark, sf_dir).count()), _TARGET)
+
+
+@_query(f"WITH {_SWEEP_SQL} SELECT filter, ef, round(selectivity, 9) AS selectivity, round(recall, 6) AS recall, returns_k, round(mean_results, 6) AS mean_results, round(s_local, 6) AS s_local FROM swept")
+def swp1_measured_sweep(spark, sf_dir):
+    """Postfilter measured at five frontiers for four filters, all frontiers from one scan."""
+    return _sweep(spark, sf_dir).select("filter", "ef", F.round("selectivity", 9).alias("selectivity"), "returns_k", *(F.round(c, 6).alias(c) for c in ("recall", "mean_results", "s_local")))
+
+
+@_query(f"WITH {_SWEEP_SQL} SELECT filter, round(selectivity, 9) AS selectivity, winner, ef, round(cost, 6)::DOUBLE AS cost FROM won")
+def top9_measured_best(spark, sf_dir):
+    """The strategy that examines the fewest rows for the target recall, as measured, by filter."""
+    return _measured_best(spark, sf_dir).select("filter", F.round("selectivity", 9).alias("selectivity"), "winner", "ef", F.round("cost", 6).alias("cost"))
+
+
+@_query(
+    f"""WITH {_SWEEP_SQL}, m AS (SELECT *, CASE WHEN lag(winner) OVER a = winner THEN 0 ELSE 1 END AS changed FROM won WINDOW a AS (ORDER BY selectivity)),
+g AS (SELECT *, sum(changed) OVER (ORDER BY selectivity)::BIGINT AS region FROM m)
+SELECT region, min(winner) AS strategy, round(min(selectivity), 9) AS low, round(max(selectivity), 9) AS high, count(*) AS n_points FROM g GROUP BY region"""
+)
+def xov_measured_regions(spark, sf_dir):
+    """Runs of one measured winner along the selectivity of the filters."""
+    found = sweeps.winner_regions(_measured_best(spark, sf_dir).withColumn("correlation", F.lit(0.0)))
+    return found.select("region", "strategy", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"), "n_points")
+
+
+@_query(f"WITH {_SWEEP_SQL} SELECT ef, round(max(recall) OVER (ORDER BY ef ROWS UNBOUNDED PRECEDING), 6) AS recall FROM swept WHERE filter = 'three'")
+def win2_measured_curve(spark, sf_dir):
+    """The measured recall curve of one filter, made non-decreasing: what a calibration keeps."""
+    return sweeps.monotone(_sweep(spark, sf_dir).where("filter = 'three'")).withColumn("recall", F.round("recall", 6))
+
+
+@_query(
+    f"""WITH {_SWEEP_SQL}, v AS (SELECT filter, ef, round(least(1.0, selectivity * ef / {K}), 9) AS p, round(recall, 9) AS r FROM swept), g AS (SELECT *, greatest(p, 1e-12) / greatest(r, 1e-12) AS ratio, abs(p - r) AS apart FROM v)
+SELECT filter, ef, p AS predicted, r AS measured, CASE WHEN ratio <= 0.1 OR ratio >= 10 OR apart >= 0.25 THEN 'critical' WHEN ratio <= 0.5 OR ratio >= 2 OR apart >= 0.05 THEN 'warning' ELSE 'ok' END AS severity FROM g"""
+)
+def val1_predicted_recall(spark, sf_dir):
+    """Recall expected from the overall share of each filter beside the measured one."""
+    return measured.predictions(_sweep(spark, sf_dir), K)
+
+
+_RECOMMEND_SQL = f"""WITH b AS (SELECT count(*)::DOUBLE AS n, avg(({_PASSES_SQL})::INT) AS s FROM embeddings), f AS (SELECT *, greatest(40, ceil({K} / s)) AS least FROM b),
+p AS (SELECT *, CASE WHEN least <= 40 THEN 40 WHEN least <= 80 THEN 80 WHEN least <= 160 THEN 160 ELSE least END AS ef FROM f),
+e AS (SELECT 'exact' AS strategy, 0 AS priority, 0.2 * n * s + 0.1 * n * s * log2({K}) AS latency_us, 1.0::DOUBLE AS recall, true AS returns_k, 0.65::DOUBLE AS confidence FROM p UNION ALL
+SELECT 'partition', 1, 16 * ln(greatest(2.0, n * s)), 0.95, true, 0.5 FROM p UNION ALL SELECT 'partial', 2, 16 * ln(greatest(2.0, n * s)), 0.95, true, 0.5 FROM p UNION ALL
+SELECT 'postfilter', 3, 0.4 * ef * ln(n), CASE WHEN ef = 40 THEN 0.95 WHEN ef = 80 THEN 0.98 ELSE 0.99 END * least(1.0, s * ef / {K}), s * ef >= {K}, 0.35 FROM p UNION ALL
+SELECT 'iterative_relaxed', 4, 0.4 * ln(n) * {K} / s, 0.95, {K} / s <= 20000, 0.35 FROM p UNION ALL SELECT 'iterative_strict', 5, 0.4 * ln(n) * {K} / s, 0.95, {K} / s <= 20000, 0.35 FROM p),
+v AS (SELECT *, returns_k AND recall >= 0.95 AS viable FROM e)
+SELECT row_number() OVER (ORDER BY viable DESC, round(latency_us, 9), priority)::INT AS place, strategy, round(latency_us, 4) AS latency_us, round(recall, 6) AS recall, returns_k, viable, confidence FROM v"""
+
+
+@_query(_RECOMMEND_SQL)
+def rec_recommend(spark, sf_dir):
+    """All strategies ranked for one filter, with a filtered copy and a partitioned one at hand."""
+    base = _base(spark, sf_dir)
+    predicates = filters.parse_filter(spark, _PASSES_SQL, base.columns)
+    at_hand = (advice.Layout("filtered", "filtered", predicates=predicates), advice.Layout("partitioned", "partitioned", column="label"))
+    found = advice.recommend(spark, statistics.analyze(base, ["label"]), predicates, k=K, layouts=at_hand)
+    return found.drop("note").withColumn("latency_us", F.round("latency_us", 4)).withColumn("recall", F.round("recall", 6))
+
+
+_BOUNDED = ("o_orderpriority", "o_custkey")
+
+
+@_query(
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS column_name, bound_no::INT AS bound_no, v::VARCHAR AS bound FROM (SELECT unnest(range(0, 11)) AS bound_no) JOIN
+(SELECT {c} AS v, row_number() OVER (ORDER BY {c}) - 1 AS pos, count(*) OVER () AS n FROM orders WHERE {c} IS NOT NULL) ON pos = bound_no * (n - 1) // 10"""
+        for c in _BOUNDED
+    )
+)
+def sel9_ranked_bounds(spark, sf_dir):
+    """Histogram bounds of a text and a number column by ranks, without a buffer of all values."""
+    orders = _table(spark, sf_dir, "orders")
+    return reduce(DataFrame.unionAll, (statistics.ranked_bounds(orders, c, 10).select(F.lit(c).alias("column_name"), "bound_no", F.col("bound").cast("string").alias("bound")) for c in _BOUNDED))
+
+
+@_query("SELECT unnest(['o_custkey', 'o_totalprice']) AS column_name, round(unnest([corr(o_orderkey, o_custkey), corr(o_orderkey, o_totalprice)]), 6) AS correlation FROM orders")
+def sel_order_correlation(spark, sf_dir):
+    """How two columns follow the column that the table is stored by."""
+    found = statistics.order_correlation(_table(spark, sf_dir, "orders"), "o_orderkey", ["o_custkey", "o_totalprice"])
+    return found.withColumn("correlation", F.round("correlation", 6))
+
+
+@_query(ORACLE_SQL["vec_functions"].replace("round(sqrt(list_inner_product(a.e, a.e)), 6) AS norm,\n", ""))
+def udf4_sql_functions(spark, sf_dir):
+    """The vector functions called by name from SQL, between each vector and the one with the next id."""
+    vectors.register(spark)
+    a = _base(spark, sf_dir).select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
+    b = a.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b"))
+    names = {"l2": "vector_l2", "l2_squared": "vector_l2_squared", "ip": "vector_inner_product", "cosine": "vector_cosine", "l1": "vector_l1"}
+    return a.join(b, "vec_id").selectExpr(
+        "vec_id", *(f"round({f}(a, b), 6) AS {n}" for n, f in names.items()), "CAST(bits_hamming(vec_id, 85) AS TINYINT) AS hamming", "round(bits_jaccard(vec_id, 85), 6) AS jaccard"
+    )

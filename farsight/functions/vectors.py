@@ -77,6 +77,29 @@ def distance(metric: str, a, b) -> Column:
     return _BY_NAME[metric](a, b)
 
 
+#: The distances as SQL functions: name, type of both parameters, type of the result, body.
+_PAIRED_SQL = "aggregate(zip_with(a, b, (x, y) -> {0}), 0D, (s, x) -> s + x)"
+_NORM_SQL = "greatest(sqrt(aggregate({0}, 0D, (s, x) -> s + x * x)), 1e-12D)"
+_SQL_FUNCTIONS = {
+    "vector_l2": ("ARRAY<DOUBLE>", "DOUBLE", f"sqrt({_PAIRED_SQL.format('(x - y) * (x - y)')})"),
+    "vector_l2_squared": ("ARRAY<DOUBLE>", "DOUBLE", _PAIRED_SQL.format("(x - y) * (x - y)")),
+    "vector_inner_product": ("ARRAY<DOUBLE>", "DOUBLE", _PAIRED_SQL.format("x * y")),
+    "vector_l1": ("ARRAY<DOUBLE>", "DOUBLE", _PAIRED_SQL.format("abs(x - y)")),
+    "vector_cosine": ("ARRAY<DOUBLE>", "DOUBLE", f"1 - {_PAIRED_SQL.format('x * y')} / ({_NORM_SQL.format('a')} * {_NORM_SQL.format('b')})"),
+    "bits_hamming": ("BIGINT", "INT", "bit_count(a ^ b)"),
+    "bits_jaccard": ("BIGINT", "DOUBLE", "if(a | b = 0, 0D, 1 - bit_count(a & b) / bit_count(a | b))"),
+}
+
+
+def register(spark) -> list[str]:
+    """The distances as temporary SQL functions of the session, by Spark's own SQL function bodies; returns their names."""
+    for name, (of, gives, body) in _SQL_FUNCTIONS.items():
+        if of.startswith("ARRAY"):
+            body = f"CASE WHEN a IS NULL OR b IS NULL THEN NULL WHEN size(a) <> size(b) THEN CAST(raise_error('vectors of different sizes') AS DOUBLE) ELSE {body} END"
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(a {of}, b {of}) RETURNS {gives} RETURN {body}")
+    return list(_SQL_FUNCTIONS)
+
+
 def batch_distances(base: np.ndarray, query: np.ndarray, metric: str) -> np.ndarray:
     """Distances of the rows of `base` to one query, in double precision."""
     if metric == "l2":

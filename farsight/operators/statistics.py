@@ -74,6 +74,35 @@ def histogram_bounds(df: DataFrame, column: str, parts: int = BOUNDS) -> DataFra
     return df.agg(F.percentile(column, cuts).alias("bounds")).select(F.posexplode("bounds").alias("bound_no", "bound"))
 
 
+def ranked_bounds(df: DataFrame, column: str, parts: int = BOUNDS) -> DataFrame:
+    """(bound_no, bound): the values at `parts` + 1 evenly spaced ranks of a column of any ordered type, nulls left out.
+
+    Equal values are counted before the shuffle. The distinct values are then sorted by range, each task adds the counts
+    of its own, and only one count a task is summed over: no task and no buffer holds all values. A column without
+    values has no bounds.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("bound")).agg(F.count("*").alias("n"))
+    parted = counts.repartitionByRange("bound").withColumn("task_", F.spark_partition_id()).persist()  # ranges are drawn once
+    totals = parted.groupBy("task_").agg(F.sum("n").alias("in_task"))
+    upto = Window.partitionBy(F.lit(1)).orderBy("task_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = totals.select("task_", (F.sum("in_task").over(upto) - F.col("in_task")).alias("before"), F.sum("in_task").over(Window.partitionBy(F.lit(1))).alias("all"))
+    within = Window.partitionBy("task_").orderBy("bound").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = parted.join(F.broadcast(before), "task_").withColumn("end", F.col("before") + F.sum("n").over(within))
+    # the rank of the bound i, from 0, is floor(i * (all - 1) / parts)
+    numbers = F.filter(F.sequence(F.lit(0), F.lit(parts)), lambda i: _rank(i, parts).between(F.col("end") - F.col("n"), F.col("end") - 1))
+    return placed.select(F.explode(numbers).alias("bound_no"), "bound")
+
+
+def _rank(i, parts: int):
+    return F.floor(i * (F.col("all") - 1) / F.lit(parts))
+
+
+def order_correlation(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
+    """(column_name, correlation): how the numbers of each column follow the column that the table is stored by, in one aggregation."""
+    one = df.agg(*(F.corr(F.col(order).cast("double"), F.col(c).cast("double")).alias(c) for c in columns))
+    return one.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias("correlation")) for c in columns))))
+
+
 def joint_shares(df: DataFrame, columns: list[str], target: int = MCV_TARGET) -> DataFrame:
     """(columns..., n, share): the most common combinations of several columns."""
     total = df.agg(F.count("*").alias("n_rows"))
