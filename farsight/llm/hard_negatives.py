@@ -125,7 +125,7 @@ def build(rows: DataFrame, scale: float = 256.0, *, shelf_rows: int = SHELF, seg
     for i, r in enumerate(sample):
         v = np.frombuffer(r["v"], np.float64)
         x[i, : len(v)], x[i, dim] = v, np.sqrt(max(0.0, radius2 - r["norm2"]))
-    pivots = fit_pivots(x, int(np.clip(round(n**0.5 / 16), 4, MOST_PIVOTS))) if n else np.zeros((0, 1))
+    pivots = fit_pivots(x, int(np.clip(round(n**0.5 / 16), 16, MOST_PIVOTS))) if n else np.zeros((0, 1))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
