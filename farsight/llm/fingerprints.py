@@ -14,6 +14,7 @@ of their text; a table of one row is its own next document; further input column
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
@@ -24,7 +25,8 @@ from farsight.llm.shared import documents, shuffle_partitions, text_or_empty, wr
 TERMS = r"(?<!\S)(?=(\S+(?:\s+\S+)?))"
 MOST_WEIGHT = 64
 BLOCKS, RADIUS = 6, 3
-_LOWEST = -(1 << 63)
+#: Ranges of doc_id at most (there are four for each shuffle partition).
+MOST_RANGES = 4096
 
 
 def votes(terms: DataFrame, *by: str) -> DataFrame:
@@ -83,32 +85,56 @@ def near_pairs(fingerprints: DataFrame, radius: int = RADIUS, blocks: int = BLOC
     return a.withColumnsRenamed({"table": "table_", "key": "key_"}).join(b, on).select("a", "b")
 
 
+def _below(column: str, cuts: list[int]):
+    """How many of `cuts`, in order, are below a column: counted among the last cuts of groups, then in one group."""
+    if not cuts:
+        return F.lit(0)
+    size = math.isqrt(len(cuts) - 1) + 1
+    groups = [cuts[i : i + size] for i in range(0, len(cuts), size)]
+    count = lambda among: F.size(F.filter(among, lambda x: x < F.col(column)))
+    whole = count(F.array(*(F.lit(g[-1]).cast("long") for g in groups)))
+    inner = F.get(F.array(*(F.array(*(F.lit(c).cast("long") for c in g)) for g in groups)), whole)
+    return F.coalesce(whole * size + count(inner), F.lit(len(cuts)))
+
+
+def _ranged(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with `tie`, a hash of the text, and `range`, which ascends as doc_id descends (null: last), then as tie ascends.
+
+    Ranges lie between approximate quantiles of doc_id, so they hold about as many rows each, however the ids lie. An id
+    that spans several quantiles, and null, are cut further by their ties.
+    """
+    ranges = min(MOST_RANGES, 4 * shuffle_partitions(docs.sparkSession))
+    shares = [(i + 1) / ranges for i in range(ranges - 1)]
+    cuts = docs.agg(F.percentile_approx("doc_id", shares, 10 * ranges)).first()[0] or []  # a sketch of bounded size
+    often = sorted({a for a, b in zip(cuts, cuts[1:], strict=False) if a == b})
+    cuts = sorted(set(cuts))
+    by_tie = (F.shiftright("tie", 56) + 128).cast("long")
+    # an id of several quantiles is the largest of its range, so its own ranges come first
+    known = (len(cuts) - _below("doc_id", cuts)).cast("long") * 512 + (F.when(F.col("doc_id").isin(*often), by_tie).otherwise(256) if often else F.lit(256))
+    tied = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
+    return tied.withColumn("range", F.when(F.col("doc_id").isNull(), (len(cuts) + 1) * 512 + by_tie).otherwise(known))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, place, next_place, text, next_text): each row of docs (doc_id, text) with the next by descending doc_id, cyclic.
 
-    Ids are cut into even ranges; each range also gets the first row of the next one, so no window spans all rows.
+    Each range also gets the first row of the next one, so no window spans all rows.
     """
-    key = F.coalesce("doc_id", F.lit(_LOWEST))
-    ranges = 4 * shuffle_partitions(docs.sparkSession)
-    known = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    low, high = (known[0] or 0), (known[1] or 0)
-    width = -(-(high - low + 1) // ranges)
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.expr(f"(doc_id - {low}L) div {width}L")).cast("long")
-    placed = docs.select("doc_id", key.alias("key"), "text", bucket.alias("bucket"), F.xxhash64("text").alias("tie"))
-    heads = {r["bucket"]: r["head"] for r in placed.groupBy("bucket").agg(F.max("key").alias("head")).collect()}  # a row for each range
-    full = sorted(heads, reverse=True)
-    guests = [(heads[b], full[i - 1]) for i, b in enumerate(full)]  # the head of a range is also the last of the range above
-    if not guests:
-        return docs.select("doc_id", *(F.lit(None).cast("struct<bucket:long,at:int>").alias(c) for c in ("place", "next_place")), "text", F.col("text").alias("next_text"))
-    host = docs.sparkSession.createDataFrame(guests, "key long, host long")
-    visiting = placed.join(F.broadcast(host), "key").select("doc_id", "key", "text", F.col("bucket").alias("home"), F.col("host").alias("bucket"), "tie", F.lit(1).alias("guest"))
-    rows = placed.select("doc_id", "key", "text", F.col("bucket").alias("home"), "bucket", "tie", F.lit(0).alias("guest")).unionAll(visiting)
-    order = Window.partitionBy("bucket").orderBy("guest", F.desc("key"), "tie")
+    ranged = _ranged(docs)
+    first = F.max(F.struct("doc_id", F.bitwise_not("tie").alias("tie"))).alias("first")
+    heads = ranged.groupBy("range").agg(first)  # a row for each range
+    before = Window.orderBy("range")
+    last = Window.orderBy(F.desc("range"))
+    hosts = heads.select("range", F.col("first.doc_id").alias("head"), F.bitwise_not("first.tie").alias("head_tie"), F.coalesce(F.lag("range").over(before), F.first("range").over(last)).alias("host"))
+    visiting = ranged.join(F.broadcast(hosts.withColumnRenamed("range", "home")), (F.col("range") == F.col("home")) & F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("tie") == F.col("head_tie")))
+    visiting = visiting.select("doc_id", "text", "tie", "home", F.col("host").alias("range"), F.lit(1).alias("guest")).dropDuplicates(["home"])
+    rows = ranged.select("doc_id", "text", "tie", F.col("range").alias("home"), "range", F.lit(0).alias("guest")).unionAll(visiting)
+    order = Window.partitionBy("range").orderBy("guest", F.desc_nulls_last("doc_id"), "tie")
     nxt = F.lead(F.struct("text", "home", "guest")).over(order)
     seen = rows.withColumn("at", F.row_number().over(order)).withColumn("next", nxt).where("guest = 0")
     follows = F.when(F.col("next.guest") == 1, F.lit(1)).otherwise(F.col("at") + 1)
     return seen.select(
-        "doc_id", F.struct("bucket", "at").alias("place"), F.struct(F.col("next.home").alias("bucket"), follows.alias("at")).alias("next_place"),
+        "doc_id", F.struct("range", "at").alias("place"), F.struct(F.col("next.home").alias("range"), follows.alias("at")).alias("next_place"),
         "text", F.col("next.text").alias("next_text"),
     )
 

@@ -102,7 +102,7 @@ def terms_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return low, start, end, np.searchsorted(at, start, "right") - 1
 
 
-def counted(texts: pa.Array, vocabulary: Vocabulary, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def counted(texts: pa.Array, vocabulary: Vocabulary, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For runs of texts [a, b) of about `limit` bytes: terms of each text, and text, number and count of query terms in it."""
     data, at = text_bytes(texts)
     a = 0

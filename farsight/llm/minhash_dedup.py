@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from farsight.llm import linking
 from farsight.llm.shared import documents, sliced, text_or_empty, written
-from farsight.llm.textnum import SPACES_AND_MARKS, Words, chunks, mix, ranges
+from farsight.llm.textnum import SPACES_AND_MARKS, Words, chunks, mix
 
 _U = np.uint64
 WORDS = 5
@@ -102,12 +102,12 @@ def _counted(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _words(texts: list[str | None]) -> Words:
-    return Words([(t or "").lower().encode() for t in texts], SPACES_AND_MARKS)
+    return Words([(t or "").lower().encode() for t in texts], SPACES_AND_MARKS, by_place=True)
 
 
 def _node(words: Words) -> np.ndarray:
     """A hash of all words of each text, which is its node."""
-    return ranges(words.hash, words.first[:-1], words.first[1:], 0).view(np.int64)
+    return words.whole.view(np.int64)
 
 
 def sketch(docs: DataFrame, k: int = BANDS * ROWS, rows: int = ROWS) -> DataFrame:

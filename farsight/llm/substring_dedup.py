@@ -144,7 +144,7 @@ def find_repeats(docs: DataFrame) -> DataFrame:
             keys, texts = batch.column("key").to_numpy(), batch.column("text").to_pylist()
             for a, b in chunks(texts, 1 << 19):
                 raw = [t.encode() for t in texts[a:b]]
-                words = Words(raw)
+                words = Words(raw, by_place=True)
                 hashes, at = words.windows(ANCHOR)
                 place = at - words.first[words.text[at]]
                 fits = np.isin(place % PERIOD, COVER) & (words.count[words.text[at]] >= WINDOW)
@@ -156,7 +156,7 @@ def find_repeats(docs: DataFrame) -> DataFrame:
         for batch in sliced(it):
             keys, rows, texts, places = batch.column("key").to_numpy(), batch.column("row").to_numpy().astype(np.uint32), batch.column("text").to_pylist(), batch.column("at").to_pylist()
             for a, b in chunks(texts, 1 << 19):
-                words = Words([t.encode() for t in texts[a:b]])
+                words = Words([t.encode() for t in texts[a:b]], by_place=True)
                 hashes, at = words.windows(WINDOW)
                 near = np.zeros(len(words.hash) + 1, np.int32)  # how many repeated anchors a run may stand around
                 for i, p in enumerate(places[a:b]):

@@ -51,6 +51,19 @@ def ranges(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = 0
     return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(_U))
 
 
+def sums_by_place(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of values[start:end] for ranges in order that don't overlap: sums of values mixed with their places within the range.
+
+    Unlike a polynomial modulo 2**64 it has no ranges, however long, that collide by construction for any base.
+    """
+    n = end - start
+    flat, at = gathered(values, start, end)
+    place = np.arange(len(flat)) - np.repeat(at[:-1], n)
+    mixed = mix(mix(flat + _U(_BASES[1])) ^ mix((place.astype(_U) + _U(1)) * _U(_BASES[0])))
+    sums = np.concatenate([np.zeros(1, _U), np.cumsum(mixed)])
+    return mix(sums[at[1:]] - sums[at[:-1]] + n.astype(_U))
+
+
 def gathered(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The values of a few ranges, one after the other, and where each begins (and the last ends)."""
     at = np.concatenate([[0], np.cumsum(end - start)])
@@ -72,7 +85,9 @@ def chunks(texts: list[str], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
 class Words:
     """The words of a few texts: their hashes, the text of each, and where the words of each text begin."""
 
-    def __init__(self, texts: list[bytes], breaks: np.ndarray = SPACES):
+    def __init__(self, texts: list[bytes], breaks: np.ndarray = SPACES, *, by_place: bool = False):
+        #: whether words are hashed so that equality may be taken from the hash
+        self.by_place = by_place
         data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         edge = np.diff((~breaks[data]).view(np.int8), prepend=np.int8(0), append=np.int8(0))
         self.data = data
@@ -85,7 +100,12 @@ class Words:
 
     @cached_property
     def hash(self) -> np.ndarray:
-        return ranges(_BYTE[self.data], self.start, self.end)
+        return (sums_by_place if self.by_place else ranges)(_BYTE[self.data], self.start, self.end)
+
+    @cached_property
+    def whole(self) -> np.ndarray:
+        """A hash of all words of each text."""
+        return sums_by_place(self.hash, self.first[:-1], self.first[1:])
 
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of n words within one text, and the index of the first word of each."""
