@@ -5,6 +5,7 @@ The searches take the vectors with ids divisible by 20 as their stated queries,
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -12,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farsight.functions import filters, vectors
-from farsight.operators import local, measured, metrics, search, statistics, sweeps, workload
+from farsight.operators import local, measured, metrics, resumable, search, statistics, sweeps, workload
 from farsight.plans import costs
 from farsight.plans import recommend as advice
-from farsight.sources import layouts
+from farsight.sources import graph, layouts, shelves
 from farsight.sources import vectors as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,16 +93,22 @@ def str2_postfilter(spark, sf_dir):
 
 @_query(f"WITH {_frontier_sql(MAX_SCAN)} SELECT query_id, rank::INT AS rank, vec_id, round(distance, 6) AS distance FROM found WHERE rank <= {K}")
 def str3_iterative(spark, sf_dir):
-    """A frontier that doubles up to 160 rows while a query is short of k."""
-    base = _base(spark, sf_dir)
-    return _rounded(search.iterative(base, _queries(base), K, _passes(), ef=EF, max_scan=MAX_SCAN))
+    """Rounds over shelves of the table until no other can hold one of the first k that pass among the 160 nearest."""
+    return _rounded(_iterative(spark, _base(spark, sf_dir)))
 
 
-def _copy_path(spark: SparkSession, name: str) -> str:
-    import uuid
+def _iterative(spark: SparkSession, base: DataFrame) -> DataFrame:
+    shelved = shelves.write_shelves(base, _copy_path(spark, "shelves"))
+    return resumable.iterative_scan(shelved, _queries(base), K, _passes(), _copy_path(spark, "rounds"), max_scan=MAX_SCAN).found
+
 
+def _copy_path(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one, which goes when the session ends."""
     base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
 
 
 @_query(_ranked_sql(where=f"WHERE {_PASSES_SQL}"))
@@ -210,7 +217,7 @@ def str7_measured_runs(spark, sf_dir):
     filtered = spark.read.parquet(layouts.write_filtered(base, _passes(), _copy_path(spark, "filtered")).path)
     parted = spark.read.parquet(layouts.write_partitioned(base, "label", _copy_path(spark, "partitioned")).path)
     runs = {
-        "exact": truth, "postfilter": search.postfilter(base, q, K, _passes(), ef=EF), "iterative": search.iterative(base, q, K, _passes(), ef=EF, max_scan=MAX_SCAN),
+        "exact": truth, "postfilter": search.postfilter(base, q, K, _passes(), ef=EF), "iterative": _iterative(spark, base),
         "partial": search.top_k(filtered, q, K), "partition": search.exact(parted, q, K, _passes()),
     }
     rows = [metrics.summary(metrics.per_query(truth, found, q, K)).select(F.lit(name).alias("strategy"), *(F.round(c, 6).alias(c) for c in ("recall_at_k", "returns_k_rate", "mean_results"))) for name, found in runs.items()]
@@ -527,6 +534,18 @@ def ann_by_centre(spark, sf_dir):
     return metrics.summary(metrics.per_query(search.top_k(base, q, K), found, q, K))
 
 
+@_query()
+def ann_graph(spark, sf_dir):
+    """Recall of postfilter on a neighbour graph, and the share of all rows that it compares, against the truth."""
+    base = _base(spark, sf_dir)
+    q = _queries(base)
+    made = graph.write_graph(base, _copy_path(spark, "graph"))
+    found, compared = graph.search_graph(made, q, K, ef=EF)
+    quality = metrics.summary(metrics.per_query(search.top_k(base, q, K), found, q, K))
+    share = compared.agg((F.avg("compared") / F.lit(float(max(1, made.size.sum())))).alias("compared_share"))
+    return quality.crossJoin(F.broadcast(share))  # one row each
+
+
 #: Filters of growing share and the frontiers that the measured sweep tries for each.
 _SWEPT = {"one": "label = 3", "three": _PASSES_SQL, "half": "label < 5", "most": "label < 9"}
 _EFS, _TARGET = [10, 20, 40, 80, 160], 0.9
