@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farsight.functions import filters, vectors
-from farsight.operators import local, measured, metrics, resumable, search, statistics, sweeps, workload
+from farsight.operators import grid, local, measured, metrics, resumable, search, statistics, sweeps, timed, workload
 from farsight.plans import costs
 from farsight.plans import recommend as advice
-from farsight.sources import graph, layouts, shelves
+from farsight.sources import facts, graph, layouts, shelves, sketches
 from farsight.sources import vectors as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -224,6 +224,112 @@ def str7_measured_runs(spark, sf_dir):
     return reduce(DataFrame.unionAll, rows)
 
 
+def _runs(spark, base: DataFrame) -> dict[str, Callable[[], DataFrame]]:
+    """Every strategy as a run over copies that stand already."""
+    q, root = _queries(base), _copy_path(spark, "rounds")
+    filtered = spark.read.parquet(layouts.write_filtered(base, _passes(), _copy_path(spark, "filtered")).path)
+    parted = spark.read.parquet(layouts.write_partitioned(base, "label", _copy_path(spark, "partitioned")).path)
+    shelved, linked = shelves.write_shelves(base, _copy_path(spark, "shelves")), graph.write_graph(base, _copy_path(spark, "graph"))
+    return {
+        "exact": lambda: search.exact(base, q, K, _passes()), "postfilter": lambda: search.postfilter(base, q, K, _passes(), ef=EF),
+        "iterative": lambda: resumable.iterative_scan(shelved, q, K, _passes(), f"{root}/{uuid.uuid4().hex}", max_scan=MAX_SCAN).found,
+        "partial": lambda: search.top_k(filtered, q, K), "partition": lambda: search.exact(parted, q, K, _passes()),
+        "graph": lambda: graph.search_graph(linked, q, K, ef=EF, passes=_passes())[0],
+    }
+
+
+@_query()
+def str7_timed_runs(spark, sf_dir):
+    """Every strategy with recall and returned rows beside what three repeats cost: rows and bytes read, p50 and p95 of time."""
+    base = _base(spark, sf_dir)
+    q, runs = _queries(base), _runs(spark, base)
+    truth = _kept(runs["exact"]())
+    quality = [metrics.summary(metrics.per_query(truth, run(), q, K)).withColumn("strategy", F.lit(name)) for name, run in runs.items()]
+    summary = timed.summarised(timed.timed_runs(spark, runs, 3), q.count())
+    return reduce(DataFrame.unionAll, quality).join(F.broadcast(summary), "strategy")  # a row for each strategy
+
+
+@_query()
+def cal3_measured_calibration(spark, sf_dir):
+    """The cost model's constants and recall curve, fitted to timed runs of exact and of postfilter at five frontiers."""
+    base = _base(spark, sf_dir)
+    q = _queries(base)
+    n, passing = base.agg(F.count("*"), F.count_if(_passes())).first()
+    recalls = {r["ef"]: r["recall"] for r in _sweep(spark, sf_dir).where("filter = 'three'").collect()}  # a row for each frontier
+    runs = {"exact": lambda: search.exact(base, q, K, _passes())} | {f"postfilter_{ef}": lambda ef=ef: search.postfilter(base, q, K, _passes(), ef=ef) for ef in recalls}
+    cal = timed.calibrated(timed.summarised(timed.timed_runs(spark, runs, 3), q.count()), recalls, n_rows=n, share=passing / n, k=K)
+    return spark.createDataFrame([(ef, r, cal.c_d, cal.c_scan, cal.c_h) for ef, r in cal.recall_curve], "ef int, recall double, c_d double, c_scan double, c_h double")
+
+
+_FACTS = ("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")
+
+
+@_query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS n_rows, count({c}) AS n_values, min({c})::DOUBLE AS low, max({c})::DOUBLE AS high FROM lineitem" for c in _FACTS))
+def src4_column_facts(spark, sf_dir):
+    """Counts and bounds of columns as the footers of the files have them."""
+    found = facts.column_facts(spark, f"{sf_dir}/lineitem.parquet", list(_FACTS))
+    return found.withColumn("low", F.col("low").cast("double")).withColumn("high", F.col("high").cast("double"))
+
+
+@_query("SELECT 'orders' AS table_name, count(*) AS n_rows FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'documents', count(*) FROM documents")
+def src4_relation_facts(spark, sf_dir):
+    """Row counts of tables from footers and file listings, without a scan of any column."""
+    one = lambda t: facts.relation_facts(spark, f"{sf_dir}/{t}.parquet").where("n_files > 0 and n_bytes > 0 and modified is not null").select(F.lit(t).alias("table_name"), "n_rows")
+    return reduce(DataFrame.unionAll, map(one, ("orders", "lineitem", "events", "documents")))
+
+
+@_query("SELECT 'label' AS partition_key, label::VARCHAR AS value, count(*) AS n_rows FROM embeddings GROUP BY label")
+def src8_partition_keys(spark, sf_dir):
+    """The keys that a copy is in folders by, and the rows under each of their values, from the file listing."""
+    layout = layouts.write_partitioned(_base(spark, sf_dir), "label", _copy_path(spark, "partitioned"))
+    (key,) = facts.partition_keys(spark, layout.path)
+    return facts.files(spark, layout.path).groupBy(F.lit(key).alias("partition_key"), F.col(key).cast("string").alias("value")).agg(F.sum("n_rows").alias("n_rows"))
+
+
+@_query("SELECT 'embedding' AS column_name, max(len(embedding))::INT AS dimension FROM embeddings")
+def src9_dimension(spark, sf_dir):
+    """The number of elements of the first column of vectors."""
+    return spark.createDataFrame([("embedding", facts.vector_dimension(_base(spark, sf_dir)))], "column_name string, dimension int")
+
+
+@_query(
+    """WITH n AS (SELECT count(*) FILTER (o_orderkey % 4 <> 0) AS before, count(*) AS after FROM orders)
+SELECT before AS snapshot_rows, after AS current_rows, after - before AS changed_rows, CASE WHEN after - before >= 1000 AND after - before >= 0.2 * greatest(1, before) THEN 'stale' ELSE 'fresh' END AS health FROM n"""
+)
+def sel17_freshness(spark, sf_dir):
+    """What a snapshot of a table's files says after a quarter of its rows were appended."""
+    orders, path = _table(spark, sf_dir, "orders"), _copy_path(spark, "orders")
+    orders.where("o_orderkey % 4 <> 0").write.parquet(path)
+    snapshot = _kept(facts.files(spark, path))
+    orders.where("o_orderkey % 4 = 0").write.mode("append").parquet(path)
+    changed = facts.changed_rows(snapshot, facts.files(spark, path))
+    return changed.withColumn("health", F.lit(facts.freshness(snapshot, facts.files(spark, path))))
+
+
+@_query()
+def src5_sketched_statistics(spark, sf_dir):
+    """Null share, distinct values, bounds of ten bins and the five most common values of columns, from merged sketches by file."""
+    store = sketches.Store(spark, f"{sf_dir}/orders.parquet", _copy_path(spark, "sketches"), tuple(_PROFILED))
+    store.refresh()
+    return store.statistics(10, 5)
+
+
+@_query(
+    """SELECT value.o_orderstatus AS o_orderstatus, value.o_orderpriority AS o_orderpriority, n, round(n / (SELECT count(*) FROM orders), 9) AS share FROM
+(SELECT {o_orderstatus: o_orderstatus, o_orderpriority: o_orderpriority} AS value, count(*) AS n FROM orders WHERE o_orderstatus IS NOT NULL AND o_orderpriority IS NOT NULL GROUP BY 1)"""
+)
+def src7_joint_statistics(spark, sf_dir):
+    """Joint counts of two columns from sketches by file, of which half the files are added by a second run."""
+    path, orders = _copy_path(spark, "orders"), _table(spark, sf_dir, "orders")
+    group = ("o_orderstatus", "o_orderpriority")
+    store = sketches.Store(spark, path, _copy_path(spark, "sketches"), (), (group,))
+    for part in (0, 1):
+        orders.where(F.pmod("o_orderkey", F.lit(2)) == part).write.mode("append").parquet(path)
+        store.refresh()
+    rows = store.statistics().select("n_rows", F.inline("common"))
+    return rows.select(*(F.get_json_object("value", f"$.{c}").alias(c) for c in group), "n", F.round(F.col("n") / F.col("n_rows"), 9).alias("share"))
+
+
 _PROBE_SQL = f"""p AS (SELECT query_id, count(*) AS sample_size, count(*) FILTER ({_PASSES_SQL}) AS passing FROM
 (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS place FROM near) WHERE place <= {PROBE} GROUP BY query_id),
 s AS (SELECT *, passing / sample_size AS s_local, 1 / sample_size AS floor, least(1.0::DOUBLE, sample_size / least({PROBE}, 200)) * least(1.0::DOUBLE, passing / 5) AS confidence FROM p)"""
@@ -608,6 +714,116 @@ def val1_predicted_recall(spark, sf_dir):
     return measured.predictions(_sweep(spark, sf_dir), K)
 
 
+_GRID = grid.Grid()
+_LIST = lambda values: ", ".join(f"({v}::DOUBLE)" for v in values)
+_EFS_SQL = "[" + ", ".join(map(str, _GRID.efs)) + "]"
+_GRID_SQL = f"""{_NEAR.format(distance=_L2, where='')}, placed AS (SELECT * FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS place FROM near) WHERE place <= {_GRID.max_scan}),
+hot AS (SELECT DISTINCT vec_id FROM placed WHERE place <= {_GRID.hot}), cells AS (SELECT * FROM (VALUES {_LIST(_GRID.selectivities)}) s(selectivity), (VALUES {_LIST(_GRID.correlations)}) c(correlation)),
+drawn AS (SELECT vec_id, (((vec_id % {grid.PRIME}) * {grid.STEP} + {grid.START}) % {grid.PRIME})::DOUBLE / {grid.PRIME}::DOUBLE AS draw, vec_id IN (SELECT vec_id FROM hot) AS hot FROM embeddings),
+flagged AS (SELECT vec_id, selectivity, correlation FROM drawn, cells WHERE draw < selectivity * (1 + CASE WHEN hot THEN correlation ELSE -correlation END)),
+sizes AS (SELECT selectivity, correlation, count(*) AS n_pass FROM flagged GROUP BY ALL),
+first AS (SELECT selectivity, correlation, query_id, place, row_number() OVER (PARTITION BY selectivity, correlation, query_id ORDER BY place) AS r FROM flagged JOIN placed USING (vec_id)),
+measured AS (SELECT c.selectivity, c.correlation, q.query_id, coalesce(any_value(n_pass), 0) AS n_pass, least(coalesce(any_value(n_pass), 0), {_GRID.k}) AS want,
+(SELECT count(*) FROM placed p WHERE p.query_id = q.query_id AND p.place <= {_GRID.probe}) AS depth, count(*) FILTER (place <= {_GRID.probe}) AS probed, count(*) FILTER (r <= {_GRID.k}) AS found,
+{", ".join(f"count(*) FILTER (r <= {_GRID.k} AND place <= {e}) AS found_{e}" for e in _GRID.efs)},
+CASE WHEN count(*) FILTER (r <= {_GRID.k}) >= least(coalesce(any_value(n_pass), 0), {_GRID.k}) AND coalesce(any_value(n_pass), 0) > 0 THEN max(place) FILTER (r <= {_GRID.k}) ELSE {_GRID.max_scan} END::DOUBLE AS examined
+FROM cells c CROSS JOIN q LEFT JOIN sizes USING (selectivity, correlation) LEFT JOIN first f ON f.selectivity = c.selectivity AND f.correlation = c.correlation AND f.query_id = q.query_id GROUP BY c.selectivity, c.correlation, q.query_id),
+runs AS (SELECT selectivity, correlation, 'exact' AS strategy, NULL::INT AS ef, 1.0::DOUBLE AS recall, true AS returns_k, max(n_pass)::DOUBLE AS cost FROM measured GROUP BY ALL UNION ALL
+SELECT selectivity, correlation, 'iterative', NULL, avg(CASE WHEN want = 0 THEN 1.0 ELSE found::DOUBLE / want END), bool_and(found >= want), quantile_cont(examined, 0.95) FROM measured GROUP BY ALL UNION ALL
+{" UNION ALL ".join(f"SELECT selectivity, correlation, 'postfilter', {e}, avg(CASE WHEN want = 0 THEN 1.0 ELSE found_{e}::DOUBLE / want END), bool_and(found_{e} >= want), {e}::DOUBLE FROM measured GROUP BY ALL" for e in _GRID.efs)}),
+ranked AS (SELECT *, returns_k AND recall >= {_GRID.target} AS viable, list_position(['exact', 'postfilter', 'iterative'], strategy) AS priority FROM runs),
+won AS (SELECT selectivity, correlation, coalesce(arg_min(strategy, (round(cost, 9), priority)) FILTER (viable), 'exact') AS winner, bool_or(viable) FILTER (strategy = 'postfilter' AND ef = {_GRID.default_ef}) AS postfilter_ok,
+max(cost) FILTER (strategy = 'postfilter' AND ef = {_GRID.default_ef}) AS postfilter_cost FROM ranked GROUP BY ALL),
+shares AS (SELECT selectivity, correlation, max(n_pass)::DOUBLE / (SELECT count(*) FROM embeddings) AS share, avg(probed::DOUBLE / depth) AS local FROM measured GROUP BY ALL),
+walks AS (SELECT *, list_filter({_EFS_SQL}, lambda e: local * e >= {1.5 * _GRID.k})[1]::INT AS ef, {_GRID.k} / greatest(local, 1e-12) AS walk, (SELECT count(*) FROM embeddings) AS n FROM shares),
+options AS (SELECT selectivity, correlation, 'exact' AS strategy, 1 AS priority, share * n AS cost, NULL::INT AS ef FROM walks UNION ALL SELECT selectivity, correlation, 'postfilter', 2, ef, ef FROM walks WHERE ef IS NOT NULL
+UNION ALL SELECT selectivity, correlation, 'iterative', 3, walk, NULL FROM walks WHERE walk * 1.5 <= {_GRID.max_scan}),
+guess AS (SELECT selectivity, correlation, arg_min(strategy, (round(cost, 9), priority)) AS predicted FROM options GROUP BY ALL),
+points AS (SELECT w.selectivity, w.correlation, s.share, s.local, winner, predicted, CASE WHEN predicted = 'postfilter' THEN s.ef END AS predicted_ef, r.viable AS predicted_ok, postfilter_ok, postfilter_cost / nullif(r.cost, 0) AS speedup
+FROM won w JOIN walks s USING (selectivity, correlation) JOIN guess g USING (selectivity, correlation)
+JOIN ranked r ON r.selectivity = w.selectivity AND r.correlation = w.correlation AND r.strategy = predicted AND r.ef IS NOT DISTINCT FROM CASE WHEN predicted = 'postfilter' THEN s.ef END)"""
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder and read back."""
+    path, schema = _copy_path(df.sparkSession, "kept"), df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def _grid_measured(spark, sf_dir) -> DataFrame:
+    base = _base(spark, sf_dir)
+    return _kept(grid.measured_grid(base, _queries(base), _GRID, keep=_kept))
+
+
+def _grid_points(spark, sf_dir) -> DataFrame:
+    return grid.points(_grid_measured(spark, sf_dir), _base(spark, sf_dir).count(), _GRID)
+
+
+@_query(f"WITH {_GRID_SQL} SELECT selectivity, correlation, strategy, ef, round(recall, 6) AS recall, returns_k, round(cost, 6) AS cost FROM runs")
+def swp1_grid(spark, sf_dir):
+    """Recall and rows examined of every strategy and frontier over a grid of selectivity and correlation, from one search."""
+    found = grid.runs(_grid_measured(spark, sf_dir), _GRID)
+    return found.withColumn("recall", F.round("recall", 6)).withColumn("cost", F.round("cost", 6))
+
+
+@_query(
+    f"""WITH {_GRID_SQL} SELECT selectivity, correlation, round(share, 6) AS share, round(local, 6) AS local, winner, predicted, predicted_ef, predicted_ok, postfilter_ok, round(speedup, 6) AS speedup FROM points"""
+)
+def prf2_grid_points(spark, sf_dir):
+    """Each cell's measured winner beside the predicted one, and the rows that postfilter examines for one of the prediction."""
+    found = _grid_points(spark, sf_dir)
+    return found.select(*(F.round(c, 6).alias(c) if c in ("share", "local", "speedup") else c for c in found.columns))
+
+
+@_query(
+    f"""WITH {_GRID_SQL}, m AS (SELECT *, CASE WHEN lag(winner) OVER a = winner THEN 0 ELSE 1 END AS changed FROM points WINDOW a AS (PARTITION BY correlation ORDER BY selectivity)),
+g AS (SELECT *, sum(changed) OVER (PARTITION BY correlation ORDER BY selectivity)::BIGINT AS region FROM m)
+SELECT correlation, region, min(winner) AS strategy, min(selectivity) AS low, max(selectivity) AS high, count(*) AS n_points FROM g GROUP BY correlation, region"""
+)
+def xov_grid_regions(spark, sf_dir):
+    """Runs of one measured winner along selectivity, by correlation."""
+    return sweeps.winner_regions(_grid_points(spark, sf_dir))
+
+
+@_query(
+    f"""WITH {_GRID_SQL}, p AS (SELECT *, lead(selectivity) OVER a AS upper, lead(winner) OVER a AS to_strategy FROM points WINDOW a AS (PARTITION BY correlation ORDER BY selectivity))
+SELECT correlation, selectivity AS lower, upper, round(sqrt(selectivity * upper), 9) AS estimated, winner AS from_strategy, to_strategy FROM p WHERE winner <> to_strategy"""
+)
+def xov_grid_crossovers(spark, sf_dir):
+    """Where the measured winner changes between neighbouring selectivities."""
+    return sweeps.crossovers(_grid_points(spark, sf_dir)).withColumn("estimated", F.round("estimated", 9))
+
+
+@_query(f"WITH {_GRID_SQL} SELECT winner, count(*) AS wins FROM points GROUP BY winner")
+def agg11_grid_wins(spark, sf_dir):
+    """How many cells each strategy wins as measured."""
+    return sweeps.win_counts(_grid_points(spark, sf_dir))
+
+
+_PROOF_SQL = f"""{_GRID_SQL}, s AS (SELECT count(*)::DOUBLE AS points, count(DISTINCT selectivity)::DOUBLE AS bins, count(DISTINCT correlation)::DOUBLE AS correlations, count(predicted)::DOUBLE AS predictions, avg((predicted = winner)::INT)::DOUBLE AS match,
+count(*) FILTER (NOT postfilter_ok)::DOUBLE AS failures, count(*) FILTER (NOT postfilter_ok AND predicted <> 'postfilter' AND predicted_ok)::DOUBLE AS safe, avg(speedup) AS speedup FROM points),
+checks AS (SELECT 'minimum_points' AS name, points >= 3 AS passed, points AS actual, 3.0::DOUBLE AS required FROM s UNION ALL SELECT 'selectivity_bins', bins >= 3, bins, 3.0 FROM s UNION ALL SELECT 'correlation_bins', correlations >= 3, correlations, 3.0 FROM s
+UNION ALL SELECT 'predictions_present', predictions = points, predictions, points FROM s UNION ALL SELECT 'prediction_match_rate', match >= 0.8, round(match, 9), 0.8 FROM s
+UNION ALL SELECT 'postfilter_failures', failures >= 1, failures, 1.0 FROM s UNION ALL SELECT 'safe_when_postfilter_fails', safe = failures, safe, failures FROM s)"""
+
+
+@_query(f"WITH {_PROOF_SQL} SELECT * FROM checks")
+def prf_grid_checks(spark, sf_dir):
+    """The proof's checks on the measured grid."""
+    return sweeps.proof(_grid_points(spark, sf_dir)).withColumn("actual", F.round("actual", 9))
+
+
+@_query(
+    f"""WITH {_PROOF_SQL} SELECT (SELECT bool_and(passed) FROM checks) AS passed, points::BIGINT AS n_points, round(match, 6) AS match_rate, failures::BIGINT AS failures, safe::BIGINT AS safe, round(speedup, 6) AS mean_speedup FROM s"""
+)
+def agg17_grid_proof(spark, sf_dir):
+    """Whether all checks pass, the rate of right predictions and the mean speed-up over the default postfilter."""
+    found = _grid_points(spark, sf_dir)
+    one = grid.report(found, sweeps.proof(found))
+    return one.select(*(F.round(c, 6).alias(c) if c in ("match_rate", "mean_speedup") else c for c in one.columns))
+
+
 _RECOMMEND_SQL = f"""WITH b AS (SELECT count(*)::DOUBLE AS n, avg(({_PASSES_SQL})::INT) AS s FROM embeddings), f AS (SELECT *, greatest(40, ceil({K} / s)) AS least FROM b),
 p AS (SELECT *, CASE WHEN least <= 40 THEN 40 WHEN least <= 80 THEN 80 WHEN least <= 160 THEN 160 ELSE least END AS ef FROM f),
 e AS (SELECT 'exact' AS strategy, 0 AS priority, 0.2 * n * s + 0.1 * n * s * log2({K}) AS latency_us, 1.0::DOUBLE AS recall, true AS returns_k, 0.65::DOUBLE AS confidence FROM p UNION ALL
