@@ -12,11 +12,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farsight.functions import filters, vectors
+from farsight.functions import filters, topk, vectors
 from farsight.operators import grid, local, measured, metrics, resumable, search, statistics, sweeps, timed, workload
 from farsight.plans import costs
 from farsight.plans import recommend as advice
-from farsight.sources import facts, graph, layouts, shelves, sketches
+from farsight.sources import cache, facts, graph, layouts, npy, shelves, sketches
 from farsight.sources import vectors as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -877,3 +877,44 @@ def udf4_sql_functions(spark, sf_dir):
     return a.join(b, "vec_id").selectExpr(
         "vec_id", *(f"round({f}(a, b), 6) AS {n}" for n, f in names.items()), "CAST(bits_hamming(vec_id, 85) AS TINYINT) AS hamming", "round(bits_jaccard(vec_id, 85), 6) AS jaccard"
     )
+
+
+@_query(_ranked_sql(where=f"WHERE {_PASSES_SQL}"))
+def udf4_sql_topk(spark, sf_dir):
+    """The k nearest that pass by a table function called from SQL, a block of query vectors at a time."""
+    base = _base(spark, sf_dir)
+    base.createOrReplaceTempView("udf4_vectors")
+    found = []
+    for i, (ids, block) in enumerate(search.query_blocks(_queries(base), search.BLOCK)):
+        topk.register_block(spark, f"udf4_block_{i}", block, K)
+        names = spark.createDataFrame([(n, int(q)) for n, q in enumerate(ids)], "query_no int, query_id long")
+        rows = spark.sql(topk.top_k_sql("udf4_vectors", k=K, function=f"udf4_block_{i}", where=_PASSES_SQL))
+        found.append(rows.join(F.broadcast(names), "query_no"))  # at most a block
+    return _rounded(reduce(DataFrame.unionAll, found) if found else search.exact(base, _queries(base), K, _passes()))
+
+
+@_query(ORACLE_SQL["loc4_local_selectivity"])
+def loc11_cached_selectivity(spark, sf_dir):
+    """Local selectivity from a cache keyed by the table's files, the filter and the query vectors: computed once, then read."""
+    base = _base(spark, sf_dir)
+    held = cache.ResultCache(spark, _copy_path(spark, "cache"))
+    key = cache.cache_key(table=cache.table_fingerprint(spark, f"{sf_dir}/embeddings.parquet"), queries=cache.vectors_fingerprint(_queries(base)), filter=_PASSES_SQL, probe=PROBE)
+    for _ in range(2):
+        found, hit = held.get(key, lambda: loc4_local_selectivity(spark, sf_dir))
+    if not hit:
+        raise RuntimeError("a result that was just kept is not found")
+    return found
+
+
+@_query("SELECT vec_id, embedding[1]::FLOAT AS first, embedding[-1]::FLOAT AS last, len(embedding)::INT AS n FROM embeddings")
+def snk9_npy_round_trip(spark, sf_dir):
+    """All vectors written as .npy parts with a manifest and read back by ranges of rows."""
+    npy.register(spark)
+    path, base = _copy_path(spark, "npy"), _base(spark, sf_dir)
+    # parts are read in the order of the manifest, one part here for each range of ids
+    base.repartitionByRange(4, "vec_id").sortWithinPartitions("vec_id").select("vec_id", "embedding").write.format(npy.FORMAT).mode("append").save(path)
+    ids = base.select("vec_id", F.hash("embedding").alias("h"), F.col("embedding").alias("own"))
+    back = spark.read.format(npy.FORMAT).load(path).select(F.hash("embedding").alias("h"), "embedding")
+    # rows of the array are numbered anew, so they are found again by what they hold
+    same = ids.join(back.dropDuplicates(["embedding"]), "h").where(F.col("own") == F.col("embedding"))
+    return same.select("vec_id", F.element_at("embedding", 1).alias("first"), F.element_at("embedding", -1).alias("last"), F.size("embedding").alias("n"))
