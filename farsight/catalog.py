@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from farsight.functions import filters, topk, vectors
 from farsight.operators import grid, local, measured, metrics, resumable, search, statistics, sweeps, timed, workload
-from farsight.plans import costs
+from farsight.plans import costs, observe
 from farsight.plans import recommend as advice
 from farsight.sources import cache, facts, graph, layouts, npy, shelves, sketches
 from farsight.sources import vectors as sources
@@ -624,7 +624,7 @@ def set1_common_ids(spark, sf_dir):
 @_query()
 def src15_clustered(spark, sf_dir):
     """Observed selectivity by cluster of a generated table with a filter that follows its clusters."""
-    made = sources.clustered(spark, 5000, 8, clusters=6, selectivity=0.2, correlation=0.7)
+    made = sources.clustered(spark, 8000, 12, clusters=9, selectivity=0.15, correlation=0.4)
     return made.groupBy("cluster_id").agg(F.count("*").alias("n"), F.avg(F.col("passes_filter").cast("double")).alias("share"))
 
 
@@ -844,6 +844,43 @@ def rec_recommend(spark, sf_dir):
     return found.drop("note").withColumn("latency_us", F.round("latency_us", 4)).withColumn("recall", F.round("recall", 6))
 
 
+def _recommended(spark, sf_dir) -> DataFrame:
+    """As rec_recommend, with its notes."""
+    base = _base(spark, sf_dir)
+    predicates = filters.parse_filter(spark, _PASSES_SQL, base.columns)
+    at_hand = (advice.Layout("filtered", "filtered", predicates=predicates), advice.Layout("partitioned", "partitioned", column="label"))
+    return advice.recommend(spark, statistics.analyze(base, ["label"]), predicates, k=K, layouts=at_hand)
+
+
+_DECISION_SQL = f"""WITH ranked AS ({_RECOMMEND_SQL}), one AS (SELECT max(strategy) FILTER (place = 1) AS winner, bool_or(viable) FILTER (place = 1) AS winner_viable, max(strategy) FILTER (place = 2) AS runner_up,
+bool_or(viable) FILTER (place = 2) AS runner_up_viable, count(*) AS n_candidates, count(*) FILTER (viable) AS n_viable, max(latency_us) FILTER (place = 2) / max(latency_us) FILTER (place = 1) AS ratio, max(confidence) FILTER (place = 1) AS confidence FROM ranked)"""
+
+
+@_query(
+    f"""{_DECISION_SQL} SELECT winner, winner_viable, runner_up, runner_up_viable, n_candidates, n_viable, round(ratio, 4) AS ratio, confidence,
+CASE WHEN confidence >= 0.75 THEN 'high' WHEN confidence >= 0.45 THEN 'medium' ELSE 'low' END AS confidence_level FROM one"""
+)
+def rec14_decision(spark, sf_dir):
+    """The recommended strategy beside the next one, as one row."""
+    return advice.decision(_recommended(spark, sf_dir)).drop("note").withColumn("ratio", F.round("ratio", 4))
+
+
+@_query(
+    f"""{_DECISION_SQL}, local AS ({ORACLE_SQL["loc4_local_selectivity"]}),
+reasons AS (SELECT list_filter([CASE WHEN winner_viable THEN 'cheapest_viable ' || winner ELSE 'fallback_none_viable ' || winner END,
+CASE WHEN runner_up IS NULL THEN 'no_runner_up' WHEN NOT runner_up_viable THEN 'runner_up_not_viable ' || runner_up ELSE 'runner_up_costs_more ' || runner_up || ' ' || format('{{:,.3f}}', ratio) END,
+CASE WHEN winner IN ('partial', 'partition') THEN 'copy_at_hand ' || winner END, CASE WHEN winner <> 'exact' THEN 'plan_differs exact' END,
+CASE WHEN rho <= -0.25 THEN 'filter_avoids_queries' WHEN rho >= 0.25 THEN 'filter_gathers_near_queries' END, CASE WHEN one.confidence < 0.45 THEN 'low_confidence' END], lambda x: x IS NOT NULL) AS r FROM one, local)
+SELECT (unnest(range(1, len(r) + 1)) - 1)::INT AS reason_no, unnest(r) AS reason FROM reasons"""
+)
+def rec15_reasons(spark, sf_dir):
+    """Why that strategy is recommended, with local selectivity measured and the plan that Spark has for the search."""
+    base = _base(spark, sf_dir)
+    rho = loc4_local_selectivity(spark, sf_dir).first()["rho"]
+    observed = observe.strategy_of(search.nearest_to(base, [0.0], K, where=_passes()))
+    return advice.reasons(_recommended(spark, sf_dir), rho=rho, observed=observed)
+
+
 _BOUNDED = ("o_orderpriority", "o_custkey")
 
 

@@ -63,3 +63,40 @@ def recommend(
     from pyspark.sql import Window
 
     return ranked.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order))).select("place", "strategy", "latency_us", "recall", "returns_k", "viable", "confidence", "note").orderBy("place")
+
+
+#: Confidence from which on it counts as high, and as medium; and how far local and global selectivity may differ without remark.
+HIGH, MEDIUM, APART = 0.75, 0.45, 0.25
+
+
+def decision(ranked: DataFrame) -> DataFrame:
+    """One row for a ranked recommendation: winner, runner_up, whether each is viable, n_candidates, n_viable, ratio, confidence, confidence_level.
+
+    ratio is the runner-up's latency in those of the winner. Without rows, winner and runner-up are null.
+    """
+    at = lambda place, column: F.max(F.when(F.col("place") == place, F.col(column)))
+    one = ranked.agg(
+        at(1, "strategy").alias("winner"), at(1, "viable").alias("winner_viable"), at(2, "strategy").alias("runner_up"), at(2, "viable").alias("runner_up_viable"), F.count("*").alias("n_candidates"),
+        F.count_if("viable").alias("n_viable"), (at(2, "latency_us") / F.nullif(at(1, "latency_us"), F.lit(0.0))).alias("ratio"), at(1, "confidence").alias("confidence"), at(1, "note").alias("note"),
+    )
+    level = F.when(F.col("confidence") >= HIGH, "high").when(F.col("confidence") >= MEDIUM, "medium").when(F.col("confidence").isNotNull(), "low")
+    return one.withColumn("confidence_level", level)
+
+
+def reasons(ranked: DataFrame, *, rho: float | None = None, observed: str | None = None) -> DataFrame:
+    """(reason_no, reason): why the winner of a ranked recommendation was taken, and what to beware of, as short codes with their figures.
+
+    rho compares local with global selectivity, None where it was not measured; `observed` is the strategy that Spark's plan of the search amounts to.
+    """
+    c = F.col
+    say = lambda code, *parts: F.concat_ws(" ", F.lit(code), *parts)
+    every = [
+        F.when(c("winner_viable"), say("cheapest_viable", c("winner"))).otherwise(say("fallback_none_viable", c("winner"))),
+        F.when(F.lit(rho is None), say("local_selectivity_not_measured")),
+        F.when(c("runner_up").isNull(), say("no_runner_up")).when(~c("runner_up_viable"), say("runner_up_not_viable", c("runner_up"))).when(c("ratio").isNotNull(), say("runner_up_costs_more", c("runner_up"), F.format_number("ratio", 3))),
+        F.when(c("winner").isin("partial", "partition"), F.when(c("note").startswith("needs"), say("copy_to_be_built", c("winner"))).otherwise(say("copy_at_hand", c("winner")))),
+        F.when(F.lit(observed).isNotNull() & (F.lit(observed) != c("winner")), say("plan_differs", F.lit(observed))),
+        F.when(F.lit(rho is not None and rho <= -APART), say("filter_avoids_queries")).when(F.lit(rho is not None and rho >= APART), say("filter_gathers_near_queries")),
+        F.when(c("confidence") < MEDIUM, say("low_confidence")),
+    ]
+    return decision(ranked).where("winner is not null").select(F.posexplode(F.filter(F.array(*every), lambda x: x.isNotNull())).alias("reason_no", "reason"))

@@ -113,3 +113,22 @@ def test_streaming_shapes(spark, tmp_path):
 
 
 LOG_QUERY = "SELECT id FROM docs WHERE a = 1 ORDER BY v <-> $1 LIMIT 5"
+
+
+def _ranking(spark, *rows):
+    return spark.createDataFrame([(i + 1, *r) for i, r in enumerate(rows)], "place int, strategy string, latency_us double, viable boolean, confidence double, note string")
+
+
+def test_decisions_and_their_reasons(spark):
+    from farsight.plans import recommend as advice
+
+    told = lambda ranked, **known: [r["reason"] for r in advice.reasons(ranked, **known).orderBy("reason_no").collect()]
+    two = _ranking(spark, ("partial", 10.0, True, 0.45, "needs a filtered copy"), ("exact", 25.0, True, 0.9, "frontier 40"), ("postfilter", 1.0, False, 0.35, ""))
+    row = advice.decision(two).first()
+    assert (row["winner"], row["runner_up"], row["ratio"], row["n_candidates"], row["n_viable"], row["confidence_level"]) == ("partial", "exact", 2.5, 3, 2, "medium")
+    assert told(two) == ["cheapest_viable partial", "local_selectivity_not_measured", "runner_up_costs_more exact 2.500", "copy_to_be_built partial"]
+    alone = _ranking(spark, ("exact", 0.0, False, 0.2, ""))
+    assert told(alone, rho=-0.5, observed="postfilter") == ["fallback_none_viable exact", "no_runner_up", "plan_differs postfilter", "filter_avoids_queries", "low_confidence"]
+    worse = _ranking(spark, ("partition", 3.0, True, 0.8, "frontier 40"), ("exact", 2.0, False, 0.9, ""))
+    assert told(worse, rho=0.3, observed="partition") == ["cheapest_viable partition", "runner_up_not_viable exact", "copy_at_hand partition", "filter_gathers_near_queries"]
+    assert told(_ranking(spark).limit(0)) == [] and advice.decision(_ranking(spark).limit(0)).first()["winner"] is None

@@ -15,10 +15,15 @@ def _base(spark, points, mask=None):
 
 
 def test_masked_top_k(spark):
-    base = _base(spark, [[0, 0], [1, 0], [2, 0], [10, 0]], [True, True, False, True])
-    found = search.exact(base, sources.queries_of(spark, [[0.2, 0], [9, 0]]), 2, F.col("ok")).orderBy("query_id", "rank").collect()
-    assert [(r["query_id"], r["vec_id"]) for r in found] == [(0, 0), (0, 1), (1, 3), (1, 1)]
-    assert [round(r["distance"], 6) for r in found] == [0.2, 0.8, 1.0, 8.0]
+    r = np.random.default_rng(17)
+    points, mask = r.normal(size=(90, 3)), r.random(90) < 0.4
+    wanted = r.normal(size=(4, 3))
+    found = search.exact(_base(spark, points.astype(np.float32), mask.tolist()), sources.queries_of(spark, wanted.tolist()), 7, F.col("ok")).orderBy("query_id", "rank").collect()
+    expected = []
+    for q, v in enumerate(wanted):
+        far = [(float(np.sqrt(((np.float32(p).astype(float) - v) ** 2).sum())), i) for i, p in enumerate(points) if mask[i]]
+        expected += [(q, i, round(d, 9)) for d, i in sorted(far)[:7]]
+    assert [(x["query_id"], x["vec_id"], round(x["distance"], 9)) for x in found] == expected
 
 
 def test_fewer_rows_than_k_and_ties_by_id(spark):
@@ -133,10 +138,11 @@ def test_reading_vectors(spark, tmp_path):
     for bad in ("[true]", "[]", "nan 1"):
         with pytest.raises(ValueError):
             sources.parse_vector(bad)
-    np.save(tmp_path / "v.npy", np.arange(24, dtype=np.float32).reshape(8, 3))
-    np.save(tmp_path / "m.npy", np.arange(8) % 3 == 0)
+    values, mask = np.random.default_rng(23).normal(size=(37, 5)).astype(np.float32), np.arange(37) % 4 == 1
+    np.save(tmp_path / "v.npy", values)
+    np.save(tmp_path / "m.npy", mask)
     rows = sources.vectors_from_npy(spark, str(tmp_path / "v.npy"), str(tmp_path / "m.npy")).orderBy("vec_id").collect()
-    assert rows[7]["embedding"] == [21.0, 22.0, 23.0] and sum(r["passes_filter"] for r in rows) == 3
+    assert np.array_equal(np.array([r["embedding"] for r in rows], np.float32), values) and [r["passes_filter"] for r in rows] == mask.tolist()
     assert sources.queries_from_file(spark, str(tmp_path / "v.npy"), most=2).count() == 2
     assert sources.queries_from_sql(spark, "SELECT array(1.0, 2.0) AS v").first()["qvec"] == [1.0, 2.0]
     with pytest.raises(ValueError):
@@ -144,7 +150,8 @@ def test_reading_vectors(spark, tmp_path):
 
 
 def test_clustered_selectivity_follows(spark):
-    chances = sources.cluster_chances(8, 0.2, 0.7)
-    assert abs(chances.mean() - 0.2) < 1e-6 and chances[0] > chances[-1]
-    share = sources.clustered(spark, 5000, 4, clusters=6, selectivity=0.2, correlation=0.7).agg(F.avg(F.col("passes_filter").cast("double"))).first()[0]
-    assert abs(share - 0.2) < 0.04
+    for selectivity, correlation in ((0.1, 0.3), (0.35, -0.9), (0.6, 0.0)):
+        chances = sources.cluster_chances(11, selectivity, correlation)
+        assert abs(chances.mean() - selectivity) < 1e-6 and (chances[0] > chances[-1]) == (correlation > 0)
+        share = sources.clustered(spark, 3000, 3, clusters=11, selectivity=selectivity, correlation=correlation).agg(F.avg(F.col("passes_filter").cast("double"))).first()[0]
+        assert abs(share - selectivity) < 0.06
