@@ -10,6 +10,7 @@ import time
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +28,12 @@ def _group_totals(spark: SparkSession, group: str) -> tuple[int, int, int, float
     rows = size = moved = 0
     cpu = 0.0
     for stage in stages:
-        data = store.lastStageAttempt(stage)
+        try:
+            data = store.lastStageAttempt(stage)
+        except Py4JJavaError as e:  # Spark forgets stages that it skipped before others
+            if "NoSuchElementException" not in str(e.java_exception):
+                raise
+            continue
         if data.status().toString() == "COMPLETE":  # others stood already
             rows, size, moved, cpu = rows + data.inputRecords(), size + data.inputBytes(), moved + data.shuffleWriteBytes(), cpu + data.executorCpuTime() / 1e6
     return rows, size, moved, cpu
