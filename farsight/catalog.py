@@ -148,8 +148,8 @@ SELECT vec_id, round({_L2}, 6) AS distance FROM embeddings, one WHERE {_PASSES_S
 def src2_single_search(spark, sf_dir):
     """One query vector, in expressions only."""
     base = _base(spark, sf_dir)
-    (query,) = base.where("vec_id = 0").select("embedding").first()
-    return search.nearest_to(base, query, K, where=_passes()).withColumn("distance", F.round("distance", 6))
+    query = base.where("vec_id = 0").select("embedding").first()
+    return search.nearest_to(base, query[0] if query else [], K if query else 0, where=_passes()).withColumn("distance", F.round("distance", 6))
 
 
 @_query(
@@ -571,8 +571,8 @@ SELECT vec_id, round(score, 6) AS score FROM v ORDER BY score DESC, vec_id LIMIT
 def dsg1_projection_tail(spark, sf_dir):
     """The rows with the largest projection on a vector."""
     base = _base(spark, sf_dir)
-    (direction,) = base.where("vec_id = 3").select("embedding").first()
-    scored = base.select("vec_id", vectors.inner_product("embedding", F.array(*(F.lit(float(x)) for x in direction))).alias("score"))
+    row = base.where("vec_id = 3").select("embedding").first()
+    scored = base.where(F.lit(row is not None)).select("vec_id", vectors.inner_product("embedding", F.array(*(F.lit(float(x)) for x in row[0])) if row else F.col("embedding")).alias("score"))
     return scored.orderBy(F.desc("score"), "vec_id").limit(25).withColumn("score", F.round("score", 6))
 
 

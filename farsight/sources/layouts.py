@@ -34,6 +34,8 @@ def fit_centres(base: DataFrame, lists: int, *, vec_col: str = "embedding", most
     rows = base.where(F.col(vec_col).isNotNull())
     n = rows.count()
     picked = rows.sample(min(1.0, 1.2 * most / max(1, n)), seed).select(vec_col).limit(most).collect()
+    if not picked:
+        return np.zeros((0, 1))
     x = np.array([r[0] for r in picked], np.float64)
     r = np.random.default_rng(seed)
     centres = x[r.choice(len(x), min(lists, len(x)), replace=False)]

@@ -102,3 +102,14 @@ def test_graph_of_nothing(spark, tmp_path):
     made = graph.write_graph(empty, f"file://{tmp_path}/graph")
     found, compared = graph.search_graph(made, sources.queries_of(spark, [[0.0]]), 3)
     assert found.count() == 0 and compared.count() == 0
+
+
+def test_queries_that_start_from_a_row_stand_its_absence(spark, tmp_path):
+    from farsight import catalog
+    from farsight.sources import layouts
+
+    rows = [(i, [float(i), 1.0], i % 5) for i in range(5, 30)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    for name in ("src2_single_search", "dsg1_projection_tail"):
+        assert catalog.QUERIES[name](spark, f"file://{tmp_path}").count() == 0
+    assert len(layouts.fit_centres(spark.createDataFrame([], "vec_id long, embedding array<float>"), 3)) == 0
