@@ -167,7 +167,35 @@ def test_leaks_of_repeated_words_and_of_many_texts_at_once(corpus):
     assert len(twice) == 2 and sum(r[1] == 1 for r in decontamination.matches(index, ["echo " * 45])) == 2
 
 
+def test_leaks_of_items_that_share_phrases(corpus, monkeypatch):
+    r, phrase = corpus.random, "answer the following question by choosing the best one of the four options given here"
+    words = ["".join(r.choice("etaoinshrdlcump") for _ in range(r.randint(3, 8))) for _ in range(500)]
+
+    def some(n):
+        return " ".join(r.choice(words) for _ in range(n))
+
+    items = [f"{phrase} {some(n)}" for n in [14] * 90 + [8] * 60 + [1] * 40]
+    items += [items[3], items[3].upper(), items[-1], some(20), phrase]
+    index = decontamination.build_index(list(range(len(items))), items)
+    # of each kind: rare q-grams of several lengths, and items that the phrase fills nearly whole
+    assert len({g.q for g in index.levels if len(g.least) and g.q < decontamination.Q}) >= 2 and sum(g.q == decontamination.Q for g in index.levels) >= 2
+    texts = [" ".join([phrase] * 30), " ".join(f"{phrase} {some(10)}" for _ in range(20))]
+    for i in (3, 100, 170, len(items) - 2):
+        t = items[i]
+        texts += [f"{phrase} {t[:40]}q{t[41:]} {phrase}", t[:-2] + "zz", f"{some(9)} {t[:20] + t[23:]} {some(4)}"]
+    expected = {(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if _distance(_normal(x), _normal(t)) <= index.budget[i]}
+    assert {(x[0], x[1]) for x in decontamination.matches(index, texts)} == expected and len(expected) >= 12
+    assert {x[1] for x in decontamination.matches(index, [items[3]])} >= {3, len(items) - 5, len(items) - 4}
+    # many items with one phrase against a text full of it: next to nothing is aligned
+    many = decontamination.build_index(list(range(3000)), [f"{phrase} {some(14)}" for _ in range(3000)])
+    aligned, whole = [], decontamination._aligned
+    monkeypatch.setattr(decontamination, "_aligned", lambda a, b: aligned.append(len(a)) or whole(a, b))
+    assert decontamination.matches(many, [" ".join([phrase] * 120)]) == [] and sum(aligned) < 100
+
+
 def test_leaks_awkward_rows(spark, corpus):
+    lowest = corpus.frame([(-(1 << 63), "the long and winding road leads on and on")])
+    assert [x["doc_id"] for x in decontamination.find_leaks(lowest, spark.createDataFrame([(1, "the long and winding road")], "item_id long, text string")).collect()] == [-(1 << 63)]
     rows = corpus.awkward()
     df = corpus.frame(rows, extra=True)
     items = spark.createDataFrame([(1, None), (2, ""), (3, "!!"), (None, rows[3][1]), (None, rows[3][1])], "item_id long, text string")
