@@ -576,38 +576,43 @@ def dsg1_projection_tail(spark, sf_dir):
     return scored.orderBy(F.desc("score"), "vec_id").limit(25).withColumn("score", F.round("score", 6))
 
 
-_LOG = [
-    ("1", "SELECT id FROM docs WHERE tenant_id = 7 AND score BETWEEN 1 AND 5 ORDER BY embedding <-> $1 LIMIT 10", 10, 100, 50.0),
-    ("2", "SELECT id FROM docs WHERE tenant_id = 9 AND score BETWEEN 2 AND 6 ORDER BY embedding <-> $1 LIMIT 10", 5, 50, 30.0),
-    ("3", "select * from app.items where region IN ('us', 'eu') and active order by vec <=> $1 limit $2", 7, 70, 90.0),
-    ("4", "SELECT count(*) FROM docs", 100, 100, 5.0),
-    ("5", "SELECT id FROM docs WHERE lower(body) = 'x' ORDER BY embedding <#> '[1,2]'", 1, 9, 1.0),
-]
+#: A statement of one of five forms for each order, with the order's own values in it.
+_STATEMENTS = (
+    "SELECT id FROM docs WHERE tenant_id = %1$s AND price BETWEEN 1 AND %2$s ORDER BY embedding <-> $1 LIMIT 10",
+    "select * from app.items where region in ('this and that', '%3$s') and active order by vec <=> $1 limit $2;",
+    "SELECT id FROM docs WHERE (tenant_id = %1$s OR price > %2$s) AND state >= '%3$s' ORDER BY embedding <#> '[1,2]' LIMIT 20",
+    "SELECT count(*) FROM docs WHERE tenant_id = %1$s",
+    "SELECT id FROM docs d WHERE lower(body) = '%3$s' AND id IN (SELECT doc_id FROM picks WHERE day = %1$s ORDER BY n) AND kind = 2 ORDER BY d.embedding <-> $1",
+)
+_LOG_SQL = "log AS (SELECT left(o_orderpriority, 1)::INT AS form, o_orderkey % 5 + 1 AS calls, 10 * (o_orderkey % 5 + 1) AS \"rows\", floor(o_totalprice) AS total FROM orders)"
+_SUMS_SQL = "count(*) AS n_statements, sum(calls)::BIGINT AS calls, sum(\"rows\")::BIGINT AS \"rows\", sum(total)::DOUBLE AS total_exec_time_ms"
 
 
-@_query()
-def wrk_shapes(spark, sf_dir):
-    """Shapes of the vector searches of a statement log, rolled up."""
-    log = spark.createDataFrame(_LOG, "queryid string, query string, calls long, rows long, total_exec_time_ms double")
-    return workload.roll_up(workload.shapes(workload.top_statements(log)))
+def _log(spark, sf_dir) -> DataFrame:
+    form = F.element_at(F.array(*map(F.lit, _STATEMENTS)), F.left("o_orderpriority", F.lit(1)).cast("int"))
+    calls = (F.col("o_orderkey") % 5 + 1).cast("long")
+    text = F.expr("format_string(form, o_custkey, cast(floor(o_totalprice) as long), o_orderstatus)")
+    orders = _table(spark, sf_dir, "orders").withColumn("form", form)
+    return orders.select(F.col("o_orderkey").cast("string").alias("queryid"), text.alias("query"), calls.alias("calls"), (calls * 10).alias("rows"), F.floor("o_totalprice").cast("double").alias("total_exec_time_ms"))
 
 
 @_query(
-    "WITH c(ef, recall) AS (VALUES (10, 0.5::DOUBLE), (20, 0.8), (40, 0.75), (80, 0.9), (160, 0.9)) SELECT ef, max(recall) OVER (ORDER BY ef ROWS UNBOUNDED PRECEDING)::DOUBLE AS recall FROM c"
+    f"""WITH {_LOG_SQL}, shape(form, "table", vector_column, operator, template) AS (VALUES (1, 'docs', 'embedding', '<->', 'tenant_id = <value> AND price BETWEEN <value> AND <value>'),
+(2, 'app.items', 'vec', '<=>', 'region IN (<value>) AND active'), (3, 'docs', 'embedding', '<#>', 'state >= <value>'), (5, 'docs', 'embedding', '<->', 'kind = <value>'))
+SELECT "table", vector_column, operator, template, {_SUMS_SQL} FROM log JOIN shape USING (form) GROUP BY ALL"""
 )
-def win2_monotone_recall(spark, sf_dir):
-    """A measured recall curve made non-decreasing."""
-    return sweeps.monotone(spark.createDataFrame([(10, 0.5), (20, 0.8), (40, 0.75), (80, 0.9), (160, 0.9)], "ef int, recall double"))
+def wrk_shapes(spark, sf_dir):
+    """Shapes of the vector searches of a log with one statement for each order, rolled up."""
+    return workload.roll_up(workload.shapes(_log(spark, sf_dir))).drop("fingerprint")
 
 
 @_query(
-    """WITH p(strategy, recall, qps) AS (VALUES ('exact', 1.0::DOUBLE, 3.59::DOUBLE), ('postfilter', 0.175, 10.02), ('iterative', 0.9875, 3.52), ('partial', 0.8563, 33.84))
-SELECT * FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.recall >= a.recall AND b.qps >= a.qps AND (b.recall > a.recall OR b.qps > a.qps))"""
+    f"""WITH {_LOG_SQL}, told(form, outcome, reason) AS (VALUES (1, 'complete', ''), (2, 'complete', ''), (3, 'partial', 'or'), (4, 'rejected', 'no_vector_order'), (5, 'partial', 'function'), (5, 'partial', 'subquery'))
+SELECT outcome, reason, {_SUMS_SQL} FROM log JOIN told USING (form) GROUP BY ALL"""
 )
-def win6_pareto(spark, sf_dir):
-    """The strategies that no other beats in both recall and throughput."""
-    rows = [("exact", 1.0, 3.59), ("postfilter", 0.175, 10.02), ("iterative", 0.9875, 3.52), ("partial", 0.8563, 33.84)]
-    return sweeps.pareto(spark.createDataFrame(rows, "strategy string, recall double, qps double"))
+def wrk_report(spark, sf_dir):
+    """How many statements of that log have a shape, whole or in part, and why the others have none."""
+    return workload.report(_log(spark, sf_dir))
 
 
 @_query(
@@ -623,8 +628,8 @@ def set1_common_ids(spark, sf_dir):
 
 @_query()
 def src15_clustered(spark, sf_dir):
-    """Observed selectivity by cluster of a generated table with a filter that follows its clusters."""
-    made = sources.clustered(spark, 8000, 12, clusters=9, selectivity=0.15, correlation=0.4)
+    """Observed selectivity by cluster of a generated table, four times the vectors, with a filter that follows its clusters."""
+    made = sources.clustered(spark, max(200, 4 * _base(spark, sf_dir).count()), 12, clusters=9, selectivity=0.15, correlation=0.4)
     return made.groupBy("cluster_id").agg(F.count("*").alias("n"), F.avg(F.col("passes_filter").cast("double")).alias("share"))
 
 
@@ -705,6 +710,26 @@ def win2_measured_curve(spark, sf_dir):
     return sweeps.monotone(_sweep(spark, sf_dir).where("filter = 'three'")).withColumn("recall", F.round("recall", 6))
 
 
+@_query(f"WITH {_SWEEP_SQL} SELECT filter, ef, round(max(recall) OVER (PARTITION BY filter ORDER BY ef ROWS UNBOUNDED PRECEDING), 6) AS recall FROM swept")
+def win2_monotone_recall(spark, sf_dir):
+    """The measured recall curve of each filter, made non-decreasing."""
+    return sweeps.monotone(_sweep(spark, sf_dir), "filter").withColumn("recall", F.round("recall", 6))
+
+
+@_query(
+    f"""WITH {_SWEEP_SQL}, p AS (SELECT filter, 'postfilter ' || ef AS strategy, round(recall, 6) AS recall, round(1e6 / ef, 6) AS qps FROM swept
+UNION ALL SELECT filter, 'exact', 1.0, round(1e6 / greatest(1.0, exact), 6) FROM cheapest)
+SELECT * FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.filter = a.filter AND b.recall >= a.recall AND b.qps >= a.qps AND (b.recall > a.recall OR b.qps > a.qps))"""
+)
+def win6_pareto(spark, sf_dir):
+    """By filter, the measured strategies that no other beats in both recall and queries for a million rows examined."""
+    swept = _sweep(spark, sf_dir)
+    rows = F.greatest(F.lit(1.0), F.col("selectivity") * F.lit(_base(spark, sf_dir).count()))
+    post = swept.select("filter", F.concat(F.lit("postfilter "), F.col("ef")).alias("strategy"), F.round("recall", 6).alias("recall"), F.round(F.lit(1e6) / F.col("ef"), 6).alias("qps"))
+    exact = swept.select("filter", F.lit("exact").alias("strategy"), F.lit(1.0).alias("recall"), F.round(F.lit(1e6) / rows, 6).alias("qps")).distinct()
+    return sweeps.pareto(post.unionAll(exact), "filter")
+
+
 @_query(
     f"""WITH {_SWEEP_SQL}, v AS (SELECT filter, ef, round(least(1.0, selectivity * ef / {K}), 9) AS p, round(recall, 9) AS r FROM swept), g AS (SELECT *, greatest(p, 1e-12) / greatest(r, 1e-12) AS ratio, abs(p - r) AS apart FROM v)
 SELECT filter, ef, p AS predicted, r AS measured, CASE WHEN ratio <= 0.1 OR ratio >= 10 OR apart >= 0.25 THEN 'critical' WHEN ratio <= 0.5 OR ratio >= 2 OR apart >= 0.05 THEN 'warning' ELSE 'ok' END AS severity FROM g"""

@@ -52,14 +52,18 @@ def proof(points: DataFrame, *, min_bins: int = 3, min_correlations: int = 3, mi
     return one.select(F.inline(F.array(*(F.struct(F.lit(n).alias("name"), p.alias("passed"), a.alias("actual"), r.alias("required")) for n, p, a, r in rows))))
 
 
-def monotone(curve: DataFrame) -> DataFrame:
-    """(ef, recall): measured recall made non-decreasing in ef."""
-    upto = Window.partitionBy(F.lit(1)).orderBy("ef").rowsBetween(Window.unboundedPreceding, 0)
-    return curve.select("ef", F.max("recall").over(upto).alias("recall"))
+def monotone(curve: DataFrame, *by: str) -> DataFrame:
+    """(*by, ef, recall): measured recall made non-decreasing in ef, by the columns named."""
+    upto = Window.partitionBy(*(by or [F.lit(1)])).orderBy("ef").rowsBetween(Window.unboundedPreceding, 0)
+    return curve.select(*by, "ef", F.max("recall").over(upto).alias("recall"))
 
 
-def pareto(points: DataFrame) -> DataFrame:
-    """The points (strategy, recall, qps) that no other beats in both."""
-    before = Window.partitionBy(F.lit(1)).orderBy(F.desc("qps"), F.desc("recall"), "strategy").rowsBetween(Window.unboundedPreceding, -1)
-    best = F.max("recall").over(before)
-    return points.withColumn("best", best).where(F.col("best").isNull() | (F.col("recall") > F.col("best"))).drop("best")
+def pareto(points: DataFrame, *by: str) -> DataFrame:
+    """The points (strategy, recall, qps) that no other beats, by the columns named: none is as good in both and better in one.
+
+    Equal points stay together.
+    """
+    # of all points at least as fast, itself must have the best recall, and of that recall be the fastest
+    upto = Window.partitionBy(*(by or [F.lit(1)])).orderBy(F.desc("qps")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    best = F.max(F.struct("recall", "qps")).over(upto)
+    return points.withColumn("best", best).where(F.col("best") == F.struct("recall", "qps")).drop("best")

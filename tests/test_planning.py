@@ -102,6 +102,37 @@ def test_workload_shapes(spark):
     assert found["1"]["limit"]["value"] == 5 and found["3"]["limit"]["kind"] == "absent"
 
 
+def test_workload_brackets_quotes_and_report(spark):
+    search = "SELECT id FROM t WHERE {} ORDER BY v <-> $1 LIMIT 5"
+    conditions = {
+        "quoted": "a = 'x and y or z' AND b = 'it''s; -- (' AND c = 1", "brackets": "(a = 1) AND (b = 2 AND c = 3) AND d IN (1, 2)", "disjunction": "a = 1 AND b = 2 OR c = 3", "inner": "(a = 1 OR b = 2) AND c = 3",
+        "subquery": "a IN (SELECT x FROM s WHERE y = 1 AND z IN (SELECT max(w) FROM u) ORDER BY x) AND c = 3", "forms": "lower(a) = 'x' AND b IS NOT NULL AND c LIKE 'y%' AND d <> 4 AND NOT e",
+        "comment": "a = 1 /* AND b = 2 */ AND c BETWEEN 1 AND 2",
+    }
+    rows = [(k, search.format(c), 1, 1, 1.0) for k, c in conditions.items()]
+    rows += [("two", "SELECT 1; SELECT 2", 2, 1, 1.0), ("update", "UPDATE t SET a = 1", 3, 1, 1.0), ("plain", "SELECT id FROM t ORDER BY v", 4, 1, 1.0), ("null", None, 5, 1, 1.0), ("no where", "select * from t order by v <=> $1", 6, 1, 1.0)]
+    log = spark.createDataFrame(rows, LOG)
+    found = {r["queryid"]: (r["template"], r["unsupported"]) for r in workload.shapes(log).collect()}
+    assert found == {
+        "quoted": ("a = <value> AND b = <value> AND c = <value>", []), "brackets": ("a = <value> AND d IN (<value>)", ["nested_and"]), "disjunction": ("", ["or"]), "inner": ("c = <value>", ["or"]),
+        "subquery": ("c = <value>", ["subquery"]), "forms": ("", ["function", "negation", "negation", "null_test", "pattern"]), "comment": ("a = <value> AND c BETWEEN <value> AND <value>", []), "no where": ("", []),
+    }
+    told = {(r["outcome"], r["reason"]): (r["n_statements"], r["calls"]) for r in workload.report(log).collect()}
+    assert told == {
+        ("complete", ""): (3, 8), ("partial", "nested_and"): (1, 1), ("partial", "or"): (2, 2), ("partial", "subquery"): (1, 1), ("partial", "function"): (1, 1), ("partial", "negation"): (1, 1),
+        ("partial", "null_test"): (1, 1), ("partial", "pattern"): (1, 1), ("rejected", "several_statements"): (1, 2), ("rejected", "no_select"): (2, 8), ("rejected", "no_vector_order"): (1, 4),
+    }
+    assert workload.report(log.limit(0)).count() == 0
+
+
+def test_fronts_and_curves_by_group(spark):
+    points = [("a", "p", 0.9, 10.0), ("a", "q", 0.9, 10.0), ("a", "r", 0.8, 10.0), ("a", "s", 0.9, 5.0), ("a", "t", 1.0, 1.0), ("b", "u", 0.1, 1.0)]
+    front = sweeps.pareto(spark.createDataFrame(points, "filter string, strategy string, recall double, qps double"), "filter")
+    assert {r["strategy"] for r in front.collect()} == {"p", "q", "t", "u"}
+    curve = sweeps.monotone(spark.createDataFrame([("a", 1, 0.5), ("a", 2, 0.4), ("b", 2, 0.3)], "filter string, ef int, recall double"), "filter")
+    assert {tuple(r) for r in curve.collect()} == {("a", 1, 0.5), ("a", 2, 0.5), ("b", 2, 0.3)}
+
+
 def test_streaming_shapes(spark, tmp_path):
     rows = [("1", LOG_QUERY, 2, 10, 4.0, "2026-01-01 00:01:00"), ("2", LOG_QUERY, 3, 10, 4.0, "2026-01-01 00:02:00"), ("3", LOG_QUERY, 1, 1, 1.0, "2026-01-01 00:07:00")]
     spark.createDataFrame(rows, LOG + ", ts string").selectExpr("queryid", "query", "calls", "rows", "total_exec_time_ms", "timestamp(ts) AS ts").write.parquet(str(tmp_path / "log"))
