@@ -18,6 +18,7 @@ from farsight.plans import costs, observe
 from farsight.plans import recommend as advice
 from farsight.sources import cache, facts, graph, layouts, npy, shelves, sketches
 from farsight.sources import vectors as sources
+from farsight.sources.shared import shared_base
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -104,8 +105,7 @@ def _iterative(spark: SparkSession, base: DataFrame) -> DataFrame:
 
 def _copy_path(spark: SparkSession, name: str) -> str:
     """A folder of its own in the shared one, which goes when the session ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return path

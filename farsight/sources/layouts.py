@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,6 +62,17 @@ def write_by_centre(base: DataFrame, centres: np.ndarray, path: str, *, vec_col:
     rows.repartition("list", F.pmod(F.xxhash64(vec_col), F.lit(4))).write.mode("overwrite").partitionBy("list").parquet(path)
 
 
+def probes_for(m: int, lists: int, n_rows: int) -> int:
+    """How many of `lists` lists over n_rows rows to probe so that they hold m rows: two at least where there are more and m > 1; the root of m where there are no lists."""
+    if m < 1 or lists < 0 or n_rows < 0:
+        raise ValueError("m must be positive, lists and rows not negative")
+    if not lists:
+        return math.isqrt(m - 1) + 1
+    # m / (n_rows / lists), rounded up; empty lists count as one row
+    needed = -(-m * lists // max(n_rows, lists))
+    return min(lists, max(needed, 2 if lists > 1 and m > 1 else 1))
+
+
 def search_by_centre(spark, path: str, centres: np.ndarray, queries: DataFrame, k: int, *, probes: int, passes: Column | None = None, metric: str = "l2", block: int = BLOCK) -> DataFrame:
     """The k nearest within the `probes` lists nearest to each query: approximate.
 

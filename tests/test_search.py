@@ -131,6 +131,14 @@ def test_lists_by_centre_without_queries_or_in_small_blocks(spark, tmp_path):
     assert abs(min(plain.values()) - first) < 1e-9
 
 
+def test_probes_hold_the_rows_asked_for():
+    assert [layouts.probes_for(m, 0, 500) for m in (1, 2, 4, 5, 100)] == [1, 2, 2, 3, 10]
+    assert [layouts.probes_for(m, 10, 1000) for m in (1, 2, 200, 201, 5000)] == [1, 2, 2, 3, 10]
+    assert layouts.probes_for(50, 1, 0) == 1 and layouts.probes_for(50, 8, 3) == 8
+    with pytest.raises(ValueError):
+        layouts.probes_for(0, 4, 10)
+
+
 def test_reading_vectors(spark, tmp_path):
     assert sources.parse_vector("1, 2 3") == [1.0, 2.0, 3.0]
     assert sources.parse_vectors('{"vectors": [[1, 2], [3, 4]]}') == [[1.0, 2.0], [3.0, 4.0]]
