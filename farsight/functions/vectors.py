@@ -112,3 +112,54 @@ def batch_distances(base: np.ndarray, query: np.ndarray, metric: str) -> np.ndar
         norms = np.maximum(np.sqrt((base**2).sum(axis=1)), _LEAST_NORM) * max(float(np.sqrt((query**2).sum())), _LEAST_NORM)
         return 1 - (base @ query) / norms
     raise ValueError(f"unknown metric {metric!r}; known: {', '.join(METRICS)}")
+
+
+def paired_distances(x: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of the rows of x to the rows of v, one by one, in double precision: equal rows give equal distances wherever they stand."""
+    if metric == "l2":
+        return np.sqrt(((x - v) ** 2).sum(axis=1))
+    if metric == "ip":
+        return -(x * v).sum(axis=1)
+    if metric == "l1":
+        return np.abs(x - v).sum(axis=1)
+    if metric == "cosine":
+        norms = [np.maximum(np.sqrt((a**2).sum(axis=1)), _LEAST_NORM) for a in (x, v)]
+        return 1 - (x * v).sum(axis=1) / (norms[0] * norms[1])
+    raise ValueError(f"unknown metric {metric!r}; known: {', '.join(METRICS)}")
+
+
+#: What rounding may do to a distance from a matrix product, as a share of the squared norms that it is made of.
+_ROUNDING = 1e-10
+
+
+def near_distances(x: np.ndarray, v: np.ndarray, last: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nearly the distances of each of v (rows) to each of x (columns), or what orders as they do; what `last` is on that scale, made
+    so large that no row within that distance lies above it; and the most that a value may be off. Rows that aren't finite are infinitely far."""
+    squares, own = (x**2).sum(axis=1), (v**2).sum(axis=1)
+    finite = np.isfinite(squares)
+    if metric == "l1":
+        near = np.stack([np.abs(x - q).sum(axis=1) for q in v])
+        slack, limit = np.zeros(len(v)), last
+    else:
+        most = squares[finite].max(initial=0.0)
+        near = v @ x.T
+        if metric == "l2":
+            near *= -2
+            near += squares
+            near += own[:, None]
+            slack = _ROUNDING * (own + most)
+            limit = last**2 + slack
+        elif metric == "ip":
+            near *= -1
+            slack = _ROUNDING * (own + most)
+            limit = last + slack
+        elif metric == "cosine":
+            near /= np.maximum(np.sqrt(squares), _LEAST_NORM)
+            near /= -np.maximum(np.sqrt(own), _LEAST_NORM)[:, None]
+            near += 1
+            slack = np.full(len(v), _ROUNDING)
+            limit = last + slack
+        else:
+            raise ValueError(f"unknown metric {metric!r}; known: {', '.join(METRICS)}")
+    near[:, ~finite] = np.inf
+    return near, limit, slack

@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farsight.operators.search import BLOCK, batch_top_k, query_blocks, ranked_top_k
+from farsight.operators.search import BLOCK, FOUND, KEPT, Nearest, matrix, query_blocks, ranked_top_k
 from farsight.plans.recommend import Layout
 
 
@@ -83,21 +84,25 @@ def search_by_centre(spark, path: str, centres: np.ndarray, queries: DataFrame,
     ok = F.coalesce(F.lit(True) if passes is None else passes, F.lit(False))
 
     def nearest(held):
-        def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, vectors, probed = held.value
+            kept = Nearest(ids, vectors, k, metric)
             for batch in it:
-                for number, part in batch.groupby("list"):
-                    x, some = np.stack(part["v"].to_numpy()).astype(np.float64), probed[:, number]
-                    yield batch_top_k(x, part["vec_id"].to_numpy(), part["passes"].to_numpy(), ids[some], vectors[some], k, metric)
+                lists, own = batch.column("list").to_numpy(), batch.column("vec_id").to_numpy()
+                x = matrix(batch.column("v"))
+                for number in np.unique(lists):
+                    some = lists == number
+                    kept.add(x[some], own[some], np.ones(some.sum(), bool), probed[:, number])
+            yield from kept.found()
 
         return batches
 
     found = []
-    for ids, vectors in query_blocks(queries, block):
-        far = ((vectors[:, None, :] - centres[None]) ** 2).sum(axis=2)
+    for ids, vectors in query_blocks(queries, min(block, max(1, KEPT // k))):
+        far = np.stack([((vectors - c) ** 2).sum(axis=1) for c in centres], axis=1)
         probed = np.zeros(far.shape, bool)
         np.put_along_axis(probed, np.argsort(far, axis=1, kind="stable")[:, :probes], True, axis=1)
         rows = base.where(F.col("list").isin(*np.flatnonzero(probed.any(axis=0)).tolist()) & ok)
-        rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"), F.col("list"), F.lit(True).alias("passes"))
-        found.append(rows.mapInPandas(nearest(spark.sparkContext.broadcast((ids, vectors, probed))), "query_id long, vec_id long, distance double, passes boolean"))
+        rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"), F.col("list"))
+        found.append(rows.mapInArrow(nearest(spark.sparkContext.broadcast((ids, vectors, probed))), FOUND))
     return ranked_top_k(spark, found, k)

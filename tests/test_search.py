@@ -64,6 +64,49 @@ def test_blocks_of_queries_change_nothing(spark):
     assert whole == parts and len(whole) == 27
 
 
+@pytest.fixture
+def small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_task_gives_the_shuffle_k_rows_for_each_query(spark, small_batches, monkeypatch):
+    given, ranked = [], search.ranked_top_k
+    monkeypatch.setattr(search, "ranked_top_k", lambda spark, found, k: given.extend(found) or ranked(spark, found, k))
+    base = _base(spark, np.random.default_rng(5).normal(size=(100, 3))).coalesce(1)
+    assert search.top_k(base, sources.queries_of(spark, [[0, 0, 0], [1, 1, 1]]), 4).count() == 8
+    assert [g.count() for g in given] == [8]
+
+
+def test_many_queries_are_not_left_to_one_task(spark, monkeypatch):
+    given, ranked = [], search.ranked_top_k
+    monkeypatch.setattr(search, "ranked_top_k", lambda spark, found, k: given.extend(found) or ranked(spark, found, k))
+    points = np.random.default_rng(6).normal(size=(search.TILE + 1, 3))
+    assert search.top_k(_base(spark, points).coalesce(1), sources.queries_of(spark, points.tolist()), 2).count() == 2 * len(points)
+    assert len(given) == 1 and given[0].rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("metric", vectors.METRICS)
+def test_copies_and_odd_rows_rank_as_one_by_one(spark, small_batches, metric):
+    r = np.random.default_rng(7)
+    points = r.normal(size=(60, 5)).astype(np.float32)[r.integers(0, 60, 300)]
+    points[::41] = np.nan
+    points[1::67, 2] = np.inf
+    wanted = points[np.isfinite(points).all(axis=1)][:3].astype(np.float64)
+    found = search.top_k(_base(spark, points), sources.queries_of(spark, wanted.tolist()), 40, metric=metric).orderBy("query_id", "rank").collect()
+    for q, v in enumerate(wanted):
+        d = vectors.paired_distances(points.astype(np.float64), np.broadcast_to(v, points.shape), metric)
+        order = np.lexsort((np.arange(len(d)), d))[:40]
+        if not (d[order] == -np.inf).any():
+            assert [x["vec_id"] for x in found if x["query_id"] == q] == order.tolist()
+
+
+def test_rows_at_no_distance_come_last(spark):
+    base = _base(spark, [[np.nan, 0]] * 5 + [[1, 0], [2, 0]]).coalesce(1)
+    assert [r["vec_id"] for r in search.top_k(base, sources.queries_of(spark, [[0, 0]]), 4).orderBy("rank").collect()] == [5, 6, 0, 1]
+
+
 def test_strategies_and_quality(spark):
     base = sources.clustered(spark, 2000, 6, clusters=5, selectivity=0.1, correlation=-0.5)
     q = sources.clustered_queries(spark, 5, 6, clusters=5)
