@@ -1,14 +1,13 @@
 """Filters times frontiers, measured: recall, returned rows and rows examined of the strategies over a whole table.
 
-All frontiers of all filters come from one scan: the deepest frontier of each query carries the flags of every filter,
-and its smaller frontiers are its first ranks. The truth of each filter is one scan with the filter pushed down.
+All frontiers of all filters come from one search: the deepest frontier of each query carries the flags of every filter,
+and its smaller frontiers are its first ranks. A frontier holds the true nearest rows, so what passes within it is what the truth begins
+with: recall follows from counts, and the truth of a filter needs no search of its own.
 Cost is rows examined for one query, which is the same on every machine.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,11 +22,6 @@ def frontiers(base: DataFrame, queries: DataFrame, filters: dict[str, Column], d
     return near.join(flags, "vec_id").select("query_id", "place", "vec_id", "filter")
 
 
-def truths(base: DataFrame, queries: DataFrame, filters: dict[str, Column], k: int, **options) -> DataFrame:
-    """(filter, query_id, vec_id): the k nearest that pass, by filter."""
-    return reduce(DataFrame.unionAll, (search.exact(base, queries, k, c, **options).select(F.lit(n).alias("filter"), "query_id", "vec_id") for n, c in filters.items()))
-
-
 def sweep(base: DataFrame, queries: DataFrame, filters: dict[str, Column], efs: list[int], k: int, **options) -> DataFrame:
     """(filter, ef, selectivity, recall, returns_k, mean_results, s_local): the postfilter strategy at each frontier.
 
@@ -35,20 +29,20 @@ def sweep(base: DataFrame, queries: DataFrame, filters: dict[str, Column], efs:
     filter is null does not pass it; an empty table or no queries give no rows.
     """
     near = frontiers(base, queries, filters, max(efs), **options)
-    true = truths(base, queries, filters, k, **options).withColumn("true", F.lit(True))
-    depths = F.array(*map(F.lit, efs))
-    within = near.select("*", F.explode(F.filter(depths, lambda e: F.col("place") <= e)).alias("ef"))
-    first = Window.partitionBy("filter", "ef", "query_id").orderBy("place")
-    found = within.withColumn("rank", F.row_number().over(first)).join(true, ["filter", "query_id", "vec_id"], "left")
-    kept = F.col("rank") <= k
-    by_query = found.groupBy("filter", "ef", "query_id").agg(F.count("*").alias("passing"), F.count_if(kept).alias("n_found"), F.count_if(kept & F.col("true")).alias("hits"))
-    wanted = true.groupBy("filter", "query_id").agg(F.count("*").alias("n_truth"))
-    grid = base.agg(*(F.avg(F.coalesce(c, F.lit(False)).cast("double")).alias(n) for n, c in filters.items())).select(F.inline(F.array(*(F.struct(F.lit(n).alias("filter"), F.col(n).alias("selectivity")) for n in filters))))
-    cells = queries.select("query_id", F.explode(F.array(*map(F.lit, filters))).alias("filter")).select("*", F.explode(depths).alias("ef"))
-    every = cells.join(F.broadcast(grid), "filter").join(wanted, ["filter", "query_id"], "left").join(by_query, ["filter", "ef", "query_id"], "left").fillna(0, ["n_truth", "passing", "n_found", "hits"])
-    recall = F.when(F.col("n_truth") == 0, 1.0).otherwise(F.col("hits") / F.col("n_truth"))
+    first = near.withColumn("rank", F.row_number().over(Window.partitionBy("filter", "query_id").orderBy("place")))
+    within = [(f"passing_{e}", F.col("place") <= e) for e in efs] + [(f"found_{e}", (F.col("place") <= e) & (F.col("rank") <= k)) for e in efs]
+    by_query = first.groupBy("filter", "query_id").agg(*(F.count_if(c).alias(n) for n, c in within))
+    named = lambda of: F.inline(F.array(*(F.struct(F.lit(n).alias("filter"), *(F.col(f"{c}_{i}").alias(c) for c in of)) for i, n in enumerate(filters))))
+    has = F.col(options.get("vec_col", "embedding")).isNotNull()
+    shares = [(F.avg(c.cast("double")).alias(f"selectivity_{i}"), F.least(F.count_if(c & has), F.lit(k)).alias(f"n_truth_{i}")) for i, c in enumerate(F.coalesce(c, F.lit(False)) for c in filters.values())]
+    grid = base.agg(*(c for pair in shares for c in pair)).select(named(("selectivity", "n_truth")))
+    cells = queries.select("query_id", F.explode(F.array(*map(F.lit, filters))).alias("filter"))
+    counted = cells.join(F.broadcast(grid), "filter").join(by_query, ["filter", "query_id"], "left").fillna(0, [n for n, _ in within])
+    one = lambda e: F.struct(F.lit(e).alias("ef"), F.col(f"passing_{e}").alias("passing"), F.col(f"found_{e}").alias("n_found"))
+    every = counted.select("filter", "query_id", "selectivity", "n_truth", F.inline(F.array(*map(one, efs))))
+    recall = F.when(F.col("n_truth") == 0, 1.0).otherwise(F.col("n_found") / F.col("n_truth"))
     return every.groupBy("filter", "ef", "selectivity").agg(
-        F.avg(recall).alias("recall"), F.min(F.col("n_found") >= F.least("n_truth", F.lit(k))).alias("returns_k"), F.avg("n_found").alias("mean_results"), F.avg(F.col("passing") / F.col("ef")).alias("s_local")
+        F.avg(recall).alias("recall"), F.min(F.col("n_found") >= F.col("n_truth")).alias("returns_k"), F.avg("n_found").alias("mean_results"), F.avg(F.col("passing") / F.col("ef")).alias("s_local")
     )
 
 

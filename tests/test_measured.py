@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from farsight.functions import vectors
-from farsight.operators import measured, statistics
+from farsight.operators import measured, search, statistics
 
 SCHEMA = "vec_id long, embedding array<double>, label int"
 
@@ -42,6 +42,17 @@ def test_sweep_is_that_of_one_query_at_a_time(spark):
     assert won["none"] == ("exact", None)
 
 
+def test_a_sweep_searches_once_however_many_filters(spark, monkeypatch):
+    searched, top_k = [], search.top_k
+    monkeypatch.setattr(search, "top_k", lambda *args, **options: searched.append(args[2]) or top_k(*args, **options))
+    base = spark.createDataFrame([(i, [float(i)], i % 3) for i in range(12)] + [(12, None, 1)], SCHEMA)
+    queries = base.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    # five rows are labelled 1, of which one has no vector; four of them are the truth
+    found = measured.sweep(base, queries, {"one": F.col("label") == 1, "two": F.col("label") == 2}, [3, 12], 5).collect()
+    assert {(r["filter"], r["ef"]): (r["recall"], r["returns_k"]) for r in found} == {("one", 3): (0.25, False), ("one", 12): (1.0, True), ("two", 3): (0.25, False), ("two", 12): (1.0, True)}
+    assert searched == [12]
+
+
 def test_sweep_of_nothing(spark):
     base = spark.createDataFrame([], SCHEMA)
     queries = spark.createDataFrame([], "query_id long, qvec array<double>")
