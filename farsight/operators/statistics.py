@@ -1,13 +1,14 @@
 """Column statistics computed by Spark, and filter selectivities estimated from them.
 
 Statistics of a column: null fraction, distinct values, the most common values with their shares, and the bounds of
-a histogram of equal counts over the other values. One aggregation gives counts of all columns; the values of each
-are counted with partial sums before the shuffle, and only the few most common and the bounds reach the driver.
+a histogram of equal counts over the other values. The values of each column are counted once, with partial sums before
+the shuffle; all else comes from these counts, and only the few most common values and the bounds reach the driver.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import math
 from bisect import bisect_left
 from dataclasses import dataclass, field
 from functools import reduce
@@ -20,6 +21,8 @@ from farsight.functions.filters import Predicate
 LEAST = 1e-12
 DEFAULT_RANGE = 1 / 3
 MCV_TARGET, BOUNDS = 100, 100
+#: Distinct values that one task may hold for their percentiles.
+MOST_VALUES = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -82,15 +85,32 @@ def ranked_bounds(df: DataFrame, column: str, parts: int = BOUNDS) -> DataFrame:
     values has no bounds.
     """
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("bound")).agg(F.count("*").alias("n"))
+    # the rank of the bound i, from 0, is floor(i * (all - 1) / parts)
+    numbers = F.filter(F.sequence(F.lit(0), F.lit(parts)), lambda i: _rank(i, parts).between(F.col("end") - F.col("n"), F.col("end") - 1))
+    return _placed(counts).select(F.explode(numbers).alias("bound_no"), "bound")
+
+
+def _placed(counts: DataFrame) -> DataFrame:
+    """(bound, n, end, all) of counts (bound, n): the rows up to and with each value, and of all values."""
     parted = counts.repartitionByRange("bound").withColumn("task_", F.spark_partition_id()).persist()  # ranges are drawn once
     totals = parted.groupBy("task_").agg(F.sum("n").alias("in_task"))
     upto = Window.partitionBy(F.lit(1)).orderBy("task_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = totals.select("task_", (F.sum("in_task").over(upto) - F.col("in_task")).alias("before"), F.sum("in_task").over(Window.partitionBy(F.lit(1))).alias("all"))
     within = Window.partitionBy("task_").orderBy("bound").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = parted.join(F.broadcast(before), "task_").withColumn("end", F.col("before") + F.sum("n").over(within))
-    # the rank of the bound i, from 0, is floor(i * (all - 1) / parts)
-    numbers = F.filter(F.sequence(F.lit(0), F.lit(parts)), lambda i: _rank(i, parts).between(F.col("end") - F.col("n"), F.col("end") - 1))
-    return placed.select(F.explode(numbers).alias("bound_no"), "bound")
+    return parted.join(F.broadcast(before), "task_").withColumn("end", F.col("before") + F.sum("n").over(within))
+
+
+def percentiles(counts: DataFrame, cuts: list[float]) -> tuple[float, ...]:
+    """Exact, interpolated percentiles of counts (bound double, n), as Spark's percentile has them, but with no buffer of all values; none of no values."""
+    total = counts.agg(F.sum("n")).first()[0]
+    if not total:
+        return ()
+    places = [(total - 1) * c for c in cuts]
+    wanted = F.array(*(F.lit(r).cast("long") for r in sorted({f(p) for p in places for f in (math.floor, math.ceil)})))
+    at = F.filter(wanted, lambda r: r.between(F.col("end") - F.col("n"), F.col("end") - 1))
+    held = {r["rank"]: r["bound"] for r in _placed(counts).select(F.explode(at).alias("rank"), "bound").collect()}  # two for each cut at most
+    low, high = ([held[f(p)] for p in places] for f in (math.floor, math.ceil))
+    return tuple(a if a == b else (math.ceil(p) - p) * a + (p - math.floor(p)) * b for a, b, p in zip(low, high, places, strict=True))
 
 
 def _rank(i, parts: int):
@@ -110,27 +130,33 @@ def joint_shares(df: DataFrame, columns: list[str], target: int = MCV_TARGET) ->
     return counts.crossJoin(F.broadcast(total)).select(*columns, "n", (F.col("n") / F.col("n_rows")).alias("share"))
 
 
-def analyze(df: DataFrame, columns: list[str], *, target: int = MCV_TARGET, parts: int = BOUNDS) -> TableStats:
-    """A snapshot of these columns' statistics on the driver: at most `target` values and `parts` bounds each."""
-    profiles = {r["column_name"]: r for r in profile(df, columns).collect()}
-    n_rows = next(iter(profiles.values()))["n_rows"] if profiles else 0
-    out = {}
+def analyze(df: DataFrame, columns: list[str], *, target: int = MCV_TARGET, parts: int = BOUNDS, most: int = MOST_VALUES) -> TableStats:
+    """A snapshot of these columns' statistics on the driver: at most `target` values and `parts` bounds each.
+
+    Every column is read once: its values are counted, and all else comes from the counts. Columns of more than `most` values have their
+    bounds by rank, so that no task holds all values.
+    """
+    n_rows, out = df.count() if not columns else 0, {}
     for c in columns:
-        counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n"))
-        top = counts.where("n > 1").orderBy(F.desc("n"), c).limit(target).collect()
-        if profiles[c]["n_distinct"] > target:  # keep only what is commoner than the average
-            mean = n_rows * (1 - profiles[c]["null_frac"]) / profiles[c]["n_distinct"]
+        counts = df.groupBy(F.col(c).alias("value")).agg(F.count("*").alias("n")).persist()
+        known = F.col("value").isNotNull()
+        text = F.length(F.col("value").cast("string"))
+        n_rows, n_values, n_distinct, width = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)), F.count("value"), F.sum(text * F.col("n")) / F.sum(F.when(known, F.col("n")))).first()
+        top = counts.where(known & (F.col("n") > 1)).orderBy(F.desc("n"), "value").limit(target).collect()
+        null_frac = 1 - n_values / n_rows if n_rows else 0.0
+        if n_distinct > target:  # keep only what is commoner than the average
+            mean = n_rows * (1 - null_frac) / n_distinct
             top = [r for r in top if r["n"] > 1.25 * mean]
-        common = tuple(r[c] for r in top)
+        common = tuple(r["value"] for r in top)
         bounds = ()
-        if len(common) < profiles[c]["n_distinct"] and df.schema[c].dataType.typeName() not in ("boolean", "array", "string"):
-            rest = df.where(F.col(c).isNotNull() & (~F.col(c).isin(*common) if common else F.lit(True)))
+        if len(common) < n_distinct and df.schema[c].dataType.typeName() not in ("boolean", "array", "string"):
             timed = df.schema[c].dataType.typeName() in ("timestamp", "timestamp_ntz", "date")
-            as_number = F.unix_micros(F.col(c).cast("timestamp")) / 1e6 if timed else F.col(c)
-            got = rest.agg(F.percentile(as_number.cast("double"), F.array(*(F.lit(i / parts) for i in range(parts + 1))))).first()[0]
-            bounds = tuple(got or ())
-        p = profiles[c]
-        out[c] = ColumnStats(c, p["null_frac"], float(p["n_distinct"]), common, tuple(r["n"] / n_rows for r in top), bounds, None, p["avg_width"])
+            as_number = F.unix_micros(F.col("value").cast("timestamp")) / 1e6 if timed else F.col("value")
+            rest = counts.where(known & (~F.col("value").isin(*common) if common else F.lit(True))).select(as_number.cast("double").alias("bound"), "n")
+            cuts = [i / parts for i in range(parts + 1)]
+            bounds = percentiles(rest, cuts) if n_distinct > most else tuple(rest.agg(F.percentile("bound", F.array(*map(F.lit, cuts)), F.col("n"))).first()[0] or ())
+        counts.unpersist()
+        out[c] = ColumnStats(c, null_frac, float(n_distinct), common, tuple(r["n"] / n_rows for r in top), bounds, None, width)
     return TableStats(n_rows, out)
 
 

@@ -75,3 +75,28 @@ def test_sql_functions(spark):
     assert (one.l2, one.cosine, one.hamming, one.jaccard, one.none) == (5.0, 1.0, 2, 0.0, None)
     with pytest.raises(Exception):
         spark.sql("SELECT vector_l2(array(1D, 2D), array(1D))").collect()
+
+
+def test_bounds_of_many_values_are_those_of_one_buffer(spark, monkeypatch):
+    drawn = random.Random(8)
+    df = spark.createDataFrame([(drawn.choice([None, 7.0, drawn.gauss(0, 9)]), drawn.choice(["a", "b", None])) for _ in range(800)], "x double, s string")
+    one = statistics.analyze(df, ["x", "s"], target=3, parts=20)
+    placed, whole = [], statistics._placed
+    monkeypatch.setattr(statistics, "_placed", lambda counts: placed.append(counts) or whole(counts))
+    many = statistics.analyze(df, ["x", "s"], target=3, parts=20, most=50)
+    assert one == many and len(placed) == 1 and one.columns["x"].common == (7.0,)
+    rest = df.where("x <> 7").agg(F.percentile("x", F.array(*(F.lit(i / 20) for i in range(21))))).first()[0]
+    assert list(many.columns["x"].bounds) == rest and statistics.analyze(df.where("false"), ["x"]).columns["x"].bounds == ()
+
+
+def test_each_column_is_counted_once(spark, tmp_path):
+    spark.range(100).selectExpr("id % 7 AS a", "id % 3 = 0 AS b").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    spark.sparkContext.setJobGroup("analyze-once", "")
+    try:
+        statistics.analyze(df, ["a", "b"])
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    from farsight.operators.timed import _group_totals
+
+    assert _group_totals(spark, "analyze-once")[0] <= 2 * 100 + 2 * 10  # the table by column, and the kept counts
