@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from farsight.functions.vectors import batch_distances
+from farsight.operators.search import TILE, Nearest, matrix
 from farsight.sources.shelves import Shelves, asked
 
 #: Shelves of each query in the first round, and how many times more each further round takes.
@@ -58,6 +58,17 @@ def _route(shelves: Shelves, state: DataFrame, take: int) -> DataFrame:
     return state.select("query_id", "qvec", "gaps", "bound", "done").mapInPandas(route, "shelf long, query_id long, qvec array<double>, bound double, done long")
 
 
+def nearest_in_shelf(x: np.ndarray, ids: np.ndarray, ok: np.ndarray, asks: pa.RecordBatch, most: int) -> Iterator[pd.DataFrame]:
+    """The `most` nearest rows of a shelf within the bound of each ask, if it has one; a tile of asks at a time."""
+    for a in range(0, asks.num_rows, TILE):
+        some = asks.slice(a, TILE)
+        kept = Nearest(some.column("query_id").to_numpy(), matrix(some.column("qvec")), most, "l2")
+        kept.last = np.array(some.column("bound").fill_null(np.inf))
+        kept.add(x, ids, ok)
+        for found in kept.found():
+            yield found.to_pandas()
+
+
 def _merge(rows: DataFrame, k: int, max_scan: int) -> DataFrame:
     """The nearest `max_scan` rows of each query, with their place and the rank of those that pass."""
     order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
@@ -83,13 +94,7 @@ def iterative_scan(shelves: Shelves, queries: DataFrame, k: int, passes: Column,
         return pd.Series(list(centres.gaps(np.stack(v.to_numpy()).astype(np.float64))))
 
     def nearest(rows: dict, asks: pa.RecordBatch) -> Iterator[pd.DataFrame]:
-        ids, ok, out = rows[id_col].to_numpy(), rows["passes_"].to_numpy(zero_copy_only=False), []
-        for q, v, bound in zip(asks.column("query_id").to_numpy(), asks.column("qvec"), asks.column("bound").to_pylist(), strict=True):
-            d = batch_distances(rows["x"], v.values.to_numpy(), "l2")
-            some = np.flatnonzero(d <= bound) if bound is not None else np.arange(len(d))
-            some = some[np.lexsort((ids[some], d[some]))][:max_scan]
-            out.append(pd.DataFrame({"query_id": q, "vec_id": ids[some], "distance": d[some], "passes": ok[some]}))
-        yield pd.concat(out)
+        return nearest_in_shelf(rows["x"], rows[id_col].to_numpy(), rows["passes_"].to_numpy(zero_copy_only=False), asks, max_scan)
 
     start = written(queries.select("query_id", F.col("qvec").cast("array<double>").alias("qvec")).withColumn("gaps", gaps("qvec")), "queries")
     state = start.select("*", F.lit(None).cast("double").alias("bound"), F.lit(0).cast("long").alias("done"))

@@ -24,6 +24,8 @@ from farsight.sources.shelves import Shelves, asked, write_shelves
 DEGREE, MOST_LINKS, FAR, ENTRIES = 12, 32, 2, 4
 #: Nearest rows that links are chosen from.
 CANDIDATES = 48
+#: Walks whose rows are given out at once.
+FRAMES = 256
 
 
 def link_rows(x: np.ndarray, degree: int = DEGREE, most: int = MOST_LINKS, far: int = FAR, candidates: int = CANDIDATES, seed: int = 5) -> np.ndarray:
@@ -151,7 +153,11 @@ def search_graph(graph: Shelves, queries: DataFrame, k: int, *, ef: int = 40, pr
         for q, v in zip(asks.column("query_id").to_numpy(), asks.column("qvec"), strict=True):
             at, d, compared = best_first(x, links, v.values.to_numpy(), ef, entries)
             out.append(pd.DataFrame({"query_id": q, "vec_id": ids[at], "distance": np.sqrt(d), "passes": passing[at], "compared": np.where(np.arange(len(at)) == 0, compared, 0)}))
-        yield pd.concat(out)
+            if len(out) == FRAMES:
+                yield pd.concat(out)
+                out = []
+        if out:
+            yield pd.concat(out)
 
     asks = queries.select("query_id", F.col("qvec").cast("array<double>").alias("qvec")).mapInPandas(route, "shelf long, query_id long, qvec array<double>")
     met = asked(flagged, asks, [id_col, "links", "passes_"], walk, "query_id long, vec_id long, distance double, passes boolean, compared long", vec_col=vec_col)

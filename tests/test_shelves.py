@@ -1,6 +1,8 @@
 """Shelves, the resumable scan and the neighbour graph against brute force."""
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +115,16 @@ def test_queries_that_start_from_a_row_stand_its_absence(spark, tmp_path):
     for name in ("src2_single_search", "dsg1_projection_tail"):
         assert catalog.QUERIES[name](spark, f"file://{tmp_path}").count() == 0
     assert len(layouts.fit_centres(spark.createDataFrame([], "vec_id long, embedding array<float>"), 3)) == 0
+
+
+def test_asks_of_a_shelf_are_answered_by_tile():
+    r = np.random.default_rng(4)
+    x, v = r.normal(size=(300, 6)), r.normal(size=(2 * search.TILE + 5, 6))
+    bounds = [None if i % 3 else 2.0 for i in range(len(v))]
+    asks = pa.RecordBatch.from_pydict({"query_id": pa.array(range(len(v)), pa.int64()), "qvec": v.tolist(), "bound": pa.array(bounds, pa.float64())})
+    frames = list(resumable.nearest_in_shelf(x, np.arange(300), np.ones(300, bool), asks, 20))
+    assert max(map(len, frames)) <= 20 * search.TILE
+    found = {q: part["vec_id"].tolist() for q, part in pd.concat(frames).groupby("query_id")}
+    for q, bound in enumerate(bounds):
+        d = np.sqrt(((x - v[q]) ** 2).sum(axis=1))
+        assert found.get(q, []) == [i for i in np.argsort(d, kind="stable")[:20] if bound is None or d[i] <= bound]
