@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farsight.llm.shared import written
+from farsight.llm.shared import removed, written
 
 
 def _stars(links: DataFrame, large: bool) -> DataFrame:
@@ -33,14 +33,15 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) for every node with a link; a component is named by its smallest node.
 
     links: two columns of one orderable type. Links of a node to itself and repeated links change nothing.
-    Each round is written to the shared folder, so no round is ever computed again.
+    Each round is written to the shared folder, so no round is ever computed again; the round before then goes.
     """
     a, b = links.columns
     kind = links.schema[a].dataType
     now = links.select(F.greatest(a, b).cast(kind).alias("a"), F.least(a, b).cast(kind).alias("b")).where("a <> b").distinct()
     now = written(now, name)
     while not _are_stars(now):
-        now = written(_stars(_stars(now, True), False), name)
+        before, now = now, written(_stars(_stars(now, True), False), name)
+        removed(before)
     leaves = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return leaves.unionAll(roots)

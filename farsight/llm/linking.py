@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from farsight.llm.components import components
-from farsight.llm.shared import written
+from farsight.llm.shared import scratch, written
 
 #: Members of a block of a bucket; a task compares two blocks at a time.
 BLOCK = 2048
@@ -101,8 +101,10 @@ def early_shingles(shingles: DataFrame, similarity: float) -> DataFrame:
     """
     holders = shingles.groupBy("shingle").agg(F.count("*").alias("n"))
     own = Window.partitionBy("node")
-    ordered = own.orderBy("n", "shingle").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    ranked = shingles.join(holders, "shingle").select("node", "shingle", "n", F.sum("weight").over(own).alias("all"), F.sum("weight").over(ordered).alias("rest"))
+    # a sum up to the row: one from the row on is added up anew for each row
+    until = F.sum("weight").over(own.orderBy("n", "shingle").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    every = F.sum("weight").over(own)
+    ranked = shingles.join(holders, "shingle").select("node", "shingle", "n", every.alias("all"), (every - until + F.col("weight")).alias("rest"))
     return ranked.where((F.col("n") > 1) & (F.col("rest") >= F.lit(similarity) * F.col("all") - F.lit(1e-9))).drop("n")
 
 
@@ -141,7 +143,8 @@ def linked_components(
     for pairs in (heads, rest):
         if split.isEmpty():
             break
-        found = written(verified(written(pairs(), f"{name}-pairs")), f"{name}-links")
+        with scratch() as kept:
+            found = kept(verified(written(pairs(), f"{name}-pairs")), f"{name}-links")
         if not found.isEmpty():
             # the stars of before stand for the links that made them
             stars = joined.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))

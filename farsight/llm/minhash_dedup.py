@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farsight.llm import linking
-from farsight.llm.shared import documents, sliced, text_or_empty, written
+from farsight.llm.shared import documents, removed, scratch, sliced, text_or_empty, written
 from farsight.llm.textnum import SPACES_AND_MARKS, Words, chunks, mix
 
 _U = np.uint64
@@ -206,26 +206,32 @@ def _alike(k: int, similarity: float):
 def duplicate_classes(docs: DataFrame, *, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, node, class_id, class_size) for every row of `docs` (doc_id, text); class_id is the smallest doc_id of the class."""
     keyed = docs.select(F.coalesce("doc_id", F.lit(_LOWEST)).alias("key"), text_or_empty().alias("text"))
-    sketched = written(sketch(keyed, bands * rows, rows), "sketches")
-    some = sketched.where("words > 0")
-    nodes = written(some.groupBy("node").agg(F.min("key").alias("key"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "nodes")
-    members = nodes.select(F.explode("bands").alias("bucket"), "node")
-    centred = written(linking.central(written(linking.shared_buckets(members), "shared")), "buckets")
-    signatures = nodes.select("node", "signature")
-
-    wanted = centred.select("node").distinct().join(nodes.select("node", "key"), "node")
-    shingles = written(shingle_table(keyed, wanted), "shingles")
-    links = written(verified(written(linking.first_pairs(centred), "pairs"), shingles, similarity), "links")
-    # ten coordinates of the signature make a part
-    finer = [F.expr(f"(signature[{i}] >> {20 * j}) & 1048575L") for i in range(bands * rows // PER_LONG) for j in range(2)]
-    joined = linking.linked_components(
-        centred, signatures, links, lambda pairs: verified(pairs, shingles, similarity), _alike(bands * rows, similarity), finer,
-        lambda nodes: weighted_shingles(shingles.join(nodes, "node", "left_semi")), similarity, "near",
-    )
-    classes = nodes.select("node", "key", "copies").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    heads = classes.groupBy("component").agg(F.min("key").alias("head"), F.sum("copies").alias("class_size"))
-    heads = classes.join(heads, "component").select("node", "head", "class_size")
-    found = sketched.select("key", F.when(F.col("words") > 0, F.col("node")).alias("node")).join(heads, "node", "left")
+    with scratch() as kept:
+        sketched = written(sketch(keyed, bands * rows, rows), "sketches")
+        some = sketched.where("words > 0")
+        nodes = written(some.groupBy("node").agg(F.min("key").alias("key"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "nodes")
+        known = written(sketched.select("key", F.when(F.col("words") > 0, F.col("node")).alias("node")), "keys")
+        removed(sketched)
+        buckets = written(linking.shared_buckets(nodes.select(F.explode("bands").alias("bucket"), "node")), "shared")
+        centred = written(linking.central(buckets), "buckets")
+        removed(buckets)
+        signatures = nodes.select("node", "signature")
+
+        with scratch() as linked:
+            wanted = centred.select("node").distinct().join(nodes.select("node", "key"), "node")
+            shingles = written(shingle_table(keyed, wanted), "shingles")
+            links = written(verified(written(linking.first_pairs(centred), "pairs"), shingles, similarity), "links")
+            # ten coordinates of the signature make a part
+            finer = [F.expr(f"(signature[{i}] >> {20 * j}) & 1048575L") for i in range(bands * rows // PER_LONG) for j in range(2)]
+            joined = linking.linked_components(
+                centred, signatures, links, lambda pairs: verified(pairs, shingles, similarity), _alike(bands * rows, similarity), finer,
+                lambda nodes: weighted_shingles(shingles.join(nodes, "node", "left_semi")), similarity, "near",
+            )
+            joined = linked(joined, "joined")
+        classes = nodes.select("node", "key", "copies").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        heads = classes.groupBy("component").agg(F.min("key").alias("head"), F.sum("copies").alias("class_size"))
+        heads = classes.join(heads, "component").select("node", "head", "class_size")
+        found = kept(known.join(heads, "node", "left"), "classes")
     plain = lambda c: F.nullif(c, F.lit(_LOWEST))
     return found.select(plain(F.col("key")).alias("doc_id"), "node", plain(F.coalesce("head", "key")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
 

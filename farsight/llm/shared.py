@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,10 @@ from pyspark.sql import functions as F
 from farsight.sources.shared import shared_base
 
 
+#: Tables that written() made in the innermost scratch().
+_MADE: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole `documents` table."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -26,7 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a table in the shared folder, read back: its lineage ends there, and a lost executor costs no recomputation.
 
-    The files go when the session ends. Shuffle files that nothing refers to any more go at once.
+    The files go with removed(), at the end of scratch(), or else when the session ends. Shuffle files that nothing
+    refers to any more go at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -40,7 +47,41 @@ def written(df: DataFrame, name: str) -> DataFrame:
     for _ in range(2):
         gc.collect()
         jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    table = spark.read.schema(schema).parquet(path)
+    table.written_at = where
+    if (made := _MADE.get()) is not None:
+        made.append(table)
+    return table
+
+
+def removed(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more. Once deleted, a table is passed over."""
+    for table in tables:
+        where = table.written_at
+        where.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A block at whose end the tables go that were written() in it; the function given is a written() for what outlives it.
+
+    What leaves the block must read no other table of the block.
+    """
+    outer = _MADE.get()
+    token = _MADE.set(made := [])
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        inner = _MADE.set(outer)
+        try:
+            return written(df, name)
+        finally:
+            _MADE.reset(inner)
+
+    try:
+        yield kept
+    finally:
+        _MADE.reset(token)
+        removed(*made)
 
 
 def text_or_empty(col: str = "text"):

@@ -3,12 +3,13 @@
 import hashlib
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from farsight.llm import components, fingerprints, line_dedup, linking, minhash_dedup, substring_dedup
+from farsight.llm import components, fingerprints, line_dedup, linking, minhash_dedup, shared, substring_dedup
 from farsight.llm.textnum import Words
 
 
@@ -334,3 +335,26 @@ def test_fingerprints_awkward_rows(spark, corpus):
     found = fingerprints.with_next(df).collect()
     assert len(found) == len(rows) and all(r["next_text"] is not None for r in found)
     assert fingerprints.with_next(df.limit(0)).count() == 0
+
+
+def _tables(spark):
+    folder = Path(shared.shared_dir(spark).removeprefix("file:"))
+    return {p.name for p in folder.iterdir() if any(p.iterdir())} if folder.exists() else set()
+
+
+def test_scratch_tables_go_with_their_block(spark):
+    before = _tables(spark)
+    one = lambda: spark.range(3).toDF("n")
+    with shared.scratch() as outlives:
+        shared.written(one(), "outer")
+        with shared.scratch() as inner:
+            shared.written(one(), "gone")
+            stays = inner(one(), "inner")
+        assert {x.rpartition("-")[0] for x in _tables(spark) - before} == {"outer", "inner"} and stays.count() == 3
+        last = outlives(stays.selectExpr("n + 1 AS n"), "last")
+    with pytest.raises(ZeroDivisionError), shared.scratch():
+        shared.written(one(), "failed")
+        raise ZeroDivisionError
+    assert {x.rpartition("-")[0] for x in _tables(spark) - before} == {"last"} and last.count() == 3
+    shared.removed(last, last)
+    assert _tables(spark) == before
