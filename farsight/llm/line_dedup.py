@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farsight.llm import linking
-from farsight.llm.shared import documents, written
+from farsight.llm.shared import documents, removed, scratch, written
 
 MIN_CHARS = 8
 SHINGLE = 8
@@ -91,11 +91,18 @@ def _alike(similarity: float):
 
 
 def line_components(lines: DataFrame, similarity: float) -> DataFrame:
-    """(node, component) of the nodes with a verified link; lines: distinct lines (node, line)."""
-    signed = written(_signed(lines), "line-signatures")
+    """(node, component) of the nodes with a verified link; lines: (node, line), where nodes may repeat. To be called in scratch()."""
+    # dealt by node once, for the distinct lines and for their minima
+    signed = written(_signed(lines.dropDuplicates(["node"])), "line-signatures")
     members = signed.select(F.explode("bands").alias("bucket"), "node")
-    centred = written(linking.central(written(linking.shared_buckets(members), "line-buckets")), "line-centres")
-    signatures = signed.select("node", "signature")
+    buckets = written(linking.shared_buckets(members), "line-buckets")
+    # all that follows is of nodes that share a bucket
+    near = written(buckets.select("node").distinct(), "line-near")
+    signatures = written(signed.select("node", "signature").join(near, "node", "left_semi"), "line-bits")
+    removed(signed)
+    lines = written(lines.join(near, "node", "left_semi").dropDuplicates(["node"]), "lines")
+    centred = written(linking.central(buckets), "line-centres")
+    removed(buckets, near)
 
     def verified(pairs: DataFrame) -> DataFrame:
         for x in "ab":
@@ -115,16 +122,19 @@ def line_components(lines: DataFrame, similarity: float) -> DataFrame:
 def removed_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, similarity: float = SIMILARITY) -> DataFrame:
     """(key, drop): for each key of docs (key, text) that loses lines, the numbers of these lines, from 0."""
     found = _lines(docs, min_chars)
-    lines = written(found.select("node", "line").dropDuplicates(["node"]), "lines")
-    joined = line_components(lines, similarity)
-    # a node with one place and no link loses nothing
-    places = written(found.select("node", "key", "at"), "line-places")
-    again = places.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node", F.col("node").alias("component"))
-    linked = joined.unionAll(again.join(joined, "node", "left_anti"))
-    linked = written(places.join(linked, "node").select("component", "key", "at"), "line-copies")
-    heads = written(linked.groupBy("component").agg(F.min(F.struct("key", "at")).alias("head")), "line-heads")
-    gone = linked.join(heads, "component").where((F.col("key") != F.col("head.key")) | (F.col("at") != F.col("head.at")))
-    return gone.groupBy("key").agg(F.collect_set("at").alias("drop"))
+    with scratch() as kept:
+        with scratch() as linked:
+            # what the components were found by goes here
+            joined = linked(line_components(found.select("node", "line"), similarity), "line-joined")
+        # a node with one place and no link loses nothing
+        places = written(found.select("node", "key", "at"), "line-places")
+        again = places.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node", F.col("node").alias("component"))
+        every = joined.unionAll(again.join(joined, "node", "left_anti"))
+        copies = written(places.join(every, "node").select("component", "key", "at"), "line-copies")
+        removed(joined, places)
+        heads = written(copies.groupBy("component").agg(F.min(F.struct("key", "at")).alias("head")), "line-heads")
+        gone = copies.join(heads, "component").where((F.col("key") != F.col("head.key")) | (F.col("at") != F.col("head.at")))
+        return kept(gone.groupBy("key").agg(F.collect_set("at").alias("drop")), "line-drops")
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:

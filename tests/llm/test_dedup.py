@@ -342,6 +342,17 @@ def _tables(spark):
     return {p.name for p in folder.iterdir() if any(p.iterdir())} if folder.exists() else set()
 
 
+def test_of_many_tables_one_stays(spark, corpus):
+    # chains of near texts, so that components take some rounds and no round of the linking is left out
+    lines = [corpus.text(40) for _ in range(4)]
+    rows = [(i, "\n".join(corpus.edited(x, i % 3) for x in lines)) for i in range(12)]
+    for result, stays in ((line_dedup.dedup_lines, "line-drops"), (minhash_dedup.duplicate_classes, "classes")):
+        before = _tables(spark)
+        found = result(corpus.frame(rows))
+        assert [x.rpartition("-")[0] for x in _tables(spark) - before] == [stays]
+        assert found.count() == 12  # which reads no table that went
+
+
 def test_scratch_tables_go_with_their_block(spark):
     before = _tables(spark)
     one = lambda: spark.range(3).toDF("n")
