@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farsight.llm import linking
-from farsight.llm.shared import documents, removed, scratch, sliced, text_or_empty, written
+from farsight.llm.shared import documents, removed, scratch, sliced, small_batches, text_or_empty, written
 from farsight.llm.textnum import SPACES_AND_MARKS, Words, chunks, mix
 
 _U = np.uint64
@@ -136,6 +136,7 @@ def sketch(docs: DataFrame, k: int = BANDS * ROWS, rows: int = ROWS) -> DataFram
                 columns = [keys.slice(a, b - a), pa.array(_node(words)), pa.array(words.count.astype(np.int64)), bands, signature]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "words", "bands", "signature"])
 
+    small_batches(docs.sparkSession)
     return docs.select("key", "text").mapInArrow(batches, "key long, node long, words long, bands array<long>, signature array<long>")
 
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from farsight.llm.shared import documents, sliced, written
+from farsight.llm.shared import documents, sliced, small_batches, written
 from farsight.llm.textnum import chunks
 
 CAPACITY = 4096
@@ -175,6 +175,7 @@ def _tokenized(docs: DataFrame, path: str, capacity: int, keep_ids: bool) -> Dat
             within = number(columns[3].to_numpy())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(rows), task, np.int32)), pa.array(within)], names=[*(n for n, _ in kinds), "task_", "within_"])
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(batches, schema)
 
 

@@ -19,8 +19,22 @@ from farsight.sources.shared import shared_base
 _MADE: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
 
 
+#: Rows and bytes of an Arrow batch of texts.
+_BATCH = {"maxRecordsPerBatch": 1000, "maxBytesPerBatch": 4 << 20}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands texts to Python in small batches: those of 10,000 rows stand in the executor's and the worker's memory, which both keep."""
+    for name, most in _BATCH.items():
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key)
+        if not now.isdigit() or not 0 < int(now) <= most:  # 0: no limit
+            spark.conf.set(key, str(most))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole `documents` table."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

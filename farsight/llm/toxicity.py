@@ -24,7 +24,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farsight.llm.shared import documents, text_or_empty, written
+from farsight.llm.shared import documents, small_batches, text_or_empty, written
 from farsight.llm.textnum import chunks
 
 FEATURES = (
@@ -107,6 +107,7 @@ def features_of(texts: list[str], marks: _Marks) -> np.ndarray:
 
 def with_features(docs: DataFrame, lexicon: dict[str, int], text: str = "text") -> DataFrame:
     """`docs` without its text, with an array column `features`."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     @F.pandas_udf("array<double>")

@@ -5,9 +5,10 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from farsight.llm import decontamination, packing
+from farsight.llm import decontamination, packing, shared
 
 
 def _check(placed, capacity):
@@ -81,6 +82,23 @@ def test_encoder_agrees_with_the_tokenizer(monkeypatch):
     assert 0 < len(encoder.known) <= 60
 
 
+def test_texts_go_to_python_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.range(5000).selectExpr("id AS doc_id", "'some text' AS text").coalesce(1)
+    try:
+        for given, then in (("10000", "1000"), ("0", "1000"), ("70", "70")):
+            spark.conf.set(key, given)
+            packing.tokenize(docs, packing.tokenizer_path())
+            assert spark.conf.get(key) == then
+        spark.conf.set(key, "10000")
+        shared.small_batches(spark)
+        sizes = docs.mapInArrow(lambda it: (b.slice(0, 1).set_column(0, "doc_id", pa.array([b.num_rows])) for b in it), "doc_id long, text string")
+        assert [r[0] for r in sizes.collect()] == [1000] * 5
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_pieces_of_any_table_are_placed(spark):
     lengths = [3, 3, 5, 12, 7, 7, 1, 1, 1, 4] * 9
     df = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "name long, length long").repartition(3)
