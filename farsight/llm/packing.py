@@ -11,10 +11,10 @@ are packed once each; an empty table gives no rows; further input columns are ig
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
-from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -41,6 +41,10 @@ _AT_ONCE = 1 << 20
 _PLAIN_LETTERS = re.compile("[A-Za-z\u00c0-\u012f\u0131-\u017f]+")
 #: Blank to Python but not to the tokenizer.
 _ODD_BLANKS = "\x1c\x1d\x1e\x1f"
+#: What is not to be put in lower case here: letters that lower() and the tokenizer may treat differently, and what could become a special token.
+_NOT_PLAIN = re.compile("[^\x00-\u012f\u0131-\u017f]|<\\|")
+#: The marks that end a part, after a letter or digit: the tokenizer cuts there.
+_LAST_MARKS = re.compile(r"[!-/:-@[-`{-~](?<=[^\W_].)[!-/:-@[-`{-~]*(?=\s|\Z)")
 
 
 def tokenizer_path() -> str:
@@ -59,6 +63,96 @@ def _bytes_shown() -> dict[int, int]:
 _BYTES_SHOWN = _bytes_shown()
 
 
+class _Merges:
+    """The merges of a byte-level tokenizer, applied to many words at once: in each round every word joins its first pair of least rank."""
+
+    _TIMES, _BITS = np.uint64(0x9E3779B97F4A7C15), 18
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        if model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")):
+            raise ValueError(f"{path} is no plain table of merges")
+        ids, shown = model["vocab"], [chr(_BYTES_SHOWN.get(b, b)) for b in range(256)]
+        #: the first symbol of each byte, within a word and at its end
+        self.inner, self.last = (np.array([ids[c + tail] for c in shown], np.int64) for tail in ("", model.get("end_of_word_suffix") or ""))
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        left, right, made = (np.array(x, np.int64) for x in zip(*((ids[a], ids[b], ids[a + b]) for a, b in pairs), strict=True))
+        keys = left << 32 | right
+        self.none = len(pairs)
+        self.made = np.append(made, -1)
+        # a hash table; a pair whose place is taken goes to the next free one
+        self.keys, self.ranks = np.full(1 << self._BITS, -1, np.int64), np.full(1 << self._BITS, self.none, np.int64)
+        todo, at = np.arange(len(keys)), self._place(keys)
+        while len(todo):
+            free = self.keys[at] < 0
+            _, first = np.unique(at[free], return_index=True)
+            goes = np.flatnonzero(free)[first]
+            self.keys[at[goes]], self.ranks[at[goes]] = keys[todo[goes]], todo[goes]
+            stays = np.ones(len(todo), bool)
+            stays[goes] = False
+            # of those that found a free place, the ones that came too late try again beyond it
+            todo, at = todo[stays], (at[stays] + 1) & ((1 << self._BITS) - 1)
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * self._TIMES >> np.uint64(64 - self._BITS)).view(np.int64)
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left << 32 | right
+        at = self._place(keys)
+        found, ranks = self.keys[at], self.ranks[at]
+        far = np.flatnonzero((found != keys) & (found >= 0))
+        while len(far):
+            at[far] = (at[far] + 1) & ((1 << self._BITS) - 1)
+            found[far], ranks[far] = self.keys[at[far]], self.ranks[at[far]]
+            far = far[(found[far] != keys[far]) & (found[far] >= 0)]
+        return np.where(found == keys, ranks, self.none)
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each word: letters only, normalised, not empty."""
+        if not words:
+            return []
+        data = np.frombuffer("\n".join([*words, ""]).encode(), np.uint8)
+        ends = np.flatnonzero(data == 10)
+        first = np.concatenate([[0], ends[:-1] + 1])
+        symbols = self.inner[data]
+        symbols[ends - 1] = self.last[data[ends - 1]]
+        out, size = np.full(len(data), -1, np.int64), ends - first
+        # `where` is the place in `out` at which the word of a symbol begins; a word is done when none of its pairs is known
+        word, symbols = np.repeat(np.arange(len(words)), size), symbols[data != 10]
+        where = first
+        pair = np.append(np.where(word[1:] == word[:-1], self._rank(symbols[:-1], symbols[1:]), self.none), self.none)
+        while len(symbols):
+            start = np.flatnonzero(np.diff(word, prepend=-1))
+            best = np.minimum.reduceat(pair << 32 | np.arange(len(pair)), start)
+            goes = best >> 32 < self.none
+            if not goes.all():
+                size = np.diff(np.append(start, len(symbols)))
+                done = np.repeat(~goes, size)
+                out[where[word[done]] + np.flatnonzero(done) - np.repeat(start[~goes], size[~goes])] = symbols[done]
+                shift = np.cumsum(done)
+                best = best[goes]
+                best -= shift[best & 0xFFFFFFFF]
+                symbols, word, pair = symbols[~done], word[~done], pair[~done]
+                if not len(symbols):
+                    break
+            at = best & 0xFFFFFFFF
+            symbols[at] = self.made[best >> 32]
+            keep = np.ones(len(symbols), bool)
+            keep[at + 1] = False
+            at -= np.arange(len(at))
+            symbols, word, pair = symbols[keep], word[keep], pair[keep]
+            # the pairs on both sides of what was joined
+            for x in (at, at - 1):
+                x = x[(x >= 0) & (x + 1 < len(symbols))]
+                pair[x] = np.where(word[x] == word[x + 1], self._rank(symbols[x], symbols[x + 1]), self.none)
+            if len(symbols):
+                pair[-1] = self.none
+        held = out >= 0
+        raw, stop = out[held].astype("<u4").tobytes(), (4 * np.cumsum(held)[ends]).tolist()
+        return [raw[a:b] for a, b in zip([0, *stop[:-1]], stop, strict=True)]
+
+
 class _Encoder:
     """Token ids of texts. This tokenizer joins nothing across blanks, so blank-separated parts are encoded once per batch, frequent ones once per task."""
 
@@ -70,24 +164,14 @@ class _Encoder:
         self.known: dict[str, bytes] = {}
         self.mark = "\x01"
         (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
-        self.merges = self.tokenizer.model
-        self.stops = {c: self._ids(c) for c in ".,"}
+        self.merges = _Merges(path)
 
     def _learn(self, parts: Iterable[str]) -> dict[str, bytes]:
-        """The ids of parts. Most are a word with or without a last "." or ",", which is a token of its own."""
-        out, words, whole, known = {"": b""}, {}, [], self.known
+        """The ids of parts. Most are a word, which needs the merges alone: no normalising but lower case, and no cutting."""
+        words, whole = [], []
         for part in parts:
-            core, tail = part, b""
-            if part[-1:] in self.stops:
-                core, tail = part[:-1], self.stops[part[-1]]
-            if core.isalpha() and (core.isascii() or _PLAIN_LETTERS.fullmatch(core)):
-                core = core.lower()
-                code = known.get(core) or words.get(core)
-                if code is None:
-                    code = words[core] = self._word(core)
-                out[part] = code + tail
-            elif part:
-                whole.append(part)
+            (words if part.isalpha() and (part.isascii() or _PLAIN_LETTERS.fullmatch(part)) else whole).append(part)
+        out = dict(zip(words, self.merges.ids([*map(str.lower, words)]), strict=True))
         odd = [p for p in whole if self.mark in p or "<|" in p]  # these may hold the mark's token, so they go one by one
         for part in odd:
             out[part] = self._ids(part)
@@ -102,19 +186,23 @@ class _Encoder:
                 out[part] = raw[a:b]
         return out
 
-    def _word(self, core: str) -> bytes:
-        """Ids of one lower-case word, by the merges alone: it needs no normalising and no cutting."""
-        shown = core if core.isascii() else core.encode().decode("latin-1").translate(_BYTES_SHOWN)
-        return array("I", [t.id for t in self.merges.tokenize(shown)]).tobytes()
-
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    @staticmethod
+    def _parts(text: str) -> list[str]:
+        """What is encoded one by one. Plain text goes in lower case with the last marks of its parts apart, so that a word is one part in all its forms."""
+        if any(c in text for c in _ODD_BLANKS):
+            return [text]
+        if "<|" not in text if text.isascii() else not _NOT_PLAIN.search(text):
+            text = _LAST_MARKS.sub(r" \g<0>", text.lower())
+        return text.split()
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text, with END."""
         end = np.array([END], "<u4").tobytes()
         for a, b in chunks(texts, _AT_ONCE):
-            parts = [[t] if any(c in t for c in _ODD_BLANKS) else t.split() for t in texts[a:b]]
+            parts = [self._parts(t) for t in texts[a:b]]
             flat = list(chain.from_iterable(parts))
             codes = list(map(self.known.get, flat))
             missing = [i for i, code in enumerate(codes) if code is None]

@@ -82,6 +82,24 @@ def test_encoder_agrees_with_the_tokenizer(monkeypatch):
     assert 0 < len(encoder.known) <= 60
 
 
+def test_a_word_is_learned_once_in_all_its_forms():
+    encoder = packing._Encoder(packing.tokenizer_path())
+    text = "Straw straw, STRAW. (straw) straw!!! \u00c9t\u00e9 \u00e9t\u00e9.%%% it's its'. straw_ <straw> |"
+    (code,) = encoder.encode([text])
+    assert np.frombuffer(code, "<u4").tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 1]
+    assert encoder._parts(text)[:5] == ["straw", "straw", ",", "straw", "."]
+    assert {"(straw", "<straw", "straw", "\u00e9t\u00e9"} >= {p for p in encoder._parts(text) if "straw" in p or "t\u00e9" in p}
+    assert encoder._parts("A <|endoftext|> B.") == ["A", "<|endoftext|>", "B."] and encoder._parts("\u4e2d. B.") == ["\u4e2d.", "B."]
+
+
+def test_merges_of_many_words_agree_with_the_tokenizer():
+    encoder, r = packing._Encoder(packing.tokenizer_path()), random.Random(11)
+    letters = "etaoinshrdlu\u00e9\u00f1\u00f6\u00df\u0153\u0101"
+    words = ["a", "\u00e9", "aaaaaaaaaaaaa", *("".join(r.choice(letters) for _ in range(r.randrange(1, 30))) for _ in range(4000)), "thethethethe" * 40]
+    expected = [np.array(encoder.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+    assert encoder.merges.ids(words) == expected and encoder.merges.ids([]) == []
+
+
 def test_texts_go_to_python_in_small_batches(spark):
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
