@@ -139,9 +139,10 @@ def removed_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, similarity: fl
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` (doc_id, text, ...) as (row, text, n_lines, n_removed): all columns in `row`, and the new text."""
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("doc_id", F.lit(_LOWEST)).alias("key"), "text")
-    gone = removed_lines(keyed.select("key", "text"), **options)
-    both = keyed.join(gone, "key", "left")
+    key = F.coalesce("doc_id", F.lit(_LOWEST)).alias("key")
+    gone = removed_lines(docs.select(key, "text"), **options)
+    # the text goes through the shuffle once, and no whole texts are sorted
+    both = docs.select(F.struct(*docs.columns).alias("row"), key).join(gone.hint("shuffle_hash"), "key", "left").withColumn("text", F.col("row").getField("text"))
     lines = F.split("text", "\n")
     kept = F.when(F.col("drop").isNull(), lines).otherwise(F.filter(lines, lambda x, i: ~F.array_contains("drop", i)))
     both = both.select("row", F.size(lines).alias("n"), kept.alias("kept"), F.col("text").isNull().alias("none"), "text", "drop")

@@ -337,6 +337,14 @@ def test_fingerprints_awkward_rows(spark, corpus):
     assert fingerprints.with_next(df.limit(0)).count() == 0
 
 
+def test_texts_are_dealt_out_once_and_unsorted(spark, corpus):
+    found = line_dedup.dedup_lines(corpus.frame([(i, "a line that stands in both\n" + corpus.text(9)) for i in range(2)]))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # below the join stand the row and its key only
+    assert "shuffle_hash" in plan and re.search(r" AS row#\d+, coalesce\(doc_id#\d+L?, \S+\) AS key#\d+L?\]", plan)
+    assert sorted(r["n_removed"] for r in found.collect()) == [0, 1]
+
+
 def _tables(spark):
     folder = Path(shared.shared_dir(spark).removeprefix("file:"))
     return {p.name for p in folder.iterdir() if any(p.iterdir())} if folder.exists() else set()
