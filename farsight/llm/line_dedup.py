@@ -1,9 +1,10 @@
 """Fuzzy line dedup by MinHash, with DataFrame operations only.
 
 A line counts in lower case without outer blanks. Its character shingles are the runs of eight characters at every
-position; a shorter line is one run. Equal lines, by a 64-bit hash, are one node and are signed once. Signatures of
-36 minima make nine bands of four; buckets give candidate links (see linking), each verified on the exact Jaccard
-likeness of the shingle sets. Of each component of the links one line stays: the one at the smallest place
+position; a shorter line is one run. Equal lines, by a 64-bit hash, are one node. Signatures of 36 minima make nine
+bands of four; buckets give candidate links (see linking), each verified on the exact Jaccard likeness of the shingle
+sets. The four minima of a band are of four hashes of a shingle, and the bands read these in orders that begin in
+different parts of their range. Of each component of the links one line stays: the one at the smallest place
 (doc_id, line number).
 
 Defined results: a null text is kept as it is and has no lines; blank lines and lines shorter than `min_chars`
@@ -31,9 +32,12 @@ SIMILARITY = 0.8
 #: Minima of which the signature keeps four bits each, in longs of 16.
 MARKED, PER_LONG = 32, 16
 _LOWEST = -(1 << 63)
-_LOW = 0xFFFFFFFF
-#: A segment holds the characters of so many shingles.
+#: Upper four bits of the first hash of a shingle at which the bands begin; they go on by these steps with the other hashes.
+_BEGIN, _STEP = (0, 8, 4, 12, 2, 10, 6, 14, 1), (1, 2, 4, 5)
+#: A row of hashes, or a segment, is of so many shingles.
 _AT_ONCE = 8
+#: Bytes of a character in UTF-32, where a shingle is found without a walk through the line.
+_WIDE = 4
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -61,24 +65,31 @@ def _shingle_set(line, at_once: int = 16):
     return F.array_distinct(F.flatten(F.transform(_segments(line, at_once), one)))
 
 
-def _permuted(h: str, i: int):
-    """The i-th permutation of the 32-bit numbers in a column: times an odd random number, all within 63 bits."""
-    drawn = random.Random(i)
-    times, apart = drawn.getrandbits(31) | 1, drawn.getrandbits(32)
-    return (F.col(h) * F.lit(times).cast("long")).bitwiseAND(F.lit(_LOW)).bitwiseXOR(F.lit(apart).cast("long"))
+def _order(b: int, r: int):
+    """What the r-th hashes of shingles are xor-ed with for band b: the hash least far from it, bit by bit, comes first."""
+    drawn = random.Random(b * ROWS + r).getrandbits(28) | _BEGIN[b * _STEP[r] % BANDS] << 28
+    return F.lit(drawn - (1 << 31)).cast("int")
+
+
+def _hashed(lines: DataFrame) -> DataFrame:
+    """(node, at, h0_0, h0_1, ..., h1_0, ...): ROWS hashes of each shingle of lines (node, line), `at` and at the places after it."""
+    wide = lines.select("node", F.encode("line", "UTF-32").alias("wide"))
+    wide = wide.select("node", "wide", F.greatest(F.floor(F.length("wide") / _WIDE).cast("int") - SHINGLE, F.lit(0)).alias("last"))
+    cut = wide.select("node", "wide", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(_AT_ONCE))).alias("at"))
+    shingle = lambda j: F.substring("wide", F.least(F.col("at") + j, F.col("last")) * _WIDE + 1, F.lit(SHINGLE * _WIDE))
+    first = cut.select("node", "at", *(F.hash(shingle(j)).alias(f"h{j}_0") for j in range(_AT_ONCE)))
+    return first.select("*", *(F.hash(f"h{j}_0", F.lit(r)).alias(f"h{j}_{r}") for j in range(_AT_ONCE) for r in range(1, ROWS)))
 
 
 def _signed(lines: DataFrame) -> DataFrame:
-    """(node, bands, signature) of distinct lines (node, line). The signature holds four bits of each of the first minima."""
-    cut = lines.select("node", F.explode(_segments(F.col("line"))).alias("segment"))
-    hashed = cut.select("node", *(F.hash(_shingle(F.col("segment"), i)).cast("long").bitwiseAND(F.lit(_LOW)).alias(f"h{i}") for i in range(_AT_ONCE)))
-    # numbers only, so that the minima of a task are kept in a hash table
-    minima = [F.min(F.least(*(_permuted(f"h{j}", i) for j in range(_AT_ONCE)))).alias(f"m{i}") for i in range(BANDS * ROWS)]
-    found = hashed.groupBy("node").agg(*minima)
+    """(node, n, bands, signature) of lines (node, line), where a node may stand in n rows. The signature holds four bits of each of the first minima."""
+    # numbers only, so that the minima of a task are kept in a hash table and no text is dealt out
+    minima = [F.min(F.least(*(F.col(f"h{j}_{r}").bitwiseXOR(_order(b, r)) for j in range(_AT_ONCE)))).alias(f"m{b * ROWS + r}") for b in range(BANDS) for r in range(ROWS)]
+    found = _hashed(lines).groupBy("node").agg(F.count_if(F.col("at") == 0).alias("n"), *minima)
     bands = [F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)]
     four = [F.shiftleft(F.hash(f"m{i}").bitwiseAND(F.lit(15)).cast("long"), 4 * (i % PER_LONG)) for i in range(MARKED)]
     longs = [reduce(lambda x, y: x.bitwiseOR(y), four[at : at + PER_LONG]) for at in range(0, MARKED, PER_LONG)]
-    return found.select("node", F.array(*bands).alias("bands"), F.array(*longs).alias("signature"))
+    return found.select("node", "n", F.array(*bands).alias("bands"), F.array(*longs).alias("signature"))
 
 
 def _alike(similarity: float):
@@ -90,19 +101,11 @@ def _alike(similarity: float):
     return reduce(lambda x, y: x + y, bits) <= most
 
 
-def line_components(lines: DataFrame, similarity: float) -> DataFrame:
-    """(node, component) of the nodes with a verified link; lines: (node, line), where nodes may repeat. To be called in scratch()."""
-    # dealt by node once, for the distinct lines and for their minima
-    signed = written(_signed(lines.dropDuplicates(["node"])), "line-signatures")
-    members = signed.select(F.explode("bands").alias("bucket"), "node")
-    buckets = written(linking.shared_buckets(members), "line-buckets")
-    # all that follows is of nodes that share a bucket
-    near = written(buckets.select("node").distinct(), "line-near")
-    signatures = written(signed.select("node", "signature").join(near, "node", "left_semi"), "line-bits")
-    removed(signed)
-    lines = written(lines.join(near, "node", "left_semi").dropDuplicates(["node"]), "lines")
+def line_components(lines: DataFrame, signatures: DataFrame, buckets: DataFrame, similarity: float) -> DataFrame:
+    """(node, component) of the nodes with a verified link; lines: (node, line) of the nodes of the buckets, where nodes may repeat. To be called in scratch()."""
+    lines = written(lines.dropDuplicates(["node"]), "lines")
     centred = written(linking.central(buckets), "line-centres")
-    removed(buckets, near)
+    removed(buckets)
 
     def verified(pairs: DataFrame) -> DataFrame:
         for x in "ab":
@@ -123,14 +126,24 @@ def removed_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, similarity: fl
     """(key, drop): for each key of docs (key, text) that loses lines, the numbers of these lines, from 0."""
     found = _lines(docs, min_chars)
     with scratch() as kept:
+        with scratch() as chosen:
+            signed = written(_signed(found.select("node", "line")), "line-signatures")
+            buckets = chosen(linking.shared_buckets(signed.select(F.explode("bands").alias("bucket"), "node")), "line-buckets")
+            near = written(buckets.select("node").distinct(), "line-near")
+            signatures = chosen(signed.select("node", "signature").join(near, "node", "left_semi"), "line-bits")
+            # a node with one place and no bucket in common loses nothing
+            wanted = near.select("node", F.lit(True).alias("near")).unionAll(signed.where("n > 1").select("node", F.lit(False)))
+            wanted = wanted.groupBy("node").agg(F.max("near").alias("near"))
+            # no texts are sorted
+            places = found.join(wanted.hint("shuffle_hash"), "node").select("node", "key", "at", F.when(F.col("near"), F.col("line")).alias("line"))
+            places = chosen(places, "line-places")
         with scratch() as linked:
             # what the components were found by goes here
-            joined = linked(line_components(found.select("node", "line"), similarity), "line-joined")
-        # a node with one place and no link loses nothing
-        places = written(found.select("node", "key", "at"), "line-places")
+            joined = linked(line_components(places.where("line is not null").select("node", "line"), signatures, buckets, similarity), "line-joined")
+        removed(signatures)
         again = places.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node", F.col("node").alias("component"))
         every = joined.unionAll(again.join(joined, "node", "left_anti"))
-        copies = written(places.join(every, "node").select("component", "key", "at"), "line-copies")
+        copies = written(places.select("node", "key", "at").join(every, "node").select("component", "key", "at"), "line-copies")
         removed(joined, places)
         heads = written(copies.groupBy("component").agg(F.min(F.struct("key", "at")).alias("head")), "line-heads")
         gone = copies.join(heads, "component").where((F.col("key") != F.col("head.key")) | (F.col("at") != F.col("head.at")))

@@ -277,6 +277,18 @@ def test_lines_at_the_least_likeness_share_a_band(spark, shared, least):
     assert recall >= least
 
 
+def test_lines_are_signed_without_texts_in_a_shuffle(spark):
+    lines = ["abcdefghij", "short", "\U0001f600" * 3 + "abcdefg", "a\rb" * 9, "x" * 100]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines) for _ in range(i + 1)], "node long, line string")
+    signed = line_dedup._signed(df)
+    assert {r["node"]: r["n"] for r in signed.collect()} == {i: i + 1 for i in range(len(lines))}
+    plan = signed._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Sort" not in plan
+    # all shingles of a line, and no others, are hashed
+    hashed = line_dedup._hashed(df.distinct()).select("node", F.explode(F.array(*(f"h{j}_0" for j in range(8)))).alias("h"))
+    assert {r["node"]: r["n"] for r in hashed.groupBy("node").agg(F.count_distinct("h").alias("n")).collect()} == {i: len(_line_shingles(x)) for i, x in enumerate(lines)}
+
+
 def test_lines_awkward_rows(spark, corpus):
     rows = corpus.awkward()
     found = line_dedup.dedup_lines(corpus.frame(rows, extra=True)).collect()
