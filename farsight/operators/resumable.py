@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from farsight.operators.search import TILE, Nearest, matrix
-from farsight.sources.shelves import Shelves, asked
+from farsight.sources.shelves import Shelves, asked, routed
 
 #: Shelves of each query in the first round, and how many times more each further round takes.
 FIRST, GROWTH = 8, 4
@@ -35,27 +35,18 @@ class Scan:
     rounds: int
 
 
-def _route(shelves: Shelves, state: DataFrame, take: int) -> DataFrame:
-    """(shelf, query_id, qvec, bound, done): the next `take` shelves of each open query within its bound."""
-    held = state.sparkSession.sparkContext.broadcast(shelves.__class__(None, shelves.centres, shelves.number, shelves.centre, shelves.low, shelves.high, shelves.size))
+def ahead(take: int):
+    """Picks the next `take` shelves of each of queries (bound, done: how many it has read), those within its bound."""
 
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = held.value
-        for batch in batches:
-            least = known.bounds(np.stack(batch["gaps"].to_numpy())) if len(batch) and len(known.number) else np.zeros((len(batch), 0))
-            rows = []
-            for i, (bound, done) in enumerate(zip(batch["bound"].fillna(np.inf), batch["done"], strict=True)):
-                order = np.argsort(least[i], kind="stable")
-                ahead = order[done : done + take]
-                ahead = ahead[least[i][ahead] <= bound]
-                if len(ahead):
-                    rows.append(pd.DataFrame({"shelf": known.number[ahead], "i": i, "done": done + len(ahead)}))
-            if rows:
-                made = pd.concat(rows)
-                own = batch.iloc[made["i"].to_numpy()]
-                yield pd.DataFrame({"shelf": made["shelf"].to_numpy(), **{c: own[c].to_numpy() for c in ("query_id", "qvec", "bound")}, "done": made["done"].to_numpy()})
+    def pick(known: Shelves, gaps: np.ndarray, some: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        least = known.bounds(gaps)
+        order = np.argsort(least, axis=1, kind="stable")
+        place = np.arange(order.shape[1]) - some.column("done").to_numpy()[:, None]
+        bound = some.column("bound").fill_null(np.inf).to_numpy(zero_copy_only=False)
+        i, at = np.nonzero((place >= 0) & (place < take) & (np.take_along_axis(least, order, axis=1) <= bound[:, None]))
+        return i, order[i, at]
 
-    return state.select("query_id", "qvec", "gaps", "bound", "done").mapInPandas(route, "shelf long, query_id long, qvec array<double>, bound double, done long")
+    return pick
 
 
 def nearest_in_shelf(x: np.ndarray, ids: np.ndarray, ok: np.ndarray, asks: pa.RecordBatch, most: int) -> Iterator[pd.DataFrame]:
@@ -82,35 +73,31 @@ def iterative_scan(shelves: Shelves, queries: DataFrame, k: int, passes: Column,
         raise ValueError("k and max_scan must be positive")
     spark = queries.sparkSession
     flagged = Shelves(shelves.rows.withColumn("passes_", F.coalesce(passes, F.lit(False))), *(getattr(shelves, c) for c in ("centres", "number", "centre", "low", "high", "size")))
-    centres = Shelves(None, shelves.centres, *[np.zeros(0)] * 5)
 
     def written(df: DataFrame, name: str) -> DataFrame:
         path, schema = f"{folder}/{name}", df.schema
         df.write.mode("overwrite").parquet(path)
         return spark.read.schema(schema).parquet(path)
 
-    @F.pandas_udf("array<double>")
-    def gaps(v: pd.Series) -> pd.Series:
-        return pd.Series(list(centres.gaps(np.stack(v.to_numpy()).astype(np.float64))))
-
     def nearest(rows: dict, asks: pa.RecordBatch) -> Iterator[pd.DataFrame]:
         return nearest_in_shelf(rows["x"], rows[id_col].to_numpy(), rows["passes_"].to_numpy(zero_copy_only=False), asks, max_scan)
 
-    start = written(queries.select("query_id", F.col("qvec").cast("array<double>").alias("qvec")).withColumn("gaps", gaps("qvec")), "queries")
+    start = written(queries.select("query_id", F.col("qvec").cast("array<double>").alias("qvec")), "queries")
     state = start.select("*", F.lit(None).cast("double").alias("bound"), F.lit(0).cast("long").alias("done"))
     frontier, reads = None, []
     for number in count():
-        routed = written(_route(shelves, state, first * growth**number), f"asks-{number}")
-        if routed.isEmpty():
+        asks = written(routed(shelves, state, ahead(first * growth**number)), f"asks-{number}")
+        if asks.isEmpty():
             break
-        reads.append(routed.select(F.lit(number).alias("round"), "query_id", "shelf"))
-        hits = asked(flagged, routed.select("shelf", "query_id", "qvec", "bound"), [id_col, "passes_"], nearest, "query_id long, vec_id long, distance double, passes boolean")
+        reads.append(asks.select(F.lit(number).alias("round"), "query_id", "shelf"))
+        hits = asked(flagged, asks.select("shelf", "query_id", "qvec", "bound"), [id_col, "passes_"], nearest, "query_id long, vec_id long, distance double, passes boolean")
         if frontier is not None:
             hits = frontier.select("query_id", "vec_id", "distance", "passes").unionAll(hits)
         frontier = written(_merge(hits, k, max_scan), f"frontier-{number}")
         within = F.least(F.min(F.when(F.col("rank") == k, F.col("distance"))), F.min(F.when(F.col("place") == max_scan, F.col("distance"))))
-        passed = routed.groupBy("query_id").agg(F.max("done").alias("done"))  # a query that asked for nothing is done
-        state = start.join(passed, "query_id").join(frontier.groupBy("query_id").agg(within.alias("bound")), "query_id", "left")
+        passed = asks.groupBy("query_id").agg((F.max("done") + F.count("*")).alias("done"))  # a query that asked for nothing is done
+        bounds = frontier.groupBy("query_id").agg(F.nanvl(within, F.lit(None).cast("double")).alias("bound"))
+        state = start.join(passed, "query_id").join(bounds, "query_id", "left").select("query_id", "qvec", "bound", "done")
     if frontier is None:
         return Scan(spark.createDataFrame([], "query_id long, rank int, vec_id long, distance double"), spark.createDataFrame([], "round int, query_id long, shelf long"), 0)
     return Scan(frontier.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance"), reduce(DataFrame.unionAll, reads), len(reads))

@@ -18,10 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from farsight.operators.search import matrix
 from farsight.sources.layouts import fit_centres
 
 #: Rows of a shelf, and the number of shelves from which on they become longer instead.
 SHELF_ROWS, MOST_SHELVES = 2048, 1 << 17
+#: The most cells of a matrix of vectors by centres or shelves, and the most asks in a batch: each ask holds a vector.
+CELLS, ASKS = 1 << 18, 1 << 13
 #: What rounding may add to a distance, as a share of the gaps it is made of.
 SLACK = 1e-9
 
@@ -60,7 +63,8 @@ def write_shelves(base: DataFrame, path: str, *, lists: int | None = None, shelf
     @F.pandas_udf("list int, gap double")
     def nearest(v: pd.Series) -> pd.DataFrame:
         x, c = np.stack(v.to_numpy()).astype(np.float64), held.value
-        of = ((c**2).sum(axis=1) - 2 * x @ c.T).argmin(axis=1)
+        step = max(1, CELLS // len(c))
+        of = np.concatenate([((c**2).sum(axis=1) - 2 * x[a : a + step] @ c.T).argmin(axis=1) for a in range(0, len(x), step)])
         return pd.DataFrame({"list": of.astype(np.int32), "gap": np.sqrt(((x - c[of]) ** 2).sum(axis=1))})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,6 +93,32 @@ def write_shelves(base: DataFrame, path: str, *, lists: int | None = None, shelf
     return Shelves(table, centres, column("shelf", np.int64), column("list", np.int64), column("low", float), column("high", float), column("size", np.int64))
 
 
+def route(known: Shelves, queries: pa.RecordBatch, pick) -> Iterator[pa.RecordBatch]:
+    """Asks of a batch of queries (qvec and others): shelf, and the query's columns, at most ASKS at once however many shelves there are.
+
+    pick(known, gaps, some) gives the positions of queries within `some` and of the shelves that they ask, for a part of the queries with so
+    many gaps and bounds as CELLS allows.
+    """
+    step = max(1, CELLS // max(1, len(known.number), len(known.centres)))
+    for a in range(0, queries.num_rows if len(known.number) else 0, step):
+        some = queries.slice(a, step)
+        i, at = pick(known, known.gaps(matrix(some.column("qvec"))), some)
+        for b in range(0, len(i), ASKS):
+            own = pa.array(i[b : b + ASKS])
+            yield pa.RecordBatch.from_arrays([pa.array(known.number[at[b : b + ASKS]]), *(c.take(own) for c in some.columns)], ["shelf", *some.schema.names])
+
+
+def routed(shelves: Shelves, queries: DataFrame, pick) -> DataFrame:
+    """The asks of all queries, as route() gives them."""
+    held = queries.sparkSession.sparkContext.broadcast(Shelves(None, *(getattr(shelves, c) for c in ("centres", "number", "centre", "low", "high", "size"))))
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            yield from route(held.value, batch, pick)
+
+    return queries.mapInArrow(batches, T.StructType([T.StructField("shelf", T.LongType()), *queries.schema.fields]))
+
+
 def asked(shelves: Shelves, asks: DataFrame, columns: list[str], run, schema: str, *, vec_col: str = "embedding") -> DataFrame:
     """What `run(rows, asks)` yields for each shelf and a batch of its asks, as pandas frames of `schema`.
 

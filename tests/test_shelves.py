@@ -128,3 +128,30 @@ def test_asks_of_a_shelf_are_answered_by_tile():
     for q, bound in enumerate(bounds):
         d = np.sqrt(((x - v[q]) ** 2).sum(axis=1))
         assert found.get(q, []) == [i for i in np.argsort(d, kind="stable")[:20] if bound is None or d[i] <= bound]
+
+
+def test_asks_are_given_out_in_small_batches_however_many_shelves():
+    r = np.random.default_rng(8)
+    n, centres = 3000, r.normal(size=(40, 6))
+    low = r.uniform(0, 2, n)
+    known = shelves.Shelves(None, centres, 7 * np.arange(n), r.integers(0, 40, n), low, low + r.uniform(0, 0.1, n), np.ones(n, int))
+    v = r.normal(size=(300, 6))
+    bounds, done = [(None, np.inf, 1.0, 0.2)[i % 4] for i in range(300)], [(i % 5) * 8 for i in range(300)]
+    asks = pa.RecordBatch.from_pydict({"query_id": pa.array(range(300), pa.int64()), "qvec": v.tolist(), "bound": pa.array(bounds, pa.float64()), "done": pa.array(done, pa.int64())})
+    cells = []
+
+    def pick(known, gaps, some):
+        cells.append(gaps.shape[0] * n)
+        return resumable.ahead(512)(known, gaps, some)
+
+    batches = list(shelves.route(known, asks, pick))
+    assert max(b.num_rows for b in batches) <= shelves.ASKS < sum(b.num_rows for b in batches) and max(cells) <= shelves.CELLS
+    found = {i: [] for i in range(300)}
+    for b in batches:
+        for shelf, q, own in zip(b.column("shelf").to_pylist(), b.column("query_id").to_pylist(), b.column("qvec").to_pylist(), strict=True):
+            assert own == v[q].tolist()
+            found[q].append(shelf)
+    least = known.bounds(known.gaps(v))
+    for q in range(300):
+        order = np.argsort(least[q], kind="stable")[done[q] : done[q] + 512]
+        assert found[q] == [7 * i for i in order if bounds[q] is None or least[q][i] <= bounds[q]]
