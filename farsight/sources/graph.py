@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from farsight.sources.shelves import Shelves, asked, write_shelves
+from farsight.sources.shelves import Shelves, asked, routed, write_shelves
 
 #: Links kept of each row before those back are added, the most after that, far links of each row, and entries of a shelf.
 DEGREE, MOST_LINKS, FAR, ENTRIES = 12, 32, 2, 4
@@ -118,6 +118,16 @@ def write_graph(base: DataFrame, path: str, *, shelf_rows: int = 4096, degree: i
     return Shelves(rows, *(getattr(shelves, c) for c in ("centres", "number", "centre", "low", "high", "size")))
 
 
+def nearest_shelves(probes: int):
+    """Picks the `probes` shelves of each query with the nearest centres, rings of one centre by their bounds."""
+
+    def pick(known: Shelves, gaps: np.ndarray, some: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        near = np.lexsort((known.bounds(gaps), gaps[:, known.centre]), axis=1)[:, :probes]
+        return np.repeat(np.arange(len(near)), near.shape[1]), near.ravel()
+
+    return pick
+
+
 def search_graph(graph: Shelves, queries: DataFrame, k: int, *, ef: int = 40, probes: int = 4, passes: Column | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> tuple[DataFrame, DataFrame]:
     """Approximate: (query_id, rank, vec_id, distance), the first k that pass among the `ef` nearest met; and (query_id, compared).
 
@@ -125,17 +135,6 @@ def search_graph(graph: Shelves, queries: DataFrame, k: int, *, ef: int = 40, pr
     """
     ok = F.coalesce(F.lit(True) if passes is None else passes, F.lit(False))
     flagged = Shelves(graph.rows.withColumn("passes_", ok), *(getattr(graph, c) for c in ("centres", "number", "centre", "low", "high", "size")))
-    held = queries.sparkSession.sparkContext.broadcast(Shelves(None, *(getattr(graph, c) for c in ("centres", "number", "centre", "low", "high", "size"))))
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = held.value
-        for batch in batches:
-            if not len(batch) or not len(known.number):
-                continue
-            gaps = known.gaps(np.stack(batch["qvec"].to_numpy()).astype(np.float64))
-            near = np.lexsort((known.bounds(gaps), gaps[:, known.centre]), axis=1)[:, :probes]
-            i = np.repeat(np.arange(len(batch)), near.shape[1])
-            yield pd.DataFrame({"shelf": known.number[near.ravel()], "query_id": batch["query_id"].to_numpy()[i], "qvec": batch["qvec"].to_numpy()[i]})
 
     def walk(rows: dict, asks: pa.RecordBatch) -> Iterator[pd.DataFrame]:
         if "graph" not in rows:
@@ -159,8 +158,8 @@ def search_graph(graph: Shelves, queries: DataFrame, k: int, *, ef: int = 40, pr
         if out:
             yield pd.concat(out)
 
-    asks = queries.select("query_id", F.col("qvec").cast("array<double>").alias("qvec")).mapInPandas(route, "shelf long, query_id long, qvec array<double>")
-    met = asked(flagged, asks, [id_col, "links", "passes_"], walk, "query_id long, vec_id long, distance double, passes boolean, compared long", vec_col=vec_col)
+    asks = queries.select("query_id", F.col("qvec").cast("array<double>").alias("qvec"))
+    met = asked(flagged, routed(graph, asks, nearest_shelves(probes)), [id_col, "links", "passes_"], walk, "query_id long, vec_id long, distance double, passes boolean, compared long", vec_col=vec_col)
     order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     frontier = met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= ef)
     found = frontier.where("passes").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")

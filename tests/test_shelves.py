@@ -130,11 +130,14 @@ def test_asks_of_a_shelf_are_answered_by_tile():
         assert found.get(q, []) == [i for i in np.argsort(d, kind="stable")[:20] if bound is None or d[i] <= bound]
 
 
-def test_asks_are_given_out_in_small_batches_however_many_shelves():
-    r = np.random.default_rng(8)
-    n, centres = 3000, r.normal(size=(40, 6))
+def _directory(r, n):
     low = r.uniform(0, 2, n)
-    known = shelves.Shelves(None, centres, 7 * np.arange(n), r.integers(0, 40, n), low, low + r.uniform(0, 0.1, n), np.ones(n, int))
+    return shelves.Shelves(None, r.normal(size=(40, 6)), 7 * np.arange(n), r.integers(0, 40, n), low, low + r.uniform(0, 0.1, n), np.ones(n, int))
+
+
+def test_asks_are_given_out_in_small_batches_however_many_shelves():
+    r, n = np.random.default_rng(8), 3000
+    known = _directory(r, n)
     v = r.normal(size=(300, 6))
     bounds, done = [(None, np.inf, 1.0, 0.2)[i % 4] for i in range(300)], [(i % 5) * 8 for i in range(300)]
     asks = pa.RecordBatch.from_pydict({"query_id": pa.array(range(300), pa.int64()), "qvec": v.tolist(), "bound": pa.array(bounds, pa.float64()), "done": pa.array(done, pa.int64())})
@@ -155,3 +158,18 @@ def test_asks_are_given_out_in_small_batches_however_many_shelves():
     for q in range(300):
         order = np.argsort(least[q], kind="stable")[done[q] : done[q] + 512]
         assert found[q] == [7 * i for i in order if bounds[q] is None or least[q][i] <= bounds[q]]
+
+
+def test_walks_are_routed_a_part_of_the_queries_at_a_time():
+    r, n = np.random.default_rng(9), 3000
+    known, v, cells = _directory(r, n), r.normal(size=(300, 6)), []
+
+    def pick(known, gaps, some):
+        cells.append(gaps.shape[0] * n)
+        return graph.nearest_shelves(4)(known, gaps, some)
+
+    found = [x for b in shelves.route(known, pa.RecordBatch.from_pydict({"qvec": v.tolist()}), pick) for x in b.column("shelf").to_pylist()]
+    assert len(cells) > 1 and max(cells) <= shelves.CELLS
+    gaps = known.gaps(v)
+    near = np.lexsort((known.bounds(gaps), gaps[:, known.centre]), axis=1)[:, :4]
+    assert found == known.number[near].ravel().tolist()
